@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import packing
+from gridloom.llm import packing, simhash
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
