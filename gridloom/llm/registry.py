@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import packing, simhash
+from gridloom.llm import packing, simhash, warc
 
 QUERIES = {
+    "op3_warc_salvage": warc.op3_warc_salvage,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_salvage": warc.OP3_SQL,
+}
