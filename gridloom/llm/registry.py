@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridloom.llm import packing, simhash, warc
+from gridloom.llm import mixing, packing, simhash, warc
 
 QUERIES = {
+    "op1_poisson_mixing": mixing.op1_poisson_mixing,
     "op3_warc_salvage": warc.op3_warc_salvage,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_poisson_mixing": mixing.OP1_SQL,
     "op3_warc_salvage": warc.OP3_SQL,
 }
