@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, secrets, simhash, warc
+from gridloom.llm import mixing, packing, secrets, simhash, sketches, warc
 
 QUERIES = {
+    "op6_scaled_sketches": sketches.op6_scaled_sketches,
     "op10_credential_linking": secrets.op10_credential_linking,
     "op1_poisson_mixing": mixing.op1_poisson_mixing,
     "op3_warc_salvage": warc.op3_warc_salvage,
