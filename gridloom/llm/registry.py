@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, secrets, simhash, sketches, warc
+from gridloom.llm import mixing, packing, secrets, simhash, sketches, toxicity, warc
 
 QUERIES = {
+    "op2_nnpu_toxicity": toxicity.op2_nnpu_toxicity,
     "op6_scaled_sketches": sketches.op6_scaled_sketches,
     "op10_credential_linking": secrets.op10_credential_linking,
     "op1_poisson_mixing": mixing.op1_poisson_mixing,
