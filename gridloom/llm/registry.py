@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, secrets, simhash, sketches, toxicity, warc
+from gridloom.llm import mixing, packing, secrets, simhash, sketches, topk, toxicity, warc
 
 QUERIES = {
+    "op5_pivot_top_k": topk.op5_pivot_top_k,
     "op2_nnpu_toxicity": toxicity.op2_nnpu_toxicity,
     "op6_scaled_sketches": sketches.op6_scaled_sketches,
     "op10_credential_linking": secrets.op10_credential_linking,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": mixing.OP1_SQL,
+    "op5_pivot_top_k": topk.OP5_SQL,
     "op3_warc_salvage": warc.OP3_SQL,
 }
