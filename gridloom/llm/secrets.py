@@ -13,6 +13,8 @@ is near enough. So a text full of identifiers makes no pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,18 +75,21 @@ def linked(all_spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     return of(*BASE).unionByName(keys).unionByName(endpoints)
 
 
-def scan(docs: DataFrame, scratch: Scratch, scope: int = SCOPE, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """A written table of the rows of docs, numbered by rid, with the columns to keep; and per rid with any span, the
-    array ``spans`` of (start, rank, kind, stop) in order of start, then kind."""
-    text = fresh_name(docs, "scan_text")[0]
-    arrays = [_matches(k, text).alias(k) for k in PATTERNS]
-    read = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
-    rows = read.select(*[F.col(c) for c in keep], F.struct(*arrays).alias("scan_found"))
-    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    every = scratch.keep(spans(rows.select("rid", "scan_found.*")), "spans")
+def scan(docs: DataFrame, scratch: Scratch, scope: int = SCOPE, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows, spans, and the names of three columns that clash with none of docs: rid, hit and spans.
+
+    Rows: a written table of the columns to keep, rid, which numbers the rows, and hit, whether a pattern matched. Spans: per rid
+    with any span to report, the array of (start, rank, kind, stop) in order of start, then kind.
+    """
+    text, rid, hit, found, listed = fresh_name(docs, "scan_text", "scan_rid", "scan_hit", "scan_found", "scan_spans")
+    matches = F.struct(*[_matches(k, text).alias(k) for k in PATTERNS])
+    read = docs.withColumn(text, F.coalesce(F.col("text"), F.lit(""))).select(*keep, matches.alias(found))
+    any_of = reduce(lambda a, b: a | b, [F.col(found)[k].isNotNull() for k in PATTERNS])
+    rows = scratch.keep(read.withColumn(hit, any_of).withColumn(rid, F.monotonically_increasing_id()), "rows")
+    every = scratch.keep(spans(rows.filter(hit).select(F.col(rid).alias("rid"), f"{found}.*")), "spans")
     rank = F.array_position(F.array(*[F.lit(k) for k in PATTERNS]), F.col("kind"))
     ordered = F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "stop")))
-    return rows.drop("scan_found"), linked(every, scope).groupBy("rid").agg(ordered.alias("spans"))
+    return rows.drop(found), linked(every, scope).groupBy(F.col("rid").alias(rid)).agg(ordered.alias(listed)), [rid, hit, listed]
 
 
 def _listed(column: F.Column) -> F.Column:
@@ -98,35 +103,34 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans is empty. Repeated rows and null doc_ids each have their row. Other columns aren't read. An empty table
     gives an empty table.
     """
-    rows, found = scan(docs, Scratch(docs.sparkSession, "secrets"), scope)
-    got = F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:bigint,kind:string,stop:bigint>>)"))
+    rows, found, (rid, _, listed) = scan(docs, Scratch(docs.sparkSession, "secrets"), scope)
+    got = F.coalesce(listed, F.expr("cast(array() as array<struct<start:bigint,rank:bigint,kind:string,stop:bigint>>)"))
     count = lambda kind: F.size(F.filter("got", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("got", lambda s: s["kind"].isin(*BASE))
-    joined = rows.join(found, "rid", "left").withColumn("got", got)
+    joined = rows.join(found, rid, "left").withColumn("got", got)
     return joined.select("doc_id", *[count(k) for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("got")).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs with each span replaced by mask, overlapping ones as one, and n_chars (where docs has it) set anew.
 
-    Rows without spans pass as they are, a null text too. All columns are kept.
+    Rows without spans pass as they are, a null text too. All columns are kept. Only texts with some match are exchanged.
     """
-    rows, found = scan(docs, Scratch(docs.sparkSession, "redaction"), scope, tuple(docs.columns))
+    rows, found, (rid, hit, spans) = scan(docs, Scratch(docs.sparkSession, "redaction"), scope, tuple(docs.columns))
+    text = F.col("text")
+    piece = lambda acc, s: F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
     out = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(s["stop"] <= acc["at"], acc).otherwise(
-            F.struct(
-                F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.lit(mask))).alias("out"),
-                s["stop"].cast("long").alias("at"),
-            )
+            F.struct(F.concat(acc["out"], piece(acc, s), F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.lit(mask))).alias("out"), s["stop"].cast("long").alias("at"))
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))),
+        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))),
     )
-    joined = rows.join(found, "rid", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(out))
+    masked = rows.filter(hit).join(found, rid, "left").withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(out))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return joined.select(*docs.columns)
+        masked = masked.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return rows.filter(~F.col(hit)).select(*docs.columns).unionByName(masked.select(*docs.columns))
 
 
 def op10_credential_linking(spark, sf_dir: str) -> DataFrame:

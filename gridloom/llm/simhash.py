@@ -191,6 +191,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, seed: int =
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, most: int = 2, seed: int = 42, bucket_rows: int = 128) -> DataFrame:
+    """The rows of docs that name their component: one document of each group of near duplicates, as it is.
+
+    Of repeated rows of such a doc_id one stays. Rows without a doc_id can't be named and all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    groups = scratch.keep(near_duplicates(docs, words, most, seed, bucket_rows), "groups")
+    named = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    named = scratch.keep(named, "named")
+    kept = docs.join(named.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    if named.filter(F.col("kept_rows") > 1).limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component: 3-word shingles, links at 2 or fewer differing bits."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
