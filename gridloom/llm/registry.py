@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, secrets, simhash, sketches, topk, toxicity, warc
+from gridloom.llm import licenses, mixing, packing, secrets, simhash, sketches, toolcalls, topk, toxicity, warc
 
 QUERIES = {
+    "op7_sentence_rules": licenses.op7_sentence_rules,
+    "op8_tool_call_linking": toolcalls.op8_tool_call_linking,
     "op5_pivot_top_k": topk.op5_pivot_top_k,
     "op2_nnpu_toxicity": toxicity.op2_nnpu_toxicity,
     "op6_scaled_sketches": sketches.op6_scaled_sketches,
@@ -16,6 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": mixing.OP1_SQL,
+    "op7_sentence_rules": licenses.OP7_SQL,
+    "op8_tool_call_linking": toolcalls.OP8_SQL,
     "op5_pivot_top_k": topk.OP5_SQL,
     "op3_warc_salvage": warc.OP3_SQL,
 }
