@@ -27,7 +27,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
     weights: a table (source, weight) of target shares; a source that it lacks has weight 0, and a negative or null
     weight counts as 0. Without it a source's share is its mass to the power ``temperature``. A source's mass is the code
     points of its texts. The mixture's mass is ``epochs`` times that of all documents. A source without mass gets the rate
-    ``epochs`` (with weights: if its weight isn't 0). A null source is a source.
+    ``epochs`` (with weights: if its weight isn't 0). A null source is a source. Where no source with mass has a weight, their rates are 0.
     """
     mass = docs.groupBy("source").agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).cast("double").alias("mass"))
     if weights is None:
@@ -37,7 +37,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
         weighed = mass.join(told, F.col("source").eqNullSafe(F.col("told")), "left").drop("told")
         weighed = weighed.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
     total = weighed.agg(F.sum("mass").alias("all_mass"), F.sum(F.when(F.col("mass") > 0, F.col("weight"))).alias("all_weight"))
-    target = F.lit(epochs) * F.col("all_mass") * F.col("weight") / F.col("all_weight") / F.col("mass")
+    target = F.coalesce(F.try_divide(F.lit(epochs) * F.col("all_mass") * F.col("weight"), "all_weight") / F.col("mass"), F.lit(0.0))
     bare = F.lit(epochs) if weights is None else F.when(F.col("weight") > 0, F.lit(epochs)).otherwise(F.lit(0.0))
     return weighed.join(F.broadcast(total)).select("source", F.when(F.col("mass") > 0, target).otherwise(bare).alias("rate"))  # total: one row
 
