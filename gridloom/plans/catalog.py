@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from gridloom.plans import prices
+from gridloom.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "prices"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first registered query."""
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    """Duration curves of each whole day."""
+    return QUERIES["dk_curves"](spark, sf_dir)
