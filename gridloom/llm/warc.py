@@ -29,6 +29,8 @@ CHUNK = 65_536
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: A header line: a name of token characters, a colon and a value; or the next line of a folded value.
+HEADER = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+[ \t]*:|[ \t]")
 RECORDS = "file string, start long, end long, kind string, page_id string, uri string, payload_bytes long, payload_digest string, refers_to string, reason string"
 _NAME = {"page_id": b"warc-x-page-id", "uri": b"warc-target-uri", "length": b"warc-x-payload-length", "digest": b"warc-payload-digest", "refers_to": b"warc-x-refers-to-page-id"}
 
@@ -104,7 +106,10 @@ def _parsed(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | str:
     cut = data.find(b"\r\n\r\n", at)
     if cut < 0:
         return "headers without end"
-    headers = _headers(data[at:cut])
+    head = data[at:cut]
+    if not all(HEADER.match(line) for line in head.split(b"\r\n")[1:]) or MEMBER in head:
+        return "headers run into other bytes"
+    headers = _headers(head)
     length = headers.get(b"content-length", "")
     if not length.isdigit():
         return "no content length"
@@ -114,6 +119,14 @@ def _parsed(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | str:
     return headers, data[cut + 4 : end], end + 4
 
 
+def _stored(data: bytes, at: int) -> bool:
+    """Whether this place is the text of a stored block, whose length and its complement stand before it.
+
+    Such a version line belongs to a member whose checksum failed, so that its headers can't be believed.
+    """
+    return at >= 4 and data[at - 4] ^ data[at - 2] == data[at - 3] ^ data[at - 1] == 255
+
+
 def _row(name: str, start: int, end: int, headers: dict, block: bytes) -> tuple | str:
     """The row of a record, or why its block can't be believed."""
     kind, stated = headers.get(b"warc-type", ""), headers.get(_NAME["digest"], "").removeprefix("sha256:")
@@ -131,7 +144,8 @@ def salvage(name: str, data: bytes) -> Iterator[tuple]:
 
     A gzip member is checked by its own checksum and length and by the record inside, an uncompressed record by its
     version line, content length, end mark and payload digest. After a failure the next place that passes all of them is
-    searched for, so that a marker inside a payload is no false start of more than its own record.
+    searched for, so that a marker inside a payload is no false start of more than its own record. Headers that run into
+    another member or into bytes that are no header lines are no record's, and nor is the raw text of a damaged member.
     """
     at, size, gap, why = 0, len(data), None, ""
     while at < size:
@@ -139,7 +153,7 @@ def salvage(name: str, data: bytes) -> Iterator[tuple]:
         end = at
         if data.startswith(MEMBER, at):
             found, end = _member_rows(name, data, at)
-        elif VERSION.match(data, at):
+        elif VERSION.match(data, at) and not _stored(data, at):
             read = _parsed(data, at)
             found = read if isinstance(read, str) else _row(name, at, read[2], read[0], read[1])
             if not isinstance(found, str):

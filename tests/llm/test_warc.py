@@ -46,6 +46,14 @@ def test_salvage_of_every_damaged_member():
             assert spans[0][0] == 0 and spans[-1][1] == sum(map(len, parts)) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_headers_of_a_damaged_stored_member_are_not_believed():
+    made = records(3, 4)
+    members = [zlib.compress(r, 0, wbits=31) for _, _, r in made]
+    hurt = members[1].replace(b"WARC-X-Page-ID: 1", b"WARC-X-Page-ID: 7")
+    rows = list(warc.salvage("f", members[0] + hurt + members[2]))
+    assert [r[4] for r in rows] == ["0", None, "2"] and rows[1][3] == "gap"
+
+
 def test_uncompressed_archives():
     made = records(8, 1)
     data = b"".join(r for _, _, r in made)
