@@ -2,13 +2,15 @@
 
 1. Each text is turned into token ids, and cut into pieces of at most ``capacity`` tokens (``pieces``).
 2. Pieces are dealt over partitions. Each partition packs its own by best-fit decreasing, and takes a lower bound on its
-   bin count from dual feasible functions of its piece lengths. Equal: the partition is certified and its bins stand.
-3. The pieces in bins with a gap of the partitions left over change places: they are dealt anew over fewer
-   partitions and packed again. Their new bins are taken if they are fewer. This goes on until the pieces fit one
-   partition, all are certified, or a round saves nothing.
+   bin count from dual feasible functions of its piece lengths. Equal: the partition is certified, no packing of its
+   pieces alone needs fewer.
+3. The same bound over all pieces, from their counts by length, certifies the whole. Until it is met, bins with a gap
+   change places as wholes: they are dealt anew over an eighth of the partitions, and their pieces packed again. A
+   partition keeps the bins it was given unless the new ones are fewer. This ends with one partition of at most about
+   ``partition_rows`` pieces, or where a round of as many partitions saves less than one bin in a thousand.
 
 Memory: a partition holds the lengths and row numbers of about ``partition_rows`` pieces; the driver holds one row of
-counts a round.
+counts a round, and one count for each length up to ``capacity``.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 @lru_cache(maxsize=2)
 def encoding(path: str) -> Callable[[str], list[int]]:
     """Text to ids by a ``tokenizers`` file; special tokens' strings in a text are ordinary text.
@@ -101,12 +105,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
-    """A lower bound on the bins that the lengths need, from two families of dual feasible functions.
+    """``least_bins_of`` for the lengths themselves."""
+    return least_bins_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def least_bins_of(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on the bins that counts[x] lengths of x need, from two families of dual feasible functions.
 
     For a cut e up to half the capacity: lengths over capacity - e count as full, those under e as nothing. For k from 1
     to 20: x counts as floor((k + 1) x) / k, or as x where (k + 1) x is whole (x as a part of the capacity).
     """
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    counts = counts.astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     number, volume = np.cumsum(counts), np.cumsum(counts * size)
     cut = np.arange(1, capacity // 2 + 1)
@@ -120,25 +129,29 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return bound
 
 
-def _packer(turn: int, last: bool, capacity: int, columns: list[str]):
-    """The work on one partition in one round: its pieces with their bins, and which of them it lets go."""
+def _packer(turn: int, capacity: int, columns: list[str]):
+    """The work on one partition in one round: its pieces with their bins, and which of them are open to another round."""
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         bins, offset, held = best_fit_decreasing(lengths, capacity)
-        certified = len(held) == least_bins(lengths, capacity)
-        # a certified partition lets go only what it must leave half empty; others let go each bin with a gap
-        gives = held * 2 < capacity if certified else capacity - held > capacity // 64
-        opened = np.zeros(len(bins), bool) if last else gives[bins]
+        ids = (turn << 56) + (key[0].as_py() << 28) + bins
+        if turn:
+            before, of = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+            if len(held) >= len(before):
+                held = np.bincount(of, lengths).astype(np.int64)
+                ids, offset, bins = before[of], table.column("offset").to_numpy(), of
+        certified = len(held) == least_bins(lengths, capacity)  # then it lets go only the larger gaps
+        opened = (capacity - held > capacity // (32 if certified else 64))[bins]
         table = table.select(columns)
-        for name, values in (("sequence_id", (turn << 56) + (key[0].as_py() << 28) + bins), ("offset", offset), ("open", opened)):
+        for name, values in (("sequence_id", ids), ("offset", offset), ("open", opened)):
             table = table.append_column(name, pa.array(values))
         return table
 
     return packed
 
 
-def pack(cut: DataFrame, scratch: Scratch, capacity: int = 1024, partition_rows: int = 65_536, rounds: int = 6) -> DataFrame:
+def pack(cut: DataFrame, scratch: Scratch, capacity: int = 1024, partition_rows: int = 65_536) -> DataFrame:
     """Pieces with sequence_id and offset: sequences of at most ``capacity``, gapless from 0.
 
     cut: a written table of pieces with a long column ``rid`` that no two rows share. Whole pieces are sequences by
@@ -147,19 +160,27 @@ def pack(cut: DataFrame, scratch: Scratch, capacity: int = 1024, partition_rows:
     spark = cut.sparkSession
     columns = [c for c in cut.columns if c != "rid"]
     done = [cut.filter(F.col("length") >= capacity).select(*columns, (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    pool, rows = cut.filter(F.col("length") < capacity), cut.filter(F.col("length") < capacity).count()
+    pool = cut.filter(F.col("length") < capacity)
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pool.groupBy("length").count().collect():  # at most capacity - 1 rows
+        counts[r["length"]] = r["count"]
+    rows, fewest, was = int(counts.sum()), least_bins_of(counts, capacity), 0
+    parts = max(-(-rows // partition_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = f"{cut.schema.simpleString()[7:-1]}, sequence_id long, offset long, open boolean"
-    for turn in range(rounds):
-        if not rows:
+    closed, saved, turn = 0, True, 0
+    while rows and saved:
+        deal = F.pmod(F.xxhash64(F.col("sequence_id" if turn else "rid"), F.lit(turn)), F.lit(parts))
+        now = scratch.keep(pool.groupBy(deal.alias("part")).applyInArrow(_packer(turn, capacity, cut.columns), schema), f"round{turn}")
+        first = F.col("offset") == 0  # one piece of each bin
+        count = now.agg(F.count_if(first).alias("bins"), F.count_if(first & F.col("open")).alias("open"), F.count_if("open").alias("rows")).first()
+        rows, fewer = count["rows"], max(1, -(-count["rows"] // partition_rows), parts // 8)
+        saved = closed + count["bins"] > fewest and (fewer < parts or (parts > 1 and (turn == 0 or count["bins"] < was - was // 1000)))
+        if not saved:
+            done.append(now.select(*columns, "sequence_id", "offset"))
             break
-        parts = max(-(-rows // partition_rows), int(spark.conf.get("spark.sql.shuffle.partitions")) if turn == 0 else 1)
-        last = turn == rounds - 1 or (turn > 0 and parts == 1)
-
-        deal = F.pmod(F.xxhash64(F.col("rid"), F.lit(turn)), F.lit(parts))
-        now = scratch.keep(pool.groupBy(deal.alias("part")).applyInArrow(_packer(turn, last, capacity, cut.columns), schema), f"round{turn}")
         done.append(now.filter(~F.col("open")).select(*columns, "sequence_id", "offset"))
-        pool = now.filter("open").select(cut.columns)
-        rows = pool.count()
+        pool, was = now.filter("open"), count["open"]
+        closed, parts, turn = closed + count["bins"] - count["open"], fewer, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
