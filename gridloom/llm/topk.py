@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.scratch import Scratch
 
 ANNULUS = 256
+#: About so many scores are held at once while a cell's bounds are found.
+SCORES = 4_000_000
 HITS = "query_id long, vec_id long, score long"
 #: Doubles hold integer products exactly up to this; beyond it products are made of Python's integers.
 EXACT = 2**53
@@ -108,7 +110,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 4096,
 
     def seeded(table: pa.Table) -> pa.Table:
         ids, v, asks = table.column("vec_id").to_numpy(), _numbers(table.column("v").combine_chunks(), width), table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        bounds = [_kth(_scores(v[rows], v, exact), ids[rows][:, None] == ids, k) for rows in np.array_split(np.flatnonzero(asks), asks.sum() // 512 + 1)]
+        bounds = [_kth(_scores(v[rows], v, exact), ids[rows][:, None] == ids, k) for rows in np.array_split(np.flatnonzero(asks), asks.sum() * len(ids) // SCORES + 1)]
         return pa.table({"vec_id": ids[asks], "v": table.column("v").filter(pa.array(asks)), "bound": np.concatenate(bounds)})
 
     seeds = scratch.keep(cells.groupBy("pivot", "part").applyInArrow(seeded, "vec_id long, v array<long>, bound double"), "seeds")
