@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import models, prices
+from gridloom.plans import models, prices, risk
 from gridloom.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "models", "prices"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "models", "prices", "risk"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
