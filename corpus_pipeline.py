@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import mixing, packing, secrets, simhash, toxicity
+from gridloom.llm import mixing, nearcopies, packing, secrets, toxicity
 from gridloom.llm.scratch import Scratch
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates, that with the smallest doc_id: 5-word shingles, likeness 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
