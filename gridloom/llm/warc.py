@@ -145,14 +145,19 @@ def salvage(name: str, data: bytes) -> Iterator[tuple]:
     A gzip member is checked by its own checksum and length and by the record inside, an uncompressed record by its
     version line, content length, end mark and payload digest. After a failure the next place that passes all of them is
     searched for, so that a marker inside a payload is no false start of more than its own record. Headers that run into
-    another member or into bytes that are no header lines are no record's, and nor is the raw text of a damaged member.
+    another member or into bytes that are no header lines are no record's, and nor is the raw text of a damaged member. What
+    a damaged member gives before its damage is read record by record.
     """
-    at, size, gap, why = 0, len(data), None, ""
+    at, size, gap, why, saved = 0, len(data), None, "", []
     while at < size:
         found: list[tuple] | str = "no member or version line"
         end = at
         if data.startswith(MEMBER, at):
-            found, end = _member_rows(name, data, at)
+            found, end, hurt = _member_rows(name, data, at)
+            if hurt and not isinstance(found, str):
+                # where a damaged member ends is known once the next sound place is found
+                saved += found
+                found = hurt
         elif VERSION.match(data, at) and not _stored(data, at):
             read = _parsed(data, at)
             found = read if isinstance(read, str) else _row(name, at, read[2], read[0], read[1])
@@ -166,33 +171,69 @@ def salvage(name: str, data: bytes) -> Iterator[tuple]:
             continue
         if gap is not None:
             yield name, gap, at, "gap", None, None, None, None, None, why
-            gap = None
+            yield from ((*r[:2], at, *r[3:]) for r in saved)
+            gap, saved = None, []
         yield from found
         at = end
     if gap is not None:
         yield name, gap, size, "gap", None, None, None, None, None, why
+        yield from ((*r[:2], size, *r[3:]) for r in saved)
+
 
+def _member_rows(name: str, data: bytes, at: int) -> tuple[list[tuple] | str, int, str]:
+    """The records in the member at this place, its end, and why the member is damaged; an empty member has none.
 
-def _member_rows(name: str, data: bytes, at: int) -> tuple[list[tuple] | str, int]:
-    """The records in the member at this place and its end; an empty member has none."""
-    unpacker, parts, fed = zlib.decompressobj(31), [], at
+    Around a record that fails, those before it and behind the next version line are read, and a gap gives its place in the
+    member's text. Of a damaged member only records with a payload that passes its stated digest count; where its checksum
+    differs and no record fails, the damage may be in any record's headers and none counts.
+    """
+    unpacker, parts, fed, why = zlib.decompressobj(31), [], at, ""
     try:
         while not unpacker.eof and fed < len(data):
             parts.append(unpacker.decompress(data[fed : fed + CHUNK]))
             fed = min(fed + CHUNK, len(data))
+        why = "" if unpacker.eof else "member without end"
     except zlib.error as error:
-        return f"member: {error}", at
-    if not unpacker.eof:
-        return "member without end", at
-    inside, end, rows, here = b"".join(parts), fed - len(unpacker.unused_data), [], 0
+        why = f"member: {error}"
+        parts = _before_error(data, at, fed)
+    inside, end, rows, here, gap, failed = b"".join(parts), at if why else fed - len(unpacker.unused_data), [], 0, None, ""
+
+    def lost() -> tuple:
+        return name, at, end, "gap", None, None, None, None, None, f"in member, bytes {gap} to {here}: {failed}"
+
     while here < len(inside):
         read = _parsed(inside, here)
         row = read if isinstance(read, str) else _row(name, at, end, read[0], read[1])
+        if why and not isinstance(row, str) and (row[3] == "revisit" or not read[0].get(_NAME["digest"])):
+            row = "no digest to check in a damaged member"
         if isinstance(row, str):
-            return row, at
+            gap, failed = (here, row) if gap is None else (gap, failed)
+            mark = VERSION.search(inside, here + 1)
+            here = mark.start() if mark else len(inside)
+            continue
+        if gap is not None:
+            rows.append(lost())
+            gap = None
         rows.append(row)
         here = read[2]
-    return rows, end
+    if gap is not None:
+        rows.append(lost())
+    if rows and all(r[3] == "gap" for r in rows) or "incorrect" in why and not any(r[3] == "gap" for r in rows):
+        return why or failed, at, why
+    return (why if why and not rows else rows), end, why
+
+
+def _before_error(data: bytes, at: int, fed: int) -> list[bytes]:
+    """What a member gives before its error, which comes within CHUNK bytes from fed."""
+    unpacker, parts = zlib.decompressobj(31), []
+    for low in range(at, fed, CHUNK):
+        parts.append(unpacker.decompress(data[low : low + CHUNK]))
+    try:
+        for k in range(fed, min(fed + CHUNK, len(data))):
+            parts.append(unpacker.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return parts
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

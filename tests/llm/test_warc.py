@@ -78,3 +78,23 @@ def test_odd_rows(spark):
     path = Scratch(spark, "t").path("b")
     warc.write_archives(df.limit(0), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_salvage_inside_a_member():
+    """A member of several records loses only the bad one, or what was behind the cut."""
+    import gzip
+
+    made = [r for _, _, r in records(9, 7)]
+    bad = made[4][:-10] + bytes([made[4][-10] ^ 255]) + made[4][-9:]
+    rows = list(warc.salvage("f", gzip.compress(b"".join([*made[:4], bad, *made[5:]])) + warc.member(made[0])))
+    assert [r[4] for r in rows] == ["0", "1", "2", "3", None, "5", "6", "7", "8", "0"]
+    at = sum(map(len, made[:4]))
+    assert rows[4][3] == "gap" and f"bytes {at} to {at + len(bad)}: payload digest differs" in rows[4][9]
+    whole = gzip.compress(b"".join(made))
+    rows = list(warc.salvage("f", whole[: len(whole) * 2 // 3]))
+    seen = [r[4] for r in rows if r[3] != "gap"]
+    assert seen == [str(i) for i in range(len(seen))] and 4 <= len(seen) < 9 and any(r[9] == "member without end" for r in rows)
+    stored = zlib.compress(b"".join(made), 0, wbits=31)
+    at = stored.index(made[4][-60:-20])
+    rows = list(warc.salvage("f", stored[:at] + bytes([stored[at] ^ 255]) + stored[at + 1 :]))
+    assert {r[4] for r in rows if r[3] != "gap"} == {str(i) for i in range(9) if i != 4}
