@@ -237,7 +237,7 @@ def _before_error(data: bytes, at: int, fed: int) -> list[bytes]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of RECORDS for all archives under path, gaps included.
+    """Rows of RECORDS for all archives under path and its subfolders, gaps included; names that start with _ or . are skipped.
 
     A task holds one archive at a time, as the writer bounds their records; an empty archive has no row.
     """
@@ -251,7 +251,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, RECORDS)
 
 

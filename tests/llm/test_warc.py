@@ -98,3 +98,13 @@ def test_salvage_inside_a_member():
     at = stored.index(made[4][-60:-20])
     rows = list(warc.salvage("f", stored[:at] + bytes([stored[at] ^ 255]) + stored[at + 1 :]))
     assert {r[4] for r in rows if r[3] != "gap"} == {str(i) for i in range(9) if i != 4}
+
+
+def test_archives_of_any_name_and_in_subfolders(spark, tmp_path):
+    made = [r for _, _, r in records(3, 2)]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "crawl-0001.warc.gz").write_bytes(warc.member(made[0]))
+    (tmp_path / "deep" / "crawl-0002.warc.gz").write_bytes(warc.member(made[1]))
+    (tmp_path / "deep" / "plain.warc").write_bytes(made[2])
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, str(tmp_path)).collect()) == ["0", "1", "2"]
