@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
+from gridloom.llm.nearcopies import least_of_each, numbered
 from gridloom.llm.scratch import Scratch
 
 BITS = 64
@@ -192,18 +193,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, seed: int =
 
 
 def one_of_each(docs: DataFrame, words: int = 3, most: int = 2, seed: int = 42, bucket_rows: int = 128) -> DataFrame:
-    """The rows of docs that name their component: one document of each group of near duplicates, as it is.
+    """One row of docs for each group of near duplicates, that with the smallest doc_id, as it is.
 
-    Of repeated rows of such a doc_id one stays. Rows without a doc_id can't be named and all stay.
+    Of rows repeated under a doc_id one stays in each group that it names. Rows without a doc_id all stay.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    groups = scratch.keep(near_duplicates(docs, words, most, seed, bucket_rows), "groups")
-    named = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    named = scratch.keep(named, "named")
-    kept = docs.join(named.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    if named.filter(F.col("kept_rows") > 1).limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows, rid = numbered(docs, scratch)
+    # with row numbers for doc_ids, a component's name is its own even where doc_ids repeat
+    groups = near_duplicates(rows.select(F.col(rid).alias("doc_id"), "text"), words, most, seed, bucket_rows)
+    return least_of_each(rows, rid, groups.select(F.col("doc_id").alias(rid), F.col("component_id").alias("component")), scratch)
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

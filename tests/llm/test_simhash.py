@@ -97,3 +97,10 @@ def test_one_of_each(spark):
     kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "node"]
     assert sorted((r["doc_id"] or 0, r["fp"]) for r in kept.collect()) == [(0, "s"), (3, "q"), (9, "r")]
+
+
+def test_one_of_each_where_doc_ids_repeat(spark):
+    """A doc_id's rows stand for each other only within a component."""
+    rows = [(4, "a b c d", "p", 1), (4, "other words here now", "q", 2), (2, "third text of words", "r", 3), (4, "third text of words", "s", 4)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["fp"] for r in kept.collect()) == ["p", "q", "r"]
