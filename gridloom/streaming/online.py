@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 BIAS = "bias double, spread double, n long"
 #: Learning rates of the interval experts.
-RATES = [0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064, 0.128]
+RATES = [0.0005, 0.001, 0.002, 0.003, 0.005, 0.008, 0.01, 0.015, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2]
 
 
 def bias_step(state: tuple[float, float, int], error: float, weight: float, limit: float = 5.0, least: int = 3) -> tuple[float, float, int]:
@@ -74,7 +74,7 @@ def conformal_intervals(rows: DataFrame, key: str, target: float = 0.9, window:
             half = np.quantile(scores, 1 - level) if len(scores) >= warm else 0.0
             score = abs(actual - pred)
             out.append((ts, pred - half, pred + half, score <= half))
-            miss = (score > np.quantile(scores, 1 - levels)).astype(float) if scores else np.ones(len(RATES))
+            miss = (score > np.quantile(scores, 1 - levels)).astype(float) if scores else np.full(len(RATES), float(score > 0))
             levels, losses = np.clip(levels + rates * (1 - target - miss), 1e-6, 1 - 1e-6), decay * losses + miss
             scores = [*scores[-window + 1 :], score]
         done = pd.DataFrame(out, columns=["ts", "lower", "upper", "hit"])
