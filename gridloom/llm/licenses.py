@@ -88,8 +88,23 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-4-short"]),
 ]
 
+
+def hint(sentences: dict[str, str]) -> str:
+    """A pattern of words of which every one of the sentences has one; a text without them has none of the sentences."""
+    left, words = [set(s.split()) for s in sentences], []
+    while left:
+        counts: dict[str, int] = {}
+        for word in sorted(w for s in left for w in s):
+            counts[word] = counts.get(word, 0) + len(word)  # longer words stand in fewer other texts
+        if not counts:
+            return ""  # a sentence without words has no hint, so every text is looked at
+        words.append(max(counts, key=counts.get))
+        left = [s for s in left if words[-1] not in s]
+    return "(?i)" + ("|".join(words) or "(?!)")
+
+
 #: Every known sentence holds one of these; a text without them has none.
-HINT = "(?i)licen[cs]e|permi(?:ssion|tted)|redistribut|warrant|liable|copyright|gnu general|mozilla| mpl |endorse"
+HINT = hint(SENTENCES)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END, _CUT = r"([.!?])[ \t\r\n]+", "\u0001|\n[ \t\r]*\n"
 
@@ -108,7 +123,7 @@ def identifiers(text: str, sentences: dict[str, str] = SENTENCES) -> Column:
     lines = lambda s: F.filter(F.transform(F.split(s, "\n"), look), lambda i: i.isNotNull())
     told = F.transform(parts, lambda s: F.struct(look(s).alias("id"), s.alias("s")))
     flat = F.flatten(F.transform(told, lambda t: F.when(t["id"].isNotNull(), F.array(t["id"])).otherwise(lines(t["s"]))))
-    return F.when(F.col(text).rlike(HINT), flat).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col(text).rlike(hint(sentences)), flat).otherwise(F.array().cast("array<string>"))
 
 
 def _by_length(rules: list[tuple[str, list[str]]]) -> dict[str, str]:

@@ -65,3 +65,10 @@ def test_rules(spark):
     eight = licenses.scan_licenses(df.filter("doc_id = 8")).first()
     assert eight["sentence_ids"] == "apache-2-copy,apache-2-url" and eight["n_sentences"] == 2
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_own_sentences(spark):
+    """A caller's sentences are found in texts that hold no word of the fixed ones."""
+    df = spark.createDataFrame([(1, "Title\n\nDo what you\nWANT to. More."), (2, "Nothing here."), (3, "Free for all!")], "doc_id long, text string")
+    out = licenses.scan_licenses(df, {"do what you want to": "want", "free for all": "free"}, [("WTFPL", ["want"]), ("Free", ["free"])])
+    assert sorted((r["doc_id"], r["licenses"]) for r in out.collect()) == [(1, "WTFPL"), (2, ""), (3, "Free")]
