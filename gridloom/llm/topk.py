@@ -3,16 +3,18 @@
 Vectors get one more coordinate, sqrt(M - |x|^2) with M the greatest squared norm; then for a query q (with 0 there) the squared
 distance is |q|^2 + M - 2 <q, x>, and the highest inner products are the nearest vectors. Each vector is keyed by its nearest
 pivot and its distance r to it. The triangle inequality bounds every distance from below by |d(q, pivot) - r|, and so every
-score from above. A cell holds one pivot's vectors sorted by r, cut into annuli:
-
-1. in its own cell, each query finds k scores; the least of them is a bound that its answer must reach;
-2. a query goes to the cells whose range of r can reach its bound, and there to the annuli, the nearest first, until what an
-   annulus can give is under the bound, which rises meanwhile;
-3. each query's hits from all cells are merged by rank.
-
-Cells of a frequent pivot are dealt by a hash into parts of at most about ``cell_rows``, so that a vector that many rows
-repeat is no single task's work. Queries meet a cell in groups of at most about ``group_queries``. Pivots are fitted on a
-bounded sample of ``sample`` vectors; every vector is indexed, and what the pivots are changes the work but not the result.
+score from above. A cell holds one pivot's vectors sorted by r, cut into annuli. The search has two rounds:
+
+1. a query goes to the ``first`` pivots whose vectors can score highest, there to one cell each; its k-th score so far is a bound that
+   its answer must reach;
+2. it goes to all other cells that can reach its bound, and there to the annuli, the nearest first, until what an annulus can
+   give is under the bound, which rises meanwhile.
+
+Bounds are integers and are compared as such; what floating point tells is only which cells and annuli can be left out, with
+slack. Cells of a frequent pivot are dealt by a hash into parts of at most about ``cell_rows``. A task holds one cell and streams
+the queries that come to it, so neither a vector that many rows repeat nor the number of queries is bound by a task's memory,
+and the index is never copied. Pivots are fitted on a sample of about ``sample`` vectors or four times the pivots (at most
+16,384); every vector is indexed, and what the pivots are changes the work but not the result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.scratch import Scratch
 
 ANNULUS = 256
-#: About so many scores are held at once while a cell's bounds are found.
-SCORES = 4_000_000
 HITS = "query_id long, vec_id long, score long"
-#: Doubles hold integer products exactly up to this; beyond it products are made of Python's integers.
-EXACT = 2**53
+#: Doubles hold integer products exactly up to the first; 64-bit integers up to the second; beyond, Python's integers are used.
+EXACT, LONG = 2**53, 2**63
+#: The bound of a query that has fewer than k scores.
+NONE = -(2**63)
+#: Pivots, at most.
+MOST_PIVOTS = 4096
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -60,38 +64,78 @@ def _lifted(v: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack((x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))))
 
 
-def _scores(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
-    return q.astype(np.float64) @ x.astype(np.float64).T if exact else q.astype(object) @ x.astype(object).T
+def _scores(q: np.ndarray, x: np.ndarray, largest: int) -> np.ndarray:
+    """Inner products as 64-bit integers, for scores of at most ``largest``; those beyond a long's range stand at its ends."""
+    if largest < EXACT:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if largest < LONG:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.astype(object).T, NONE, LONG - 1).astype(np.int64)
 
 
 def _kth(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """The k-th highest score of each row, without those of the query itself; -inf where there are fewer."""
+    """The k-th highest score of each row, without those of the query itself; NONE where there are fewer."""
     if scores.shape[1] < k:
-        return np.full(len(scores), -np.inf)
-    free = np.where(own, -np.inf, scores.astype(np.float64))
+        return np.full(len(scores), NONE)
+    free = np.where(own, NONE, scores)
     return np.partition(free, free.shape[1] - k, axis=1)[:, free.shape[1] - k]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 4096, group_queries: int = 4096) -> DataFrame:
+class _Cell:
+    """One cell's vectors, by their distance from the pivot."""
+
+    def __init__(self, parts: list[tuple], pivot: np.ndarray):
+        self.pivot = pivot
+        self.ids, self.v, self.r = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        self.starts = np.arange(0, len(self.r), ANNULUS)
+        self.inner, self.outer = self.r[self.starts], self.r[np.minimum(self.starts + ANNULUS, len(self.r)) - 1]
+
+    def search(self, ask: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, reach, largest: int) -> tuple[np.ndarray, ...]:
+        """query, vector and score of all that reach the query's bound, k at most for each query."""
+        flat, bound, found = np.column_stack((q.astype(np.float64), np.zeros(len(q)))), bound.copy(), []
+        upper = reach(flat, np.sqrt(((flat - self.pivot) ** 2).sum(1))[:, None], self.inner, self.outer)
+        turn = np.argsort(-upper, axis=1, kind="stable")  # each query's annuli, the nearest first
+        for step in range(len(self.starts)):
+            for annulus in np.unique(turn[:, step]).tolist():
+                who = np.flatnonzero((turn[:, step] == annulus) & (upper[:, annulus] >= bound))
+                if len(who):
+                    own = slice(self.starts[annulus], self.starts[annulus] + ANNULUS)
+                    scores, same = _scores(q[who], self.v[own], largest), ask[who][:, None] == self.ids[own]
+                    bound[who] = np.maximum(bound[who], _kth(scores, same, k))
+                    row, column = np.nonzero((scores >= bound[who][:, None]) & ~same)
+                    found.append((who[row], self.ids[own][column], scores[row, column]))
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        who, vec, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+        keep = score >= bound[who]
+        who, vec, score = who[keep], vec[keep], score[keep]
+        best = np.lexsort((vec, np.invert(score), who))  # inverted, scores fall without overflow
+        who, vec, score = who[best], vec[best], score[best]
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, int)
+        keep = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)])) < k
+        return ask[who[keep]], vec[keep], score[keep]
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 4096, first: int = 4, cell_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products over all other rows, ties to smaller vec_ids.
 
-    vectors: vec_id and v, longs, as ``quantised`` makes them; shorter vectors count as zero where others go on. is_query is
-    a condition on vec_id. With fewer than k other rows a query gets them all; an empty table gives an empty table.
+    vectors: vec_id and v, longs, as ``quantised`` makes them; shorter vectors count as zero where others go on, so that an empty one
+    scores 0 with all. is_query is a condition on vec_id. With fewer than k other rows a query gets them all; an empty table
+    gives an empty table. Scores beyond a long stand at its ends, and tie there.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "topk")
     rows = scratch.keep(vectors, "vectors")
-    n, width, most, largest = rows.agg(
-        F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
-    ).first()
-    if not n or not width:
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, width, most, high, low = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    exact = width * float(largest or 0) ** 2 < EXACT
+    width, largest = max(width, 1), max(width, 1) * max(abs(high or 0), abs(low or 0)) ** 2
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
     rows = rows.select("vec_id", padded.alias("v"))
-    cell_rows, pivot_count = int(min(65_536, max(1024, 4 * n**0.5))), int(min(256, max(16, n // 1024)))
-    some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).select("v").toArrow()  # bounded by the sample's size
-    lifted = _lifted(_numbers(some.column(0).combine_chunks(), width), most) if len(some) else np.zeros((1, width + 1))
-    pivots = fit_pivots(lifted, pivot_count)
+    cell_rows, count = cell_rows or int(min(65_536, max(1024, 4 * n**0.5))), int(min(MOST_PIVOTS, max(16, n**0.5 / 4)))
+    share = min(1.0, max(sample, 4 * count) / n)
+    some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toArrow()  # bounded by the sample's size
+    pivots = fit_pivots(_lifted(_numbers(some.column(0).combine_chunks(), width), most) if len(some) else np.zeros((1, width + 1)), count)
     slack = 1e-6 * (most + 1)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,89 +147,82 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 4096,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(r)], ["vec_id", "v", "pivot", "r"])
 
     index = scratch.keep(rows.mapInArrow(keyed, "vec_id long, v array<long>, pivot int, r double"), "index")
-    rings = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # a row a pivot
-    parts = {x["pivot"]: -(-x["n"] // cell_rows) for x in rings}
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("pivot")))
-    cells = scratch.keep(index.withColumn("part", part.cast("int")).withColumn("asks", is_query), "cells")
-
-    def seeded(table: pa.Table) -> pa.Table:
-        ids, v, asks = table.column("vec_id").to_numpy(), _numbers(table.column("v").combine_chunks(), width), table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        bounds = [_kth(_scores(v[rows], v, exact), ids[rows][:, None] == ids, k) for rows in np.array_split(np.flatnonzero(asks), asks.sum() * len(ids) // SCORES + 1)]
-        return pa.table({"vec_id": ids[asks], "v": table.column("v").filter(pa.array(asks)), "bound": np.concatenate(bounds)})
-
-    seeds = scratch.keep(cells.groupBy("pivot", "part").applyInArrow(seeded, "vec_id long, v array<long>, bound double"), "seeds")
-    groups = -(-seeds.count() // group_queries) or 1
-    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    for x in rings:
-        low[x["pivot"]], high[x["pivot"]] = x["low"], x["high"]
+    parts = F.ceil(F.count("*") / cell_rows).cast("int").alias("parts")
+    rings = scratch.keep(index.groupBy("pivot").agg(parts, F.min("r").alias("low"), F.max("r").alias("high")), "rings")  # a row a pivot, MOST_PIVOTS at most
+    lows, highs = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for x in rings.collect():
+        lows[x["pivot"]], highs[x["pivot"]] = x["low"], x["high"]
+    parts = F.broadcast(rings.select("pivot", "parts"))
+    home = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int")
+    cells = index.join(parts, "pivot").select("vec_id", "v", "pivot", home.alias("part"), "r")
 
     def reach(q: np.ndarray, d: np.ndarray, low, high) -> np.ndarray:
         """The highest score that vectors between the distances low and high from a pivot can have, q at d from it."""
         gap = np.maximum(0, np.maximum(d - high, low - d))
         return ((q * q).sum(1)[:, None] + most - gap * gap) / 2 + slack
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    there = np.flatnonzero(np.isfinite(lows))
+
+    def uppers(q: np.ndarray) -> np.ndarray:
+        """For each query and each pivot of ``there``, the highest score that a vector of the pivot can have."""
+        q = np.column_stack((q.astype(np.float64), np.zeros(len(q))))
+        d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (pivots[there] ** 2).sum(1) - 2 * q @ pivots[there].T, 0))
+        return reach(q, d, lows[there], highs[there])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.column_stack((_numbers(batch.column(1), width).astype(np.float64), np.zeros(batch.num_rows)))
-            d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (pivots**2).sum(1) - 2 * q @ pivots.T, 0))
-            near, at = np.nonzero((reach(q, d, low, high) >= batch.column(2).to_numpy()[:, None]) & np.isfinite(low))
-            many = np.array([parts[p] for p in at.tolist()], int)
-            near, at = np.repeat(near, many), np.repeat(at, many)
-            number = np.concatenate([np.arange(m) for m in many.tolist()]) if len(many) else np.zeros(0, int)
-            for part in np.array_split(np.arange(len(near)), len(near) // 4096 + 1):  # so that no batch holds many copies of a query
-                picked = batch.take(pa.array(near[part]))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(at[part].astype(np.int32)), pa.array(number[part].astype(np.int32))], ["vec_id", "v", "bound", "pivot", "part"])
-
-    asked = seeds.mapInArrow(sent, "vec_id long, v array<long>, bound double, pivot int, part int")
-    asked = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int"))
-    held = cells.select("vec_id", "v", "pivot", "part", "r", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-
-    def searched(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        if not len(left) or not len(right):
-            return empty
-        r = left.column("r").to_numpy()
-        order = np.argsort(r, kind="stable")
-        r, ids, x = r[order], left.column("vec_id").to_numpy()[order], _numbers(left.column("v").combine_chunks(), width)[order]
-        ask, q, bound = right.column("vec_id").to_numpy(), _numbers(right.column("v").combine_chunks(), width), right.column("bound").to_numpy().copy()
-        flat = np.column_stack((q.astype(np.float64), np.zeros(len(q))))
-        d = np.sqrt(((flat - pivots[key[0].as_py()]) ** 2).sum(1))
-        starts = np.arange(0, len(r), ANNULUS)
-        inner, outer = r[starts], r[np.minimum(starts + ANNULUS, len(r)) - 1]
-        upper = reach(flat, d[:, None], inner, outer)
-        turn, found = np.argsort(-upper, axis=1, kind="stable"), []  # each query's annuli, the nearest first
-        for step in range(len(starts)):
-            for annulus in np.unique(turn[:, step]).tolist():
-                who = np.flatnonzero((turn[:, step] == annulus) & (upper[:, annulus] >= bound))
-                if not len(who):
-                    continue
-                own = slice(starts[annulus], starts[annulus] + ANNULUS)
-                scores, same = _scores(q[who], x[own], exact), ask[who][:, None] == ids[own]
-                bound[who] = np.maximum(bound[who], _kth(scores, same, k))
-                row, column = np.nonzero((scores >= bound[who][:, None]) & ~same)
-                found.append((who[row], ids[own][column], scores[row, column]))
-        if not found:
-            return empty
-        who, vec, score = (np.concatenate([f[i] for f in found]) for i in range(3))
-        score = score.astype(np.int64)
-        best = np.lexsort((vec, -score, who))
-        who, vec, score = who[best], vec[best], score[best]
-        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        rank = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
-        keep = rank < k
-        return pa.table({"query_id": ask[who[keep]], "vec_id": vec[keep], "score": score[keep]})
+            turn = np.argsort(-uppers(_numbers(batch.column(1), width)), axis=1, kind="stable")[:, :first]
+            to = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * turn.shape[1]), pa.array(there[turn].ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, to], ["vec_id", "v", "tried"])
+
+    def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at = np.nonzero(uppers(_numbers(batch.column(1), width)) >= batch.column(3).to_numpy()[:, None])
+            for few in np.array_split(np.arange(len(row)), len(row) // 4096 + 1):  # so that no batch holds many copies of a query
+                columns = batch.take(pa.array(row[few])).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(there[at[few]].astype(np.int32))], ["vec_id", "v", "tried", "bound", "pivot"])
+
+    # written once, so that the second round knows where each query has been
+    queries = scratch.keep(rows.filter(is_query).mapInArrow(nearest, "vec_id long, v array<long>, tried array<int>"), "queries")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, cell = None, [], None
+        for batch in batches:
+            pivot, part, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            v, r, bound = _numbers(batch.column(4), width), batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for at in np.split(np.arange(len(ids)), cuts) if len(ids) else []:
+                key = (pivot[at[0]], part[at[0]])
+                if key != now:
+                    now, held, cell = key, [], None
+                if not asks[at[0]]:
+                    held.append((ids[at], v[at], r[at]))
+                elif held:
+                    cell = cell or _Cell(held, pivots[key[0]])
+                    hits = cell.search(ids[at], v[at], bound[at], k, reach, largest)
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()) for h in hits], ["query_id", "vec_id", "score"])
+
+    def hits(asked: DataFrame) -> DataFrame:
+        """What the queries (vec_id, v, bound, pivot, part) find in their cells. A cell's vectors come before its queries."""
+        held = cells.select("pivot", "part", F.lit(0).alias("asks"), "vec_id", "v", "r", F.lit(NONE).cast("long").alias("bound"))
+        both = held.unionByName(asked.select("pivot", "part", F.lit(1).alias("asks"), "vec_id", "v", F.lit(0.0).alias("r"), "bound"))
+        return both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "asks", "r").mapInArrow(searched, HITS)
 
-    by = ["pivot", "part", "grp"]
-    hits = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(searched, HITS)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    starts = queries.select("vec_id", "v", F.lit(NONE).cast("long").alias("bound"), F.explode("tried").alias("pivot"))
+    early = scratch.keep(hits(starts.join(parts, "pivot").withColumn("part", home)), "early")
+    kth = early.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = queries.join(kth, "vec_id", "left").select("vec_id", "v", "tried", F.coalesce("bound", F.lit(NONE).cast("long")).alias("bound"))
+    more = bounded.mapInArrow(onward, "vec_id long, v array<long>, tried array<int>, bound long, pivot int").join(parts, "pivot").withColumn("home", home)
+    more = more.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).filter(~F.array_contains("tried", F.col("pivot")) | (F.col("part") != F.col("home")))
+    late = hits(more)
+    return early.unionByName(late).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_pivot_top_k(spark, sf_dir: str) -> DataFrame:
     """For every 20th vector, the 20 others with the highest inner product."""
     return top_k(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("vec_id") % 20 == 0)
 
-
 OP5_SQL = """
 WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
            FROM embeddings

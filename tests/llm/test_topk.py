@@ -1,6 +1,7 @@
 """Exact top-k against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import topk
@@ -33,10 +34,28 @@ def test_crowds_and_ties(spark):
     v[100:400] = v[100]  # a vector that half the rows repeat
     rows = [(i, [float(x) / 64 for x in r]) for i, r in enumerate(v.tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = found(topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0, k=7, group_queries=8))
+    got = found(topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0, k=7, cell_rows=50))
     assert got == brute({i: r for i, r in enumerate(v.tolist())}, range(600), 7)
 
 
+@pytest.mark.parametrize("low, high", [(2**26, 2**29), (-(2**30), 2**30), (2**33, 2**36)])
+def test_large_components(spark, low, high):
+    v = np.random.default_rng(low % 97).integers(low, high, (600, 2))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, v array<long>")
+    want = brute(v.astype(object).tolist(), range(600), 5)
+    held = lambda s: max(-(2**63), min(s, 2**63 - 1))
+    if high**2 * 2 < 2**63:
+        assert found(topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, cell_rows=40)) == want
+    else:  # beyond a long all scores stand at its end and tie
+        assert [s for _, s in found(topk.top_k(df, F.col("vec_id") % 20 == 0, k=5))[0]] == [held(s) for _, s in want[0]]
+
+
+def test_empty_vectors_score_zero(spark):
+    rows = spark.createDataFrame([(i, []) for i in range(30)], "vec_id long, embedding array<float>")
+    got = found(topk.top_k(topk.quantised(rows), F.col("vec_id") % 20 == 0))
+    assert got == {0: [(i, 0) for i in range(1, 21)], 20: [(i, 0) for i in range(20)]}
+
+
 def test_odd_rows(spark):
     big = 1e12
     rows = [(0, [1.0, 2.0], "a"), (20, [float("nan"), 1.0], "a"), (40, None, "a"), (60, [None, 1.0], "a"), (None, [1.0, 1.0], "a"), (1, [big, -big], "a"), (2, [0.5], "a"), (2, [0.5], "a"), (3, [], "a"), (4, [float("inf"), 0.0], "a")]
