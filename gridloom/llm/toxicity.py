@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are texts that labels mark as toxic; the unlabelled are labelled rows taken without regard to their mark, in which
-toxic ones hide at the class prior. A classifier minimises p R+(f) + max(0, Ru-(f) - p R+-(f)): the risk on positives as
+Positives are texts that labels mark as toxic; the unlabelled are documents at large, drawn without regard to any label, in which
+toxic ones hide at the class prior. The texts of rows that labels mark as not toxic have no part of their own. The prior is a
+parameter; where none is given, it is the share of toxic marks among the labelled rows. A classifier minimises p R+(f) + max(0, Ru-(f) - p R+-(f)): the risk on positives as
 positives, and on the unlabelled as negatives less what the positives among them must cost. The last part is kept from
 going below zero, or the classifier would learn the positives by heart.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import fresh_name
@@ -61,7 +62,11 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: dict
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier under the non-negative risk, by full-batch Adam from zero."""
+    """Weights and bias of a linear classifier under the non-negative risk, by full-batch Adam from zero.
+
+    With few positives their part of the risk is learned by heart and leaves room for false alarms. So the bias is lowered, where
+    need be, until no larger share of the unlabelled than the prior is called toxic.
+    """
     n = positive.shape[1]
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
@@ -78,7 +83,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
         g = np.concatenate((positive.T @ gp.astype(np.float32) + unlabelled.T @ gu.astype(np.float32) + decay * w[:n], [gp.sum() + gu.sum()]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[:n], float(w[n])
+    z = np.sort(unlabelled @ w[:n].astype(np.float32))[::-1]
+    return w[:n], float(min(w[n], -z[int(prior * len(z))] - 1e-6))
 
 
 def matrix(rows: list[np.ndarray], names: dict[str, int], words: list[str]) -> np.ndarray:
@@ -97,7 +103,6 @@ def _bag_trainer(prior: float, vocabulary: int):
         names: dict[str, int] = {}
         rows = numbered((x.as_py() or "" for x in table.column("text")), names)
         positive = [x for x, y in zip(rows, table.column("toxic").to_pylist()) if y]
-        # of all labelled rows a sampled share; toxic rows beyond that share are positives only
         unlabelled = [x for x, y in zip(rows, table.column("unlabelled").to_pylist()) if y]
         words = choose(positive, unlabelled, names, vocabulary) if positive and unlabelled else []
         if words:
@@ -110,23 +115,26 @@ def _bag_trainer(prior: float, vocabulary: int):
     return trained
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 3_000, unlabelled: int = 8_000, bags: int = 5, vocabulary: int = 512, seed: int = 42) -> list[tuple[dict[str, float], float]]:
+def fit(docs: DataFrame, labels: DataFrame, pool: Column | None = None, prior: float | None = None, positives: int = 3_000, unlabelled: int = 8_000, bags: int = 5, vocabulary: int = 512, seed: int = 42) -> list[tuple[dict[str, float], float]]:
     """One (weights by feature, bias) per bag. labels: doc_id and toxic of the rows to learn from, no others.
 
-    Rows with a null doc_id or a null mark are left out; a doc_id that labels marks twice counts as toxic if either does.
-    Without a positive row every text gets the prior (at least 0.001) as its score. A training row goes to all bags but
-    one, so that each bag misses another part.
+    The unlabelled are drawn by a hash from all docs that meet the condition ``pool`` on doc_id (all, if it is None), whether labels
+    know them or not. Rows with a null doc_id or a null mark are left out; a doc_id that labels marks twice counts as toxic
+    if either does. Without a positive row every text gets the prior (at least 0.001) as its score. A training row goes to
+    all bags but one, so that each bag misses another part.
     """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, hits = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior = min(max(hits / max(n, 1), 0.001), 0.999)
+    prior = min(max(hits / max(n, 1) if prior is None else prior, 0.001), 0.999)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    drawn = pool if pool is not None else F.lit(True)
     steps, at = 1 << 20, F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
-    as_positive, as_unlabelled = (F.col("toxic") == 1) & (at < positives / max(hits, 1) * steps), at < unlabelled / max(n, 1) * steps
-    sample = marks.withColumn("unlabelled", as_unlabelled).withColumn("toxic", as_positive).filter(F.col("toxic") | F.col("unlabelled"))
-    # bounded by the two parameters, so it may go to every task
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    positive = marks.filter((F.col("toxic") == 1) & (at < positives / max(hits, 1) * steps)).select("doc_id", F.lit(True).alias("toxic"))
+    as_unlabelled = drawn & (at < unlabelled / max(rows.filter(drawn).count(), 1) * steps)
+    # the positives are bounded by their parameter, so they may go to every task
+    sample = rows.join(F.broadcast(positive), "doc_id", "left").select("doc_id", "text", F.coalesce("toxic", F.lit(False)).alias("toxic"), as_unlabelled.alias("unlabelled"))
     bag = F.explode(F.array_remove(F.array(*[F.lit(x) for x in range(bags)]), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(bags)).cast("int"))) if bags > 1 else F.lit(0)
-    dealt = texts.withColumn("bag", bag)
+    dealt = sample.filter(F.col("toxic") | F.col("unlabelled")).withColumn("bag", bag)
     models = dealt.groupBy("bag").applyInArrow(_bag_trainer(prior, vocabulary), "bag int, words array<string>, weights array<double>, bias double").collect()
     if not models:
         return [({}, float(np.log(prior / (1 - prior))))]
@@ -174,9 +182,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, by classifiers that learn from rows not held out.
 
     Repeated rows each have their row, with the same score. A null doc_id is scored and not held out. An empty table
-    gives an empty table. Other columns aren't read.
+    gives an empty table. Other columns aren't read. Neither labels nor texts of held-out rows are learned from.
     """
-    models = fit(docs, labels.filter(~held_out()), **parameters)
+    models = fit(docs, labels.filter(~held_out()), ~held_out(), **parameters)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = score(rows, models, "score")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -185,7 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose score is under 0.5, as they are."""
     name = fresh_name(docs, "toxic_score")[0]
-    return score(docs, fit(docs, labels.filter(~held_out()), **parameters), name).filter(F.col(name) < 0.5).drop(name)
+    return score(docs, fit(docs, labels.filter(~held_out()), ~held_out(), **parameters), name).filter(F.col(name) < 0.5).drop(name)
 
 
 def op2_nnpu_toxicity(spark, sf_dir: str) -> DataFrame:
