@@ -12,6 +12,7 @@ the reader looks for the next valid member or version line, goes on there, and l
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from gridloom.llm.scratch import Scratch
 
 #: Payloads under this many bytes are never revisited.
 LEAST_SHARED = 100
+#: An archive is closed once it holds so many bytes; a task reads one archive whole.
+ARCHIVE_BYTES = 1 << 28
 #: Bytes of an archive given to the decompressor at once.
 CHUNK = 65_536
 MEMBER = b"\x1f\x8b\x08"
@@ -55,39 +58,38 @@ def record(kind: str, page_id: str | None, uri: str | None, length: int, digest:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED, records_a_file: int = 20_000) -> None:
-    """Write a record per row of pages (page_id, url, html) under path.
+def write_archives(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record per row of pages (page_id, url, html) under path, in archives of about ``archive_bytes`` at most.
 
     Of rows with equal payloads of at least ``least_shared`` bytes, that with the smallest page_id is the response and the
     others revisit it; repeated rows of that page_id are responses too. Smaller payloads are all responses. A null html is an
     empty payload. A null page_id or url leaves its header out; where all page_ids of a payload are null, all are responses,
     and a null page_id never is what others refer to. Other columns aren't read.
+
+    Which rows revisit is decided over page_ids and digests alone. Payloads then move once, dealt by page_id and digest, so that a
+    payload that very many pages share is no single task's; revisits drop theirs before anything is compressed.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
-    digest = F.sha2("payload", 256)
-    first = rows.filter(F.length("payload") >= least_shared).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    known = rows.filter(F.length("payload") >= least_shared).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("ids")).filter((F.col("ids") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    again = known.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first")
+    told = rows.join(again, rows["page_id"].eqNullSafe(again["again_id"]) & (rows["digest"] == again["again_digest"]), "left")
+    payload = F.when(F.col("first").isNull(), F.col("payload"))
+    told = told.select("page_id", "url", F.length("payload").cast("long").alias("length"), "digest", "first", payload.alias("payload"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for batch in batches:
-            out = []
-            for page_id, url, payload, sha in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                data = payload.as_py()
-                out.append(member(record("response", None if page_id is None else str(page_id), url, len(data), sha, data)))
-            lengths = pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lengths, batch.column(3), pa.array(out, pa.binary())], ["page_id", "url", "length", "digest", "whole"])
-
-    def revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page_id, url, length, sha, first, whole in zip(*[c.to_pylist() for c in batch.columns]):
-                again = first is not None and first != page_id
-                out.append((member(record("revisit", None if page_id is None else str(page_id), url, length, sha, None, str(first))) if again else whole)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            out, volumes = [], []
+            for page_id, url, length, sha, first, payload in zip(*[c.to_pylist() for c in batch.columns[:5]], batch.column(5)):
+                own, refers = None if page_id is None else str(page_id), None if first is None else str(first)
+                out.append(member(record("response" if first is None else "revisit", own, url, length, sha, payload.as_py(), refers))[:-1])
+                volumes.append(written // archive_bytes)
+                written += len(out[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(out, pa.binary())], ["volume", "value"])
 
-    whole = rows.withColumn("digest", digest).mapInArrow(packed, "page_id long, url string, length long, digest string, whole binary")
-    chosen = whole.join(first, "digest", "left").select("page_id", "url", "length", "digest", "first", "whole")
-    lines = chosen.mapInArrow(revisits, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_a_file).mode("overwrite").text(path)
+    lines = told.mapInArrow(packed, "volume int, value binary").select("volume", F.col("value").cast("string").alias("value"))
+    lines.write.partitionBy("volume").option("lineSep", "\u0000").mode("overwrite").text(path)
 
 
 def _headers(head: bytes) -> dict[bytes, str]:
@@ -239,7 +241,8 @@ def _before_error(data: bytes, at: int, fed: int) -> list[bytes]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RECORDS for all archives under path and its subfolders, gaps included; names that start with _ or . are skipped.
 
-    A task holds one archive at a time, as the writer bounds their records; an empty archive has no row.
+    A task holds one archive at a time, as the writer bounds their bytes (Spark's reader of whole files takes 2 GiB at most); an
+    empty archive has no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +258,27 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, RECORDS)
 
 
+def page_records(spark: SparkSession, path: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The records of the archives under path, and the log of quarantined gaps (file, start, end, reason).
+
+    Both read one written table, ``records`` of the scratch folder, so that what was left out can be looked up after the job.
+    """
+    rows = scratch.keep(read_archives(spark, path), "records")
+    return rows.filter(F.col("kind") != "gap"), rows.filter(F.col("kind") == "gap").select("file", "start", "end", "reason")
+
+
 def op3_warc_salvage(spark, sf_dir: str) -> DataFrame:
-    """A record per page, written to archives and read back."""
-    path = Scratch(spark, "warc").path("archives")
+    """A record per page, written to archives and read back by the salvage reader.
+
+    Gaps would be in the written table of ``page_records``; if there are any, the log says how many bytes were set aside.
+    """
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = read_archives(spark, path).filter(F.col("kind") != "gap")
+    records, gaps = page_records(spark, path, scratch)
+    n, lost = gaps.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    if n:
+        logging.getLogger(__name__).warning("%d quarantined gaps of %d bytes; see %s", n, lost, scratch.path("records"))
     return records.select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")
     )

@@ -108,3 +108,25 @@ def test_archives_of_any_name_and_in_subfolders(spark, tmp_path):
     (tmp_path / "deep" / "plain.warc").write_bytes(made[2])
     (tmp_path / "_SUCCESS").write_bytes(b"")
     assert sorted(r["page_id"] for r in warc.read_archives(spark, str(tmp_path)).collect()) == ["0", "1", "2"]
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    """Many small archives give the same rows as one; a payload that most pages share is told by ids and digests alone."""
+    rows = [(i, f"u{i}", ("shared " * 40) if i % 3 else f"own {i} " * 30) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    found = []
+    for size in (2_000, 1 << 28):
+        path = Scratch(spark, "t").path("sizes")
+        warc.write_archives(df, path, archive_bytes=size)
+        out = warc.read_archives(spark, path)
+        found.append(sorted((r["page_id"], r["kind"], r["payload_digest"], r["refers_to"] or "") for r in out.collect()))
+        lengths = [r["length"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()]
+        assert max(lengths) < size + 2_000
+    assert found[0] == found[1] and sum(r[1] == "revisit" for r in found[0]) == 199
+
+
+def test_gaps_are_kept_in_a_table(spark, tmp_path):
+    made = [warc.member(r) for _, _, r in records(3, 9)]
+    (tmp_path / "a.warc.gz").write_bytes(made[0] + b"lost bytes" + made[1])
+    good, gaps = warc.page_records(spark, str(tmp_path), Scratch(spark, "t"))
+    assert good.count() == 2 and [(r["start"], r["end"]) for r in gaps.collect()] == [(len(made[0]), len(made[0]) + 10)]
