@@ -1,9 +1,11 @@
-"""Near copies by word shingles: one row of each group of texts whose shingle sets are alike.
+"""Near copies by SimHash and word shingles: one row of each group of texts whose shingle sets are alike.
 
 1. A text becomes the set of its shingles' hashes. Rows with equal sets count once, by the row with the smallest number;
-2. MinHash bands find candidates: sets that agree in all of a band's minima meet in a bucket. A pair of likeness s is missed
+2. candidates are sets whose SimHash are at most ``BITS_APART`` bits apart, found by pigeonring filtering (``simhash.links``). Sets of
+   likeness 0.8 are 4 to 14 bits apart, where no chain of segments tells them from other texts. So a second source finds
+   those that SimHash can't: sets that agree in all of a band's minima meet in a bucket. A pair of likeness s is missed
    by all bands with a chance of (1 - s ** ROWS) ** BANDS, 6 in 100,000 at 0.8 and less above;
-3. buckets joined through shared sets are loose groups, which hold every candidate pair. Within one, every pair's exact Jaccard
+3. candidates joined through shared sets are loose groups, which hold every candidate pair. Within one, every pair's exact Jaccard
    likeness is computed, other than of pairs already joined, and gives the links of a spanning forest;
 4. the components of those links are the groups.
 
@@ -22,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.scratch import Scratch, fresh_name
+from gridloom.llm.keeping import join_by_key, least_of_each, numbered
+from gridloom.llm.scratch import Scratch
+from gridloom.llm.simhash import links as simhash_links
+from gridloom.llm.simhash import of_hashes
 
 WORDS, LEAST = 5, 0.8
+BITS_APART = 2
 BANDS, ROWS = 32, 6
 #: Shingles whose minima are taken at once.
 AT_ONCE = 4_096
@@ -121,20 +127,29 @@ def groups(rows: DataFrame, rid: str, scratch: Scratch, words: int = WORDS, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, prints, keys = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                prints.append(of_hashes(found))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "keys"])
-
-    signed = scratch.keep(rows.select(F.col(rid), F.col("text").cast("string")).mapInArrow(run, "rid long, digest binary, keys array<long>"), "signed")
-    distinct = signed.groupBy("digest").agg(F.min("rid").alias("node"))
-    distinct = scratch.keep(distinct, "distinct")
-    dealt = scratch.keep(signed.join(distinct, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), F.explode("keys").alias("key")), "dealt")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "fp", "keys"]
+            )
+
+    signed = scratch.keep(rows.select(F.col(rid), F.col("text").cast("string")).mapInArrow(run, "rid long, digest binary, fp long, keys array<long>"), "signed")
+    distinct = scratch.keep(signed.groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "distinct")
+    nodes = scratch.keep(signed.join(distinct, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "fp", "keys"), "nodes")
+    prints = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    equal = nodes.join(prints, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = simhash_links(prints, Scratch(scratch.spark, "pigeonring"), BITS_APART)
+    for end in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first")), end)
+    near = near.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    dealt = scratch.keep(nodes.select("node", F.explode("keys").alias("key")), "dealt")
     buckets = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "first")
-    loose = dealt.join(buckets, "key").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    roots = scratch.keep(components(loose, scratch), "loose")
+    banded = dealt.join(buckets, "key").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    roots = scratch.keep(components(banded.union(equal).union(near), scratch), "loose")
     scratch.drop("dealt")
     texts = rows.select(F.col(rid).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     members = scratch.keep(texts.join(roots, "node").withColumn("chars", F.length("text")), "members")
@@ -156,25 +171,8 @@ def groups(rows: DataFrame, rid: str, scratch: Scratch, words: int = WORDS, leas
         pairs = pairs.select("node", F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "label")
         more = scratch.keep(_confirmed(members.select("node", "text").join(pairs, "node").select("cell", "node", "label", "text"), words, least), "more")
         joined = scratch.keep(components(links.union(more), Scratch(scratch.spark, "confirmed")), "rejoined")
-    named = distinct.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
-    return signed.select("rid", "digest").join(named, "digest").select(F.col("rid").alias(rid), "component")
-
-
-def least_of_each(rows: DataFrame, rid: str, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of a written table's rows those with the least (doc_id, rid) of their component, without rid.
-
-    found: rid and component of every row. Rows without a doc_id can't be named and all stay.
-    """
-    named = rows.select(rid, "doc_id").filter(F.col("doc_id").isNotNull()).join(found, rid)
-    kept = named.groupBy("component").agg(F.min(F.struct("doc_id", rid)).alias("least")).select(F.col("least")[rid].alias(rid))
-    kept = rows.join(scratch.keep(kept, "kept"), rid, "left_semi").select(*rows.columns)
-    return kept.unionByName(rows.filter(F.col("doc_id").isNull())).drop(rid)
-
-
-def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
-    """docs as a written table whose rows are numbered, and the name of the number."""
-    (rid,) = fresh_name(docs, "row_id")
-    return scratch.keep(docs.withColumn(rid, F.monotonically_increasing_id()), "rows"), rid
+    named = scratch.keep(distinct.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), "n"), "named")
+    return join_by_key(signed.select("rid", "digest"), named, "digest", "n").select(F.col("rid").alias(rid), "component")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:

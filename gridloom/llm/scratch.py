@@ -1,21 +1,25 @@
 """Written tables that cut lineage, in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``. Only where that is unset, as in a local test session, a folder of this process is
-set as the checkpoint folder.
+The folder is ``spark.checkpoint.dir``. Only where that is unset, and only with a local master, as in tests, a folder of this process
+is set as the checkpoint folder; on a cluster no machine's own folder will do, and an error says so.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; one is set only if it names none."""
+    """The shared folder that the session names; one is set only if it names none and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -24,9 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables of one operator call, each under a name of its own."""
 
+    #: The folders made since the innermost ``released`` began.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -36,12 +44,24 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no returned plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, name: str = "") -> None:
+        """Delete a table that no returned plan reads; without a name, all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes at its end the tables of all operator calls within; their results must have been written by then."""
+    before, Scratch.made = Scratch.made, []
+    try:
+        yield
+    finally:
+        inside, Scratch.made = Scratch.made, before
+        for scratch in inside:
+            scratch.drop()
+
+
 def fresh_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names that start with the wanted ones and clash with no column of df, in any case."""
     taken, found = {c.lower() for c in df.columns}, []

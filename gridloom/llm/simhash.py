@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.nearcopies import least_of_each, numbered
+from gridloom.llm.keeping import join_by_key, least_of_each, numbered
 from gridloom.llm.scratch import Scratch
 
 BITS = 64
@@ -52,10 +52,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     n = len(found) - words + 1
     spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist())
     hashes = np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, n)
+    return of_hashes(hashes)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of unsigned 64-bit hashes: the bits set in more than half of them; 0 of none."""
     counts = np.zeros(BITS, np.int64)
-    for low in range(0, n, AT_ONCE):
+    for low in range(0, len(hashes), AT_ONCE):
         counts += np.unpackbits(hashes[low : low + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -183,13 +188,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, seed: int =
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, words, seed), "prints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = scratch.keep(components(links(distinct, scratch, most, bucket_rows), scratch), "roots")
     rooted = roots.join(distinct, roots["node"] == distinct["fp"])
     named = rooted.groupBy("root").agg(F.min("least").alias("named"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "named")
-    groups = distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = scratch.keep(distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"), "n"), "groups")
+    return join_by_key(prints, groups, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, most: int = 2, seed: int = 42, bucket_rows: int = 128) -> DataFrame:
