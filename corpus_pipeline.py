@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
 documents. Between stages the rows are written as Parquet and read again.
+
+All stages take any further columns along, whatever their names. A null text counts as empty: it isn't toxic, empty texts are copies
+of each other, and an empty text becomes a piece of one end token. Rows without a doc_id pass all stages and are pieces of a null
+doc_id; those that repeat a doc_id are told apart by their texts. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import mixing, nearcopies, packing, secrets, toxicity
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.scratch import Scratch, released
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; returns the last one's rows."""
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; returns the last one's rows. A stage's own tables, and its input, go once its output is written."""
+    scratch, docs, last = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with released():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if last:
+            scratch.drop(last)
+        last = name.replace(" ", "_")
     return STAGES[-1][1](spark, docs, sf_dir)
