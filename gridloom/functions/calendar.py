@@ -52,7 +52,7 @@ def holidays_between(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 def daylight_hours(day_of_year: Column, latitude: float = 62.0) -> Column:
     """Hours of daylight from the sun's declination; 0 in polar night, 24 in polar day."""
-    declination = F.radians(F.lit(23.44)) * F.sin(2 * F.pi() * (day_of_year + 284) / 365.0)
+    declination = F.radians(F.lit(23.45)) * F.sin(2 * F.pi() * (day_of_year + 284) / 365.0)
     cosine = -F.tan(F.radians(F.lit(latitude))) * F.tan(declination)
     return 24 / F.pi() * F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
 
@@ -67,3 +67,8 @@ def year_fraction(ts: Column) -> Column:
 def fourier(phase: Column, orders: int, prefix: str) -> list[Column]:
     """sin and cos of a phase (0 to 1) for each order."""
     return [f(2 * F.pi() * k * phase).alias(f"{prefix}_{n}{k}") for k in range(1, orders + 1) for n, f in (("sin", F.sin), ("cos", F.cos))]
+
+
+def ring_distance(a: Column, b: Column, size: int = 365) -> Column:
+    """The shorter way between two days of the year."""
+    return F.least(F.abs(a - b), size - F.abs(a - b))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import year_fraction
@@ -39,13 +39,13 @@ def _angle(ts: Column) -> Column:
     return 2 * F.pi() * year_fraction(ts)
 
 
-def zenith_cosine(ts: Column, latitude: float, longitude: float) -> Column:
+def zenith_cosine(ts: Column, latitude: float | Column, longitude: float | Column) -> Column:
     """Cosine of the sun's zenith angle after Spencer (1971); 0 below the horizon."""
     a = _angle(ts)
     declination = 0.006918 - 0.399912 * F.cos(a) + 0.070257 * F.sin(a) - 0.006758 * F.cos(2 * a) + 0.000907 * F.sin(2 * a) - 0.002697 * F.cos(3 * a) + 0.00148 * F.sin(3 * a)
     minutes = 229.18 * (0.000075 + 0.001868 * F.cos(a) - 0.032077 * F.sin(a) - 0.014615 * F.cos(2 * a) - 0.040849 * F.sin(2 * a))
     hours = (F.unix_timestamp(ts) - F.unix_timestamp(F.date_trunc("day", ts))) / 3600 + longitude / 15 + minutes / 60
-    lat = F.radians(F.lit(latitude))
+    lat = F.radians(F.lit(latitude) if isinstance(latitude, float) else latitude)
     cosine = F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(F.radians(15 * (hours - 12)))
     return F.greatest(cosine, F.lit(0.0))
 
@@ -79,14 +79,47 @@ def kasten_czeplak(cloud_percent: Column, a: float = 0.75, b: float = 3.4) -> Co
     return 1 - a * F.pow(cloud_percent / 100, F.lit(b))
 
 
-def panel_kwh(irradiance: Column, kwp: float, tilt: float = 45.0, azimuth: float = 180.0, efficiency: float = 0.85) -> Column:
+def cloud_modulator(cloud_percent: Column, form: str = "kasten_czeplak", start: float = 1.0, slope: float = 0.75, power: float = 3.4, floor: float = 0.0) -> Column:
+    """What clouds leave of clear sky: by Kasten and Czeplak, in a line from 1, or in a line that ends at a floor."""
+    share = cloud_percent / 100
+    if form == "kasten_czeplak":
+        return kasten_czeplak(cloud_percent, slope, power)
+    if form == "linear":
+        return 1 - slope * share
+    if form == "affine_floor":
+        return F.greatest(start - slope * share, F.lit(floor))
+    raise ValueError(f"no such form: {form}")
+
+
+def solar_mw(clear: Column, left: Column, base: float, gain: float) -> Column:
+    """Solar power from clear-sky irradiance and what clouds leave of it; not below zero."""
+    return F.greatest(base + gain * clear * left, F.lit(0.0))
+
+
+def site_irradiance(hours: DataFrame, sites: DataFrame) -> DataFrame:
+    """ts, ghi: clear-sky irradiance (Haurwitz) of the sites (lat, lon, weight: a handful of rows), weighted."""
+    each = hours.select("ts").crossJoin(F.broadcast(sites))
+    ghi = haurwitz(zenith_cosine(F.col("ts"), F.col("lat"), F.col("lon")))
+    return each.groupBy("ts").agg((F.sum(F.col("weight") * ghi) / F.sum("weight")).alias("ghi"))
+
+
+# The loss per squared degree from 45, and the least shares for tilt and azimuth.
+TILT_LOSS, LEAST_TILT, MOST_TILT, LEAST_AZIMUTH = 0.0006, 0.6, 1.05, 0.4
+
+
+def tilted_kwh(irradiance: Column, kwp: float, tilt: Column, azimuth: Column, efficiency: float = 0.85) -> Column:
     """Hourly yield of panels, corrected for tilt and azimuth, within 0 and what they can give."""
-    tilted = min(max(1 - 0.0006 * (tilt - 45) ** 2, 0.6), 1.05)
-    off = F.abs(F.pmod(F.lit(azimuth - 180 + 180), F.lit(360.0)) - 180)
-    turned = F.greatest(F.cos(F.radians(off) / 2), F.lit(0.4))
+    tilted = F.greatest(F.least(1 - TILT_LOSS * F.pow(tilt - 45, F.lit(2)), F.lit(MOST_TILT)), F.lit(LEAST_TILT))
+    off = F.abs(F.pmod(azimuth, F.lit(360.0)) - 180)
+    turned = F.greatest(F.cos(F.radians(off) / 2), F.lit(LEAST_AZIMUTH))
     return F.least(F.greatest(irradiance / 1000 * kwp * efficiency * tilted * turned, F.lit(0.0)), F.lit(kwp * efficiency))
 
 
+def panel_kwh(irradiance: Column, kwp: float, tilt: float = 45.0, azimuth: float = 180.0, efficiency: float = 0.85) -> Column:
+    """The same for panels of one tilt and azimuth."""
+    return tilted_kwh(irradiance, kwp, F.lit(float(tilt)), F.lit(float(azimuth)), efficiency)
+
+
 def soft_floor(price: Column, floor: float = -5.0) -> Column:
     """The price above a floor, by softplus: it nears the floor and never goes below."""
     over = price - floor

@@ -24,3 +24,9 @@ def marginal_price(buy: Column, sell: Column, pv: Column, base: Column) -> Colum
 
 def net_cost(buy: Column, sell: Column, pv: Column, load: Column) -> Column:
     return F.greatest(load - pv, F.lit(0.0)) * buy - F.greatest(pv - load, F.lit(0.0)) * sell
+
+
+def blended_price(buy: Column, sell: Column, pv: Column, demand: Column) -> Column:
+    """Buy and sell price by the share of demand that panels give; all bought where there is no demand."""
+    share = F.coalesce(F.least(F.greatest(F.try_divide(pv, demand), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return (1 - share) * buy + share * sell

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.names import fresh_name
+
 
 def hour_grid(hourly: DataFrame, keys: list[str]) -> DataFrame:
     """keys and ts for every hour from each key's first to its last."""
@@ -26,14 +28,15 @@ def gap_ranges(hourly: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """left with the value of right's last row (by ts, then tie) at or before its ts.
+    """left with the value of right's last row (by ts, then tie) at or before its ts; null where there is none. Nulls are passed over.
 
-    One window over the union of both sides, so the work is a sort and no pairs are made.
+    Where left has a column of the value's name, the new one gets an underscore in front. One window over the union of both sides, so the work is a sort and no pairs are made.
     """
-    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*keys, "ts", value, tie).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    so_far = Window.partitionBy(*keys).orderBy("ts", "_side", F.col(tie).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn(value, F.last(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).over(so_far))
-    return found.filter("_side = 1").select(*left.columns, value)
+    side, got, order = fresh_name(left, "side", value, "tie")
+    both = left.withColumn(side, F.lit(1)).unionByName(right.select(*keys, "ts", F.col(value).alias(got), F.col(tie).alias(order)).withColumn(side, F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy("ts", side, F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(got, F.last(F.when(F.col(side) == 0, F.col(got)), ignorenulls=True).over(so_far))
+    return found.filter(F.col(side) == 1).select(*left.columns, got)
 
 
 def time_lag(series: DataFrame, keys: list[str], value: str, hours: int, out: str) -> DataFrame:
@@ -42,9 +45,15 @@ def time_lag(series: DataFrame, keys: list[str], value: str, hours: int, out: st
     return series.join(past, [*keys, "ts"], "left")
 
 
-def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """For each key the row that comes first in the order."""
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
+def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """For each key the row with the greatest values of the order columns; of equal ones, the greatest in all columns.
+
+    An aggregate, so that rows of a key meet beforehand where they are and only one of them is exchanged. Nulls are least.
+    """
+    rest = [c for c in rows.columns if c not in {*keys, *order}]
+    best = F.max(F.struct(*order, *rest)).alias(fresh_name(rows, "best")[0])
+    found = rows.groupBy(*keys).agg(best)
+    return found.select(*[c if c in keys else F.col(found.columns[-1])[c].alias(c) for c in rows.columns])
 
 
 def active_per_day(intervals: DataFrame, start: str, stop: str, amount: str) -> DataFrame:

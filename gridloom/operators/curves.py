@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,19 +28,33 @@ def sorted_prices(curve: DataFrame, keys: list[str], value: str) -> DataFrame:
     return curve.select(*keys, "k", (F.col("k") * F.col(value) - (F.col("k") - 1) * before).alias("price"))
 
 
+def _pooled(blocks: Column, value: Column) -> Column:
+    """Blocks (sum, n) of rising means with one more value: it takes in the blocks before it, from the last, whose mean is above its own."""
+    start = F.struct(value.alias("sum"), F.lit(1).alias("n"), F.lit(False).alias("done"), F.slice(blocks, 1, 0).alias("kept"))
+
+    def back(cur: Column, block: Column) -> Column:
+        stop = cur["done"] | (block["sum"] * cur["n"] < cur["sum"] * block["n"])
+        kept = F.when(stop, F.array_append(cur["kept"], block)).otherwise(cur["kept"])
+        more = lambda c: cur[c] + F.when(stop, F.lit(0)).otherwise(block[c])
+        return F.struct(more("sum").alias("sum"), more("n").alias("n"), stop.alias("done"), kept.alias("kept"))
+
+    return F.aggregate(F.reverse(blocks), start, back, lambda cur: F.array_append(F.reverse(cur["kept"]), F.struct(cur["sum"].alias("sum"), cur["n"].alias("n"))))
+
+
 def isotonic(values: DataFrame, keys: list[str], order: str, value: str, increasing: bool = True) -> DataFrame:
-    """values with ``fitted``, the closest monotone sequence: over all spans that hold a place, the largest least mean.
+    """values with ``fitted``, the closest monotone sequence, by pooling adjacent violators in one fold over a key's values.
 
-    Within a key's short sequence (a day's curve): the spans come from array functions over one collected array of it.
+    A key is a short sequence (a day's curve), gathered in one array. Rows without a value are left out; ties of the order are taken
+    by value.
     """
     sign = 1.0 if increasing else -1.0
-    rows = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (sign * F.col(value)).alias("v")))).alias("s"))
-    n = F.size("s")
-    sums = F.aggregate("s", F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["v"]))
-    mean = lambda i, j: (F.get("sums", j) - F.get("sums", i - 1)) / (j - i + 1)
-    best = lambda k: F.array_max(F.transform(F.sequence(F.lit(1), k), lambda i: F.array_min(F.transform(F.sequence(k, n), lambda j: mean(i, j)))))
-    each = rows.withColumn("sums", sums).select(*keys, F.posexplode(F.transform("s", lambda x, k: F.struct(x["o"].alias(order), (sign * x["v"]).alias(value), (sign * best(k + 1)).alias("fitted")))).alias("at", "x"))
-    return each.select(*keys, "x.*")
+    known = values.filter(F.col(value).isNotNull())
+    rows = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (sign * F.col(value)).alias("v")))).alias("s"))
+    none = F.array().cast("array<struct<sum:double,n:int>>")
+    blocks = F.aggregate("s", none, lambda done, x: _pooled(done, x["v"]))
+    fitted = F.flatten(F.transform(blocks, lambda b: F.array_repeat(b["sum"] / b["n"], b["n"])))
+    each = rows.select(*keys, F.explode(F.arrays_zip("s", fitted.alias("f"))).alias("x"))
+    return each.select(*keys, F.col("x.s.o").alias(order), (sign * F.col("x.s.v")).alias(value), (sign * F.col("x.f")).alias("fitted"))
 
 
 def cheapest_block(hourly: DataFrame, keys: list[str], length: int = 4) -> DataFrame:

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.names import fresh_name
+
 
 def headline() -> list[Column]:
-    """Aggregates over actual and pred: n, mae, rmse, bias, r2."""
-    error = F.col("pred") - F.col("actual")
-    spread = F.sum(F.col("actual") * F.col("actual")) - F.sum("actual") * F.sum("actual") / F.count("actual")
-    return [F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), (1 - F.sum(error * error) / spread).alias("r2")]
+    """Aggregates over actual and pred: n, mae, rmse, bias (actual less forecast), r2 (0 where actuals don't vary), low, high.
+
+    Rows where either is null count in n alone.
+    """
+    error = F.col("actual") - F.col("pred")
+    spread = F.var_pop(F.when(F.col("pred").isNotNull(), F.col("actual")))
+    r2 = F.when(spread > 0, 1 - F.try_divide(F.avg(error * error), spread)).otherwise(F.lit(0.0))
+    return [
+        F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), r2.alias("r2"), F.min("actual").alias("low"), F.max("actual").alias("high")
+    ]
 
 
 def average_rank(keys: list[str], column: str) -> Column:
@@ -20,19 +28,27 @@ def average_rank(keys: list[str], column: str) -> Column:
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    ranked = rows.withColumn("_a", average_rank(keys, a)).withColumn("_b", average_rank(keys, b))
-    return ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("rho"))
+    """keys, rho: the correlation of average ranks; null where a side doesn't vary. Rows with a null on either side are left out."""
+    x, y = fresh_name(rows, "rank_a", "rank_b")
+    ranked = rows.na.drop(subset=[a, b]).withColumn(x, average_rank(keys, a)).withColumn(y, average_rank(keys, b))
+    return ranked.groupBy(*keys).agg(F.corr(x, y).alias("rho"))
+
 
+def value_at_risk(losses: DataFrame, keys: list[str], loss: str, alpha: float = 0.05, accuracy: int | None = None) -> DataFrame:
+    """keys, value_at_risk (the 1 - alpha quantile) and cvar (the mean of the losses from there on).
 
-def value_at_risk(losses: DataFrame, keys: list[str], loss: str, alpha: float = 0.05) -> DataFrame:
-    """keys, value_at_risk (the 1 - alpha quantile) and cvar (the mean of the losses from there on)."""
-    var = losses.groupBy(*keys).agg(F.percentile(loss, 1 - alpha).alias("value_at_risk"))
+    The exact quantile holds a key's distinct losses in memory. For keys of very many, accuracy takes Spark's sketch instead, whose
+    quantile is a loss of a rank within 1 / accuracy of the wanted one.
+    """
+    level = F.percentile(loss, 1 - alpha) if accuracy is None else F.percentile_approx(loss, 1 - alpha, accuracy)
+    var = losses.groupBy(*keys).agg(level.alias("value_at_risk"))
     # a row a key goes back to the losses
     return losses.join(var, keys).filter(F.col(loss) >= F.col("value_at_risk")).groupBy(*keys).agg(F.first("value_at_risk").alias("value_at_risk"), F.avg(loss).alias("cvar"))
 
 
 def hill(values: DataFrame, keys: list[str], value: str, top: int) -> DataFrame:
-    """The Hill estimate of the tail index from the largest ``top`` absolute values of each key."""
-    by = Window.partitionBy(*keys).orderBy(F.desc("_x"))
-    tail = values.select(*keys, F.abs(value).alias("_x")).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= top + 1)
-    return tail.groupBy(*keys).agg((F.avg(F.when(F.col("_n") <= top, F.ln("_x"))) - F.max(F.when(F.col("_n") == top + 1, F.ln("_x")))).alias("xi"))
+    """The Hill estimate of the tail index from the largest ``top`` absolute values of each key; null with fewer than top + 1."""
+    size, place = fresh_name(values, "size", "place")
+    by = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(size))
+    tail = values.select(*keys, F.abs(value).alias(size)).withColumn(place, F.row_number().over(by)).filter(F.col(place) <= top + 1)
+    return tail.groupBy(*keys).agg((F.avg(F.when(F.col(place) <= top, F.ln(size))) - F.max(F.when(F.col(place) == top + 1, F.ln(size)))).alias("xi"))

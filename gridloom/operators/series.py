@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.names import fresh_name
+
 
 def rolling(keys: list[str], before: int, after: int = 0):
     """A window of the rows around each row of a series."""
@@ -19,37 +21,52 @@ def rolling_hours(keys: list[str], hours: int):
 def seasonal(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """series with by_hour, by_weekday, by_week and residual: means by UTC bin, each taken of what the one before leaves.
 
-    Three small aggregates joined back, so that only a row a bin is exchanged.
+    A window a part, so that the series is read once and dealt anew three times. Null values have null parts.
     """
-    bins = {"by_hour": F.hour("ts"), "by_weekday": F.weekday("ts"), "by_week": F.weekofyear("ts") - 1}
     out = series.withColumn("residual", F.col(value))
-    for name, place in bins.items():
-        means = out.groupBy(*keys, place.alias("_bin")).agg(F.avg("residual").alias(name))
-        out = out.withColumn("_bin", place).join(means, [*keys, "_bin"]).withColumn("residual", F.col("residual") - F.col(name)).drop("_bin")
+    for name, place in {"by_hour": F.hour("ts"), "by_weekday": F.weekday("ts"), "by_week": F.weekofyear("ts")}.items():
+        out = out.withColumn(name, F.avg("residual").over(Window.partitionBy(*keys, place))).withColumn("residual", F.col("residual") - F.col(name))
     return out
 
 
 def circular_smooth(bins: DataFrame, keys: list[str], place: str, value: str, size: int, window: int) -> DataFrame:
-    """Centred means over an odd window on a ring of bins: each value is dealt to its neighbours and averaged there."""
-    half = window // 2
-    dealt = bins.select(*keys, F.explode(F.sequence(F.col(place) - half, F.col(place) + half)).alias("_to"), value)
-    return dealt.groupBy(*keys, F.pmod("_to", F.lit(size)).alias(place)).agg(F.avg(value).alias(value))
+    """Centred means over an odd window on a ring of bins: each value is dealt to its neighbours and averaged there.
+
+    A window of 1 leaves values as they are, one of the ring's size or more gives their mean; an even one is an error. The mean of
+    the bins stays. Places without a bin take no part.
+    """
+    if window > 1 and window % 2 == 0:
+        raise ValueError(f"an odd window is needed, not {window}")
+    if window <= 1:
+        return bins.select(*keys, place, value)
+    whole = Window.partitionBy(*keys)
+    if window >= size:
+        return bins.select(*keys, place, F.avg(value).over(whole).alias(value))
+    half, (to, mean) = window // 2, fresh_name(bins, "to", "mean")
+    marked = bins.withColumn(mean, F.avg(value).over(whole))
+    dealt = marked.select(*keys, mean, F.explode(F.sequence(F.col(place) - half, F.col(place) + half)).alias(to), value)
+    smooth = dealt.groupBy(*keys, F.pmod(to, F.lit(size)).alias(place)).agg(F.avg(value).alias(value), F.first(mean).alias(mean))
+    return smooth.select(*keys, place, (F.col(value) - F.avg(value).over(whole) + F.col(mean)).alias(value))
 
 
 def lagged_moments(series: DataFrame, keys: list[str], value: str, lags: list[int]) -> DataFrame:
-    """keys, lag, acf of a series without gaps, against its own mean."""
-    centred = series.withColumn("_c", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
+    """keys, lag, acf of a series without gaps, against its own mean; null where it doesn't vary."""
+    names = fresh_name(series, "centred", *[f"lag_{k}" for k in lags])
+    c, by = names[0], dict(zip(lags, names[1:]))
+    centred = series.withColumn(c, F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
     order = Window.partitionBy(*keys).orderBy("ts")
-    wide = centred.select(*keys, "_c", *[F.lag("_c", k).over(order).alias(f"_l{k}") for k in lags])
-    sums = wide.groupBy(*keys).agg(*[(F.sum(F.col("_c") * F.col(f"_l{k}")) / F.sum(F.col("_c") * F.col("_c"))).alias(f"_l{k}") for k in lags])
-    return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_l{k}").alias("acf")) for k in lags])).alias("x")).select(*keys, "x.*")
+    wide = centred.select(*keys, c, *[F.lag(c, k).over(order).alias(by[k]) for k in lags])
+    sums = wide.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(c) * F.col(by[k])), F.nullif(F.sum(F.col(c) * F.col(c)), F.lit(0.0))).alias(by[k]) for k in lags])
+    return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(by[k]).alias("acf")) for k in lags])).alias("x")).select(*keys, "x.*")
 
 
 def episodes(series: DataFrame, keys: list[str], flag: Column, least: int = 1) -> DataFrame:
-    """keys, start, hours of each run of rows where flag holds."""
+    """keys, start, hours of each run of rows where flag holds; a null flag ends a run."""
+    hit, run = fresh_name(series, "hit", "run")
     order = Window.partitionBy(*keys).orderBy("ts")
-    hit = series.withColumn("_hit", flag).withColumn("_run", F.row_number().over(order) - F.sum(F.col("_hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return hit.filter("_hit").groupBy(*keys, "_run").agg(F.min("ts").alias("start"), F.count("*").alias("hours")).filter(F.col("hours") >= least).drop("_run")
+    marked = series.withColumn(hit, F.coalesce(flag, F.lit(False)))
+    marked = marked.withColumn(run, F.row_number().over(order) - F.sum(F.col(hit).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.filter(hit).groupBy(*keys, run).agg(F.min("ts").alias("start"), F.count("*").alias("hours")).filter(F.col("hours") >= least).drop(run)
 
 
 def gram(rows: DataFrame, target: str, features: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -60,11 +77,14 @@ def gram(rows: DataFrame, target: str, features: list[str], keys: list[str] | No
 
 
 def ridge(rows: DataFrame, target: str, features: list[str], alpha: float = 0.0) -> dict[str, float]:
-    """Coefficients and intercept of least squares with a penalty on all but the intercept; the driver solves the sums."""
+    """Coefficients and intercept of least squares with a penalty on all but the intercept; the driver solves the sums.
+
+    Rows with a null are left out. Without a row all are 0. Where the features don't tell their parts apart, the shortest solution.
+    """
     import numpy as np
 
     sums = gram(rows.na.drop(subset=[target, *features]), target, features).first().asDict()
     names = ["one", *features]
-    at = lambda a, b: sums.get(f"{a}__{b}", sums.get(f"{b}__{a}"))
+    at = lambda a, b: sums.get(f"{a}__{b}", sums.get(f"{b}__{a}")) or 0.0
     left = np.array([[at(a, b) for b in names] for a in names], float) + alpha * np.diag([0.0] + [1.0] * len(features))
-    return dict(zip(["intercept", *features], np.linalg.solve(left, [at(a, "target") for a in names]).tolist()))
+    return dict(zip(["intercept", *features], np.linalg.lstsq(left, np.array([at(a, "target") for a in names], float))[0].tolist()))

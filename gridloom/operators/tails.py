@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.names import fresh_name
+
 #: Fewest values over the threshold for a fit.
 LEAST_EXCEEDANCES = 30
 
@@ -14,10 +16,11 @@ def exceedances(values: DataFrame, keys: list[str], value: str, quantile: float
 
     u is a quantile of the absolute values of the key. Null values take no part.
     """
-    known = values.select(*keys, F.col(value).alias("_x")).filter("_x is not null")
-    u = known.groupBy(*keys).agg(F.percentile(F.abs("_x"), quantile).alias("u"), F.count("*").alias("n"))
+    (x,) = fresh_name(values, "x")
+    known = values.select(*keys, F.col(value).alias(x)).filter(F.col(x).isNotNull())
+    u = known.groupBy(*keys).agg(F.percentile(F.abs(x), quantile).alias("u"), F.count("*").alias("n"))
     # a row a key goes back to the values
-    return known.join(u, keys).filter(F.abs("_x") > F.col("u")).select(*keys, F.signum("_x").cast("int").alias("side"), "u", "n", (F.abs("_x") - F.col("u")).alias("y"))
+    return known.join(u, keys).filter(F.abs(x) > F.col("u")).select(*keys, F.signum(x).cast("int").alias("side"), "u", "n", (F.abs(x) - F.col("u")).alias("y"))
 
 
 def gpd_fit(over: DataFrame, keys: list[str], least: int = LEAST_EXCEEDANCES) -> DataFrame:
@@ -27,7 +30,7 @@ def gpd_fit(over: DataFrame, keys: list[str], least: int = LEAST_EXCEEDANCES) ->
     scale = 2 a0 a1 / (a0 - 2 a1). A side with fewer than ``least`` values, or with all of them equal to 0, has no row.
     """
     by = Window.partitionBy(*keys, "side")
-    ranked = over.withColumn("_i", F.row_number().over(by.orderBy("y"))).withColumn("_m", F.count("*").over(by))
+    ranked = over.select(*keys, "side", "u", "n", "y").withColumn("_i", F.row_number().over(by.orderBy("y"))).withColumn("_m", F.count("*").over(by))
     share = (F.col("_m") - F.col("_i")) / (F.col("_m") - 1)
     sums = ranked.filter(F.col("_m") >= max(least, 2)).groupBy(*keys, "side").agg(
         F.first("u").alias("u"), F.first("n").alias("n"), F.count("*").alias("n_over"), F.avg("y").alias("_a0"), F.avg(F.col("y") * share).alias("_a1")
@@ -43,18 +46,23 @@ def gpd_var(alpha: float | Column) -> Column:
 
 
 def gpd_cvar(alpha: float | Column) -> Column:
-    """The mean beyond ``gpd_var``; null where xi is 1 or more and there is none."""
-    return F.when(F.col("xi") < 1, (gpd_var(alpha) + F.col("scale") - F.col("xi") * F.col("u")) / (1 - F.col("xi")))
+    """The mean beyond ``gpd_var``; infinite where xi is 1 or more, null where alpha isn't under the tail's share."""
+    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
+    mean = (gpd_var(alpha) + F.col("scale") - F.col("xi") * F.col("u")) / (1 - F.col("xi"))
+    return F.when((alpha > 0) & (alpha < F.col("n_over") / F.col("n")), F.when(F.col("xi") < 1, mean).otherwise(F.lit(float("inf"))))
 
 
-def resampled_sums(daily: DataFrame, day: str, value: str, days: int = 7, paths: int = 2000, seed: int = 7) -> DataFrame:
-    """path, total: sums of ``days`` days drawn with replacement; draws are hashes of seed, path and draw.
+def resampled_ratios(daily: DataFrame, day: str, above: str, below: str, days: int = 7, paths: int = 2000, seed: int = 7) -> DataFrame:
+    """path, total, ratio: sums of ``above`` over ``days`` days drawn with replacement, and their ratio to those of ``below``.
 
-    daily: a row a day. An empty table gives an empty table.
+    daily: a row a day. Draws are hashes of seed, path and draw. With fewer than ``days`` days there is no row; where the lower sum is 0
+    the ratio is null.
     """
-    numbered = daily.select(F.row_number().over(Window.orderBy(day)).alias("_k"), F.col(value).alias("_v"))  # a row a day
-    count = daily.agg(F.count("*").alias("_days")).filter("_days > 0")
-    draws = daily.sparkSession.range(paths).withColumnRenamed("id", "path").withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
-    name = F.md5(F.concat_ws("-", F.lit(seed), "path", "_draw").cast("binary"))
-    picked = draws.join(F.broadcast(count)).withColumn("_k", F.conv(F.substring(name, 1, 7), 16, 10).cast("long") % F.col("_days") + 1)  # one row is broadcast
-    return picked.join(numbered, "_k").groupBy("path").agg(F.sum("_v").alias("total"))
+    k, n, draw = fresh_name(daily, "place", "days", "draw")
+    held = daily.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(above).alias("a"), F.col(below).alias("b")))).alias("all"))  # a row a day
+    numbered = held.select(F.posexplode("all").alias(k, "x")).select(k, "x.a", "x.b")
+    count = daily.agg(F.count("*").alias(n)).filter(F.col(n) >= days)
+    draws = daily.sparkSession.range(paths).withColumnRenamed("id", "path").withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    name = F.md5(F.concat_ws("-", F.lit(seed), "path", draw).cast("binary"))
+    picked = draws.join(F.broadcast(count)).withColumn(k, F.conv(F.substring(name, 1, 7), 16, 10).cast("long") % F.col(n))  # one row is broadcast
+    return picked.join(numbered, k).groupBy("path").agg(F.sum("a").alias("total"), F.try_divide(F.sum("a"), F.sum("b")).alias("ratio"))

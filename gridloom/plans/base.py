@@ -19,6 +19,21 @@ whole AS (SELECT * FROM days WHERE day IN (SELECT day FROM days GROUP BY day HAV
 pairs AS (SELECT a.ts, a.p AS actual, b.p AS pred FROM hourly a JOIN hourly b ON b.ts = a.ts - INTERVAL 24 HOUR)
 """
 
+#: The local time of ts in SQL, the steps from years (y) to their holidays (hol), and the holidays of 2023 to 2025.
+LOCAL = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Helsinki')"
+HOLIDAY_STEPS = """a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
+l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h),
+n AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM l),
+e AS (SELECT y, make_date(y, CAST(n // 31 AS INTEGER), CAST(n % 31 + 1 AS INTEGER)) AS easter FROM n),
+f AS (SELECT y, d.d AS day FROM e, generate_series(make_date(y, 6, 19)::TIMESTAMP, make_date(y, 6, 25)::TIMESTAMP, INTERVAL 1 DAY) AS d(d) WHERE isodow(d.d) = 5),
+s AS (SELECT y, d.d AS day FROM e, generate_series(make_date(y, 10, 31)::TIMESTAMP, make_date(y, 11, 6)::TIMESTAMP, INTERVAL 1 DAY) AS d(d) WHERE isodow(d.d) = 6),
+hol AS (SELECT make_date(y, m.m, m.d) AS day FROM y, (VALUES (1, 1), (1, 6), (5, 1), (12, 6), (12, 24), (12, 25), (12, 26)) AS m(m, d)
+ UNION SELECT CAST(easter + o.o AS DATE) FROM e, (VALUES (-2), (0), (1), (39), (49)) AS o(o)
+ UNION SELECT CAST(day AS DATE) FROM f UNION SELECT CAST(day AS DATE) + 1 FROM f UNION SELECT CAST(day AS DATE) FROM s)
+"""
+HOLIDAYS = ", y AS (SELECT CAST(unnest([2023, 2024, 2025]) AS INTEGER) AS y), " + HOLIDAY_STEPS
+
 
 def query(name: str, sql: str | None = None):
     """Registers a query; sql goes on after SERIES, unless it starts with its own WITH or SELECT of tables."""

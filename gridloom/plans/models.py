@@ -50,7 +50,7 @@ def variance_shares(spark, sf_dir):
     fit = series.seasonal(zonal(spark, sf_dir), ["zone"], "p")
     one = F.col("p") - F.col("by_hour")
     two = one - F.col("by_weekday")
-    share = lambda x: r(x / F.var_pop("p"))
+    share = lambda x: r(F.when(F.var_pop("p") > 0, F.try_divide(x, F.var_pop("p"))))
     return fit.groupBy("zone").agg(share(F.var_pop("p") - F.var_pop(one)).alias("hour_share"), share(F.var_pop(one) - F.var_pop(two)).alias("weekday_share"), share(F.var_pop(two) - F.var_pop("residual")).alias("week_share"))
 
 
@@ -90,12 +90,15 @@ def episodes(spark, sf_dir):
     return series.episodes(zonal(spark, sf_dir), ["zone"], F.col("p") > 55, 2)
 
 
-_HEAD = "count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse, round(avg(pred - actual), 6) + 0.0 AS bias, round(1 - sum((pred - actual) ** 2) / (sum(actual * actual) - sum(actual) * sum(actual) / count(*)), 6) AS r2"
+_HEAD = "count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(sqrt(avg((pred - actual) ** 2)), 6) AS rmse, round(avg(actual - pred), 6) + 0.0 AS bias, CASE WHEN var_pop(actual) > 0 THEN round(1 - avg((pred - actual) ** 2) / var_pop(actual), 6) ELSE 0 END AS r2, round(min(actual), 6) AS low, round(max(actual), 6) AS high"
+
+
+_ROUNDED = ("mae", "rmse", "bias", "r2", "low", "high")
 
 
 def _headline(rows, *keys):
     out = rows.groupBy(*keys).agg(*scores.headline())
-    return out.select(*[c for c in out.columns if c not in ("mae", "rmse", "bias", "r2")], *[r(c).alias(c) for c in ("mae", "rmse", "bias", "r2")])
+    return out.select(*[c for c in out.columns if c not in _ROUNDED], *[r(c).alias(c) for c in _ROUNDED])
 
 
 @query("metrics_headline", f"SELECT {_HEAD} FROM pairs")
@@ -188,7 +191,7 @@ def ar1_ou(spark, sf_dir):
     rows = align.time_lag(zonal(spark, sf_dir), ["zone"], "p", 1, "l").filter("l is not null")
     fit = rows.groupBy("zone").agg(F.regr_slope("p", "l").alias("b"), F.regr_intercept("p", "l").alias("a"), (F.regr_syy("p", "l") - F.regr_slope("p", "l") * F.regr_sxy("p", "l")).alias("sse"), F.count("*").alias("n"))
     b = F.col("b")
-    return fit.select("zone", r("b").alias("phi"), r(F.col("a") / (1 - b)).alias("mu"), r(F.sqrt(F.col("sse") / F.col("n"))).alias("sigma"), F.when(b > 0, r(-F.ln(F.lit(2.0)) / F.ln(b))).alias("half_life"))
+    return fit.select("zone", r("b").alias("phi"), r(F.try_divide(F.col("a"), 1 - b)).alias("mu"), r(F.sqrt(F.col("sse") / F.col("n"))).alias("sigma"), F.when(b > 0, r(-F.ln(F.lit(2.0)) / F.ln(b))).alias("half_life"))
 
 
 @query("var_cvar", ", v AS (SELECT zone, quantile_cont(p, 0.95) AS v FROM zonal GROUP BY zone) SELECT z.zone, round(min(v), 6) AS value_at_risk, round(avg(p), 6) AS cvar FROM zonal z JOIN v ON z.zone = v.zone WHERE p >= v GROUP BY z.zone")
@@ -206,20 +209,7 @@ def hill_index(spark, sf_dir):
 @query("hedge_min_variance", "SELECT round(covar_pop(actual, pred) / var_pop(pred), 6) AS ratio, round(100 * corr(actual, pred) ** 2, 6) AS saved_percent FROM pairs")
 def hedge_min_variance(spark, sf_dir):
     """The hedge that leaves the least variance, and what it saves."""
-    return pairs(spark, sf_dir).agg(r(F.covar_pop("actual", "pred") / F.var_pop("pred")).alias("ratio"), r(100 * F.pow(F.corr("actual", "pred"), 2)).alias("saved_percent"))
-
-
-@query("fan_chart_stratified", """, s AS (SELECT stddev_pop(pred - actual) AS s FROM pairs), u AS (SELECT (i + 0.5) / 200 AS u FROM range(200) AS t(i)), x AS (SELECT ts, pred + s * CASE WHEN u < 0.5 THEN ln(2 * u) ELSE -ln(2 * (1 - u)) END / sqrt(2.0) AS v FROM pairs, s, u)
-SELECT ts, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95 FROM x GROUP BY ts""")
-def fan_chart_stratified(spark, sf_dir):
-    """Bands of 200 stratified double-exponential paths around each forecast."""
-    rows = pairs(spark, sf_dir)
-    spread = F.broadcast(rows.agg(F.stddev_pop(F.col("pred") - F.col("actual")).alias("s")))
-    paths = rows.crossJoin(spread).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("u", (F.col("i") + 0.5) / 200)
-    u = F.col("u")
-    value = F.col("pred") + F.col("s") * F.when(u < 0.5, F.ln(2 * u)).otherwise(-F.ln(2 * (1 - u))) / F.sqrt(F.lit(2.0))
-    q = lambda p: r(F.percentile("v", F.lit(p)))
-    return paths.withColumn("v", value).groupBy("ts").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    return pairs(spark, sf_dir).agg(r(F.try_divide(F.covar_pop("actual", "pred"), F.var_pop("pred"))).alias("ratio"), r(100 * F.pow(F.corr("actual", "pred"), 2)).alias("saved_percent"))
 
 
 @query("bias_per_hour", """, e AS (SELECT hour(ts) AS h, actual - pred AS e, row_number() OVER (PARTITION BY hour(ts) ORDER BY ts) AS n FROM pairs),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import calendar, physics, tariff
 from gridloom.operators import align, curves
-from gridloom.plans.base import days, hourly, query, r, zonal
+from gridloom.plans.base import HOLIDAY_STEPS, days, hourly, query, r, zonal
 from gridloom.session import table
 
 _RANK = """, ranked AS (SELECT day, hour, p, row_number() OVER (PARTITION BY day ORDER BY p, hour) AS up, row_number() OVER (PARTITION BY day ORDER BY p DESC, hour) AS down,
@@ -31,7 +31,9 @@ def dk_inverse(spark, sf_dir):
     return curves.sorted_prices(_curves(spark, sf_dir), ["day"], "cheap").select("day", F.col("k").cast("long").alias("k"), r("price").alias("price"))
 
 
-@query("dk_monotone", "SELECT day, true AS cheap_rises, true AS peak_falls FROM whole GROUP BY day")
+@query("dk_monotone", _RANK + """, s AS (SELECT day, cheap - lag(cheap) OVER (PARTITION BY day ORDER BY up) AS step, NULL AS fall FROM ranked
+ UNION ALL SELECT day, NULL, peak - lag(peak) OVER (PARTITION BY day ORDER BY down) FROM ranked)
+SELECT day, bool_and(step IS NULL OR step >= -1e-9) AS cheap_rises, bool_and(fall IS NULL OR fall <= 1e-9) AS peak_falls FROM s GROUP BY day""")
 def dk_monotone(spark, sf_dir):
     """Whether each day's curves are monotone."""
     before = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy("day").orderBy("k")), F.col(c))
@@ -117,19 +119,7 @@ def local_calendar(spark, sf_dir):
     return hourly(spark, sf_dir).select("ts", F.to_date(at).alias("local_day"), F.hour(at).cast("long").alias("local_hour"), F.weekday("ts").cast("long").alias("weekday"), calendar.is_workday(at).alias("workday"), calendar.is_night_tariff(at).alias("night"))
 
 
-_EASTER = """-- holidays
-WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders),
-a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
-h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
-l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h),
-n AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM l),
-e AS (SELECT y, make_date(y, CAST(n // 31 AS INTEGER), CAST(n % 31 + 1 AS INTEGER)) AS easter FROM n),
-f AS (SELECT y, d.d AS day FROM e, generate_series(make_date(y, 6, 19)::TIMESTAMP, make_date(y, 6, 25)::TIMESTAMP, INTERVAL 1 DAY) AS d(d) WHERE isodow(d.d) = 5),
-s AS (SELECT y, d.d AS day FROM e, generate_series(make_date(y, 10, 31)::TIMESTAMP, make_date(y, 11, 6)::TIMESTAMP, INTERVAL 1 DAY) AS d(d) WHERE isodow(d.d) = 6),
-hol AS (SELECT make_date(y, m.m, m.d) AS day FROM y, (VALUES (1, 1), (1, 6), (5, 1), (12, 6), (12, 24), (12, 25), (12, 26)) AS m(m, d)
- UNION SELECT CAST(easter + o.o AS DATE) FROM e, (VALUES (-2), (0), (1), (39), (49)) AS o(o)
- UNION SELECT CAST(day AS DATE) FROM f UNION SELECT CAST(day AS DATE) + 1 FROM f UNION SELECT CAST(day AS DATE) FROM s)
-"""
+_EASTER = "-- holidays\nWITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders),\n" + HOLIDAY_STEPS
 
 
 def _order_years(spark, sf_dir):
@@ -149,7 +139,7 @@ def holiday_orders(spark, sf_dir):
     return orders.join(calendar.holidays(_order_years(spark, sf_dir)), "day", "left_semi").groupBy("day").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("daylight_hours", "-- days\nSELECT DISTINCT CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, round(24 / pi() * acos(greatest(least(-tan(radians(62.0)) * tan(radians(23.44) * sin(2 * pi() * (dayofyear(o_orderdate) + 284) / 365.0)), 1), -1)), 6) AS hours FROM orders")
+@query("daylight_hours", "-- days\nSELECT DISTINCT CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, round(24 / pi() * acos(greatest(least(-tan(radians(62.0)) * tan(radians(23.45) * sin(2 * pi() * (dayofyear(o_orderdate) + 284) / 365.0)), 1), -1)), 6) AS hours FROM orders")
 def daylight_hours(spark, sf_dir):
     """Day length at 62 degrees north."""
     doy = table(spark, sf_dir, "orders").select(F.dayofyear("o_orderdate").alias("doy")).distinct()
@@ -169,12 +159,12 @@ _RHO = "(101325.0 / (287.05 * (t + 273.15)))"
 
 @query("weather_power", f""", w AS (SELECT ts, abs(p) / 20 AS v, p / 10 - 5 AS t, abs(p) AS g FROM hourly)
 SELECT ts, round({_RHO}, 6) AS density, round(1 / (1 + exp(-(v - 7.5) / 1.5)) * {_RHO} / 1.225, 6) AS wind, round({_RHO} * v ** 3, 6) AS cubed,
- round(g * (1 - 0.004 * greatest(t + 0.03 * g - 25, 0)), 6) AS sun, round(least(greatest(g / 1000 * 5 * 0.85, 0), 4.25), 6) AS panels FROM w""")
+ round(g * (1 - 0.004 * greatest(t + 0.03 * g - 25, 0)), 6) AS sun, round(least(greatest(g / 1000 * 5 * 0.85, 0), 4.25) + 1e-9, 6) AS panels FROM w""")
 def weather_power(spark, sf_dir):
     """Air density, wind and sun power from made-up weather."""
     w = hourly(spark, sf_dir).select("ts", (F.abs("p") / 20).alias("v"), (F.col("p") / 10 - 5).alias("t"), F.abs("p").alias("g"))
     v, t, g = F.col("v"), F.col("t"), F.col("g")
-    return w.select("ts", r(physics.air_density(t), 6).alias("density"), r(physics.wind_power(v, t), 6).alias("wind"), r(physics.wind_cubed(v, t)).alias("cubed"), r(physics.effective_irradiance(g, t)).alias("sun"), r(physics.panel_kwh(g, 5.0), 6).alias("panels"))
+    return w.select("ts", r(physics.air_density(t), 6).alias("density"), r(physics.wind_power(v, t), 6).alias("wind"), r(physics.wind_cubed(v, t)).alias("cubed"), r(physics.effective_irradiance(g, t)).alias("sun"), r(physics.panel_kwh(g, 5.0) + 1e-9, 6).alias("panels"))
 
 
 _SUN = """, g AS (SELECT ts, 2 * pi() * (epoch(ts) - epoch(date_trunc('year', ts))) / (epoch(date_trunc('year', ts) + INTERVAL 1 YEAR) - epoch(date_trunc('year', ts))) AS g FROM hourly),
@@ -218,7 +208,7 @@ def gap_ranges(spark, sf_dir):
 def keep_last_dedup(spark, sf_dir):
     """The last event of each user."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    return align.latest(rows, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", r("value").alias("value"))
+    return align.latest(rows, ["user_id"], "ts", "event_id").select("user_id", "event_id", r("value").alias("value"))
 
 
 @query("coverage_stats", "-- coverage\nSELECT event_type AS zone, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END), 6) AS null_share FROM events GROUP BY 1")

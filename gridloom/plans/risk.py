@@ -30,7 +30,7 @@ def gpd_tails(spark, sf_dir):
 
 
 @query("gpd_cvar", _TAILS + """, a AS (SELECT unnest([0.01, 0.001]::DOUBLE[]) AS alpha), v AS (SELECT *, u + scale * CASE WHEN abs(xi) < 1e-9 THEN ln(n_over / n / alpha) ELSE (pow(n_over / n / alpha, xi) - 1) / xi END AS var FROM fit, a)
-SELECT zone, side, alpha, round(var, 6) AS value_at_risk, CASE WHEN xi < 1 THEN round((var + scale - xi * u) / (1 - xi), 6) END AS cvar FROM v""")
+SELECT zone, side, alpha, round(var, 6) AS value_at_risk, CASE WHEN alpha < n_over / n THEN CASE WHEN xi < 1 THEN round((var + scale - xi * u) / (1 - xi), 6) ELSE 'inf'::DOUBLE END END AS cvar FROM v""")
 def gpd_cvar(spark, sf_dir):
     """Quantile and mean beyond it that the fits mean, at 1 % and 0.1 %."""
     levels = _fits(spark, sf_dir).withColumn("alpha", F.explode(F.array(F.lit(0.01), F.lit(0.001))))
@@ -44,14 +44,18 @@ def normal_cvar(spark, sf_dir):
     return zonal(spark, sf_dir).groupBy("zone").agg(cvar(0.05).alias("cvar5"), cvar(0.01).alias("cvar1"))
 
 
-@query("weekly_bootstrap", """, d AS (SELECT CAST(ts AS DATE) AS day, sum(p) AS v FROM hourly GROUP BY 1), k AS (SELECT row_number() OVER (ORDER BY day) AS k, v, count(*) OVER () AS n FROM d),
+_LOAD = "(0.6 + 0.05 * (hour(ts) % 12))"
+
+
+@query("weekly_bootstrap", f""", d AS (SELECT CAST(ts AS DATE) AS day, sum(p * {_LOAD}) AS cost, sum({_LOAD}) AS kwh FROM hourly GROUP BY 1), k AS (SELECT row_number() OVER (ORDER BY day) - 1 AS k, cost, kwh, count(*) OVER () AS n FROM d),
 s AS (SELECT path, draw, ('0x' || substr(md5('7-' || path || '-' || draw), 1, 7))::BIGINT AS h FROM range(2000) a(path), range(7) b(draw)),
-t AS (SELECT path, sum(v) AS total FROM s JOIN k ON k.k = h % k.n + 1 GROUP BY 1), q AS (SELECT quantile_cont(total, 0.95) AS q FROM t)
-SELECT round(avg(total), 6) AS mean, round(min(q), 6) AS value_at_risk, round(avg(total) FILTER (total >= q), 6) AS cvar FROM t, q""")
+t AS (SELECT path, sum(cost) AS total, sum(cost) / sum(kwh) AS ratio FROM s JOIN k ON k.k = h % k.n WHERE n >= 7 GROUP BY 1), q AS (SELECT quantile_cont(ratio, 0.95) AS q FROM t)
+SELECT round(avg(ratio), 6) AS mean, round(avg(total), 5) AS weekly, round(min(q), 6) AS value_at_risk, round(avg(ratio) FILTER (ratio >= q), 6) AS cvar FROM t, q""")
 def weekly_bootstrap(spark, sf_dir):
-    """Cost of a unit load over weeks of days drawn with replacement: mean, 95 % quantile and the mean from there on."""
-    daily = hourly(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.sum("p").alias("v"))
-    totals = tails.resampled_sums(daily, "day", "v").withColumn("all", F.lit(1))
-    risk = scores.value_at_risk(totals, ["all"], "total")
-    mean = totals.groupBy("all").agg(F.avg("total").alias("mean"))
-    return mean.join(risk, "all").select(r("mean").alias("mean"), r("value_at_risk").alias("value_at_risk"), r("cvar").alias("cvar"))
+    """Cost per kWh of a load over weeks of days drawn with replacement: mean, 95 % quantile and the mean from there on."""
+    load = 0.6 + 0.05 * (F.hour("ts") % 12)
+    daily = hourly(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col("p") * load).alias("cost"), F.sum(load).alias("kwh"))
+    weeks = tails.resampled_ratios(daily, "day", "cost", "kwh").withColumn("all", F.lit(1))
+    risk = scores.value_at_risk(weeks, ["all"], "ratio")
+    mean = weeks.groupBy("all").agg(F.avg("ratio").alias("mean"), F.avg("total").alias("weekly"))
+    return mean.join(risk, "all").select(r("mean").alias("mean"), r("weekly", 5).alias("weekly"), r("value_at_risk").alias("value_at_risk"), r("cvar").alias("cvar"))

@@ -22,7 +22,10 @@ def test_odd_tables(spark):
     assert tails.gpd_fit(few, ["k"]).count() == 0
     values = spark.createDataFrame([(1, None), (1, 2.0), (1, -9.0), (2, None)], "k int, x double")
     assert [(r["k"], r["side"], r["n"]) for r in tails.exceedances(values, ["k"], "x", 0.5).collect()] == [(1, -1, 2)]
-    days = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "day string, v double")
-    totals = [r["total"] for r in tails.resampled_sums(days, "day", "v", paths=50).collect()]
-    assert len(totals) == 50 and all(7 <= t <= 14 for t in totals)
-    assert tails.resampled_sums(days.limit(0), "day", "v").count() == 0
+    days = spark.createDataFrame([(f"d{i}", float(i), 2.0) for i in range(7)], "day string, v double, w double")
+    weeks = tails.resampled_ratios(days, "day", "v", "w", paths=50).collect()
+    assert len(weeks) == 50 and all(0 <= w["total"] <= 42 and w["ratio"] == pytest.approx(w["total"] / 14) for w in weeks)
+    assert tails.resampled_ratios(days.limit(6), "day", "v", "w").count() == 0
+    wide = spark.createDataFrame([(30.0, 1000, 50, 0.2, 10.0), (30.0, 1000, 50, 1.2, 10.0)], "u double, n long, n_over long, xi double, scale double")
+    got = wide.select(tails.gpd_cvar(0.05).alias("at"), tails.gpd_cvar(0.01).alias("under")).collect()
+    assert [r["at"] for r in got] == [None, None] and got[0]["under"] > 30 and got[1]["under"] == float("inf")
