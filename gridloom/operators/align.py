@@ -45,15 +45,24 @@ def time_lag(series: DataFrame, keys: list[str], value: str, hours: int, out: st
     return series.join(past, [*keys, "ts"], "left")
 
 
+def _one_of_each(rows: DataFrame, keys: list[str], order: tuple[str, ...], pick) -> DataFrame:
+    rest = [c for c in rows.columns if c not in {*keys, *order}]
+    (best,) = fresh_name(rows, "best")
+    found = rows.groupBy(*keys).agg(pick(F.struct(*order, *rest)).alias(best))
+    return found.select(*[c if c in keys else F.col(best)[c].alias(c) for c in rows.columns])
+
+
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """For each key the row with the greatest values of the order columns; of equal ones, the greatest in all columns.
 
     An aggregate, so that rows of a key meet beforehand where they are and only one of them is exchanged. Nulls are least.
     """
-    rest = [c for c in rows.columns if c not in {*keys, *order}]
-    best = F.max(F.struct(*order, *rest)).alias(fresh_name(rows, "best")[0])
-    found = rows.groupBy(*keys).agg(best)
-    return found.select(*[c if c in keys else F.col(found.columns[-1])[c].alias(c) for c in rows.columns])
+    return _one_of_each(rows, keys, order, F.max)
+
+
+def earliest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """For each key the row with the least values of the order columns, likewise."""
+    return _one_of_each(rows, keys, order, F.min)
 
 
 def active_per_day(intervals: DataFrame, start: str, stop: str, amount: str) -> DataFrame:
