@@ -13,6 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.names import fresh_name as fresh_name
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder that the session names; one is set only if it names none and the master is local."""
@@ -60,14 +62,3 @@ def released() -> Iterator[None]:
         inside, Scratch.made = Scratch.made, before
         for scratch in inside:
             scratch.drop()
-
-
-def fresh_name(df: DataFrame, *wanted: str) -> list[str]:
-    """Names that start with the wanted ones and clash with no column of df, in any case."""
-    taken, found = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        found.append(name)
-    return found

@@ -2,11 +2,13 @@
 
 Calls and results meet in a hash join by conversation and identifier, each side reduced to a row an identifier beforehand.
 Arguments are parsed once, held against the tool's schema, and written as canonical JSON: keys sorted, no white space, one
-form for each number. Calls that use other calls' results are ordered topologically:
+form for each number. Calls that use other calls' results are ordered topologically: a call's step is the length of the longest
+chain of uses up to it, so each comes behind those it uses.
 
-- where every such use points to an earlier turn, the turns are an order already, which one join tells;
-- the other conversations' calls are ordered by rounds: those whose needs are all met come next. A round reads the calls that
-  still wait, and there are as many rounds as the longest chain of uses. What is left waits on itself: a cycle.
+- Calls that use one other call form chains, which are walked by doubling: a round joins each call to where the one it points to
+  points, so there are as many rounds as the longest chain's length has binary digits;
+- calls that use several wait until all of those have a step, round by round. A chain of single uses between two such calls
+  costs no round. What is left in the end waits on itself: a cycle.
 """
 
 from __future__ import annotations
@@ -65,40 +67,55 @@ def _errors(args: Column, known: Column) -> Column:
 def steps(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """conv_id, call_id, step, unmet (sorted ids of ``after`` that no call of the conversation has).
 
-    calls: a written table, a row for each conv_id and call_id, none of them null. step is the turn where all uses in the
-    conversation point to earlier turns, else the length of the longest chain of uses up to the call; null in or behind a cycle.
+    calls: a written table, a row for each conv_id and call_id, none of them null. step is the length of the longest chain of uses up
+    to the call, 0 for one that uses none; null in or behind a cycle. Turns have no part in it.
     """
-    uses = calls.select(*OWNER, "turn", F.explode(F.array_distinct(F.col("after"))).alias("used")).filter(F.col("used").isNotNull())
-    there = calls.select("conv_id", F.col("call_id").alias("used"), F.col("turn").alias("used_turn"), F.lit(True).alias("there"))
+    uses = calls.select(*OWNER, F.explode(F.array_distinct("after")).alias("used")).filter(F.col("used").isNotNull())
+    there = calls.select("conv_id", F.col("call_id").alias("used"), F.lit(True).alias("there"))
     edges = scratch.keep(uses.join(there, ["conv_id", "used"], "left"), "edges")
     unmet = edges.filter(F.col("there").isNull()).groupBy(*OWNER).agg(F.array_sort(F.collect_list("used")).alias("unmet"))
-    met = edges.filter("there")
-    backward = met.filter(~F.coalesce(F.col("used_turn") < F.col("turn"), F.lit(False)))
-    disordered = scratch.keep(backward.groupBy("conv_id").agg(F.lit(True).alias("disordered")), "disordered")
-    noted = calls.select(*OWNER, "turn").join(unmet, OWNER, "left")
-    if not disordered.limit(1).count():
-        return noted.select(*OWNER, F.col("turn").alias("step"), "unmet")
-    inside = scratch.keep(calls.select(*OWNER).join(disordered, "conv_id", "left_semi"), "inside")
-    uses = scratch.keep(met.select(*OWNER, "used").join(disordered, "conv_id", "left_semi"), "uses")
-    wait = inside.join(uses.groupBy(*OWNER).agg(F.count("*").alias("open")), OWNER, "left").withColumn("open", F.coalesce("open", F.lit(0)))
-    wait, turn, levels = scratch.keep(wait, "wait0"), 0, []
-    while True:
-        ready = scratch.keep(wait.filter("open = 0").select(*OWNER, F.lit(turn).cast("long").alias("level")), f"ready{turn}")
-        if not ready.limit(1).count():
-            break
-        levels.append(ready)
-        freed = uses.join(ready.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"]).groupBy(*OWNER).agg(F.count("*").alias("freed"))
-        left = wait.filter("open > 0").join(freed, OWNER, "left").select(*OWNER, (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open"))
+    met = edges.filter("there").select(*OWNER, "used")
+    needs = scratch.keep(met.groupBy(*OWNER).agg(F.count("*").alias("n"), F.min("used").alias("to")), "needs")
+    several = needs.filter("n > 1").select(*OWNER)
+    known = calls.select(*OWNER).join(needs, OWNER, "left_anti").select(*OWNER, F.lit(0).cast("long").alias("step"))
+
+    chain, turn = scratch.keep(needs.filter("n = 1").select(*OWNER, "to", F.lit(1).cast("long").alias("far"), F.lit(True).alias("moved")), "chain0"), 0
+    most = chain.count()
+    while most >> turn:  # a walk longer than all of them goes in a circle
+        onward = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("then"), F.col("far").alias("more"))
+        moved = F.col("then").isNotNull()
+        walked = chain.join(onward, ["conv_id", "to"], "left").select(*OWNER, F.coalesce("then", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), moved.alias("moved"))
         turn += 1
-        wait = scratch.keep(left, f"wait{turn}")
-    done = levels[0] if levels else ready
+        chain = scratch.keep(walked, f"chain{turn}")
+        scratch.drop(f"chain{turn - 1}")
+        if not chain.filter("moved").limit(1).count():
+            break
+
+    turn, levels = 0, [scratch.keep(known, "known")]
+    if several.limit(1).count():
+        ends = chain.select("conv_id", F.col("call_id").alias("used"), "to", "far")
+        wait = met.join(several, OWNER, "left_semi").join(ends, ["conv_id", "used"], "left")
+        wait = scratch.keep(wait.select(*OWNER, F.coalesce("to", "used").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("long").alias("step")), "wait0")
+        while True:
+            # a use with a step is settled; a call whose uses all are comes next
+            last = levels[-1].select("conv_id", F.col("call_id").alias("to"), F.col("step").alias("told"))
+            wait = wait.join(last, ["conv_id", "to"], "left").select(*OWNER, "to", "far", F.coalesce("step", F.col("told") + F.col("far")).alias("step"))
+            turn += 1
+            wait = scratch.keep(wait, f"wait{turn}")
+            ready = wait.groupBy(*OWNER).agg(F.max("step").alias("step"), F.count_if(F.col("step").isNull()).alias("open")).filter("open = 0").select(*OWNER, "step")
+            ready = scratch.keep(ready, f"ready{turn}")
+            if not ready.limit(1).count():
+                break
+            levels.append(ready)
+            wait = wait.join(ready.select(*OWNER), OWNER, "left_anti")
+    done = levels[0]
     for more in levels[1:]:
         done = done.unionByName(more)
-    placed = noted.join(disordered, "conv_id", "left").join(done, OWNER, "left")
-    return placed.select(*OWNER, F.when(F.col("disordered"), F.col("level")).otherwise(F.col("turn")).alias("step"), "unmet")
+    walked = chain.join(done.select("conv_id", F.col("call_id").alias("to"), F.col("step").alias("told")), ["conv_id", "to"]).select(*OWNER, (F.col("told") + F.col("far")).alias("step"))
+    return calls.select(*OWNER).join(unmet, OWNER, "left").join(done.unionByName(walked), OWNER, "left").select(*OWNER, "step", "unmet")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, join: str = "shuffle_hash") -> DataFrame:
     """A row for each call, and for each result without one: conv_id, call_id, step, status, errors, repeats, n_results, message.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), after (ids whose results it uses). results: conv_id, call_id,
@@ -106,11 +123,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     has none).
 
     status: linked; early (its result comes no later than the call, or a turn is null); unanswered; orphan (a result without a
-    call: step is its turn); unidentified (a null conv_id or call_id: never linked, a row for each). errors: comma-joined, of tool
+    call: it has no step); unidentified (a null conv_id or call_id: never linked, a row for each). errors: comma-joined, of tool
     (no schema), malformed (arguments that are no JSON object, or repeat a key), missing:, type: and unknown: with a parameter,
     unmet: with an id of after that is no call of the conversation, and cycle. Of calls with the same id in a conversation the
     first by turn, name, arguments counts, repeats tells how many there are; results likewise, with n_results. message is canonical
     JSON of arguments (as text where malformed), id, name, result; nulls left out. Extra columns aren't read.
+
+    The hash join holds a shuffle partition's results in memory, each identifier once, so a job with too few partitions for that
+    fails: raise spark.sql.shuffle.partitions, or take join="merge", which sorts and spills instead.
     """
     scratch = Scratch(calls.sparkSession, "toolcalls")
     asked = calls.select(*OWNER, F.struct(F.col("turn").cast("long").alias("turn"), "name", "arguments", F.col("after").cast("array<string>").alias("after")).alias("call"))
@@ -118,7 +138,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = asked.filter(whole).groupBy(*OWNER).agg(F.min("call").alias("call"), F.count("*").alias("repeats"))
     answer = got.filter(whole).groupBy(*OWNER).agg(F.min("result").alias("result"), F.count("*").alias("n_results"))
-    linked = first.join(answer.hint("shuffle_hash"), OWNER, "full")
+    linked = first.join(answer.hint(join), OWNER, "full")
     status = F.when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "unanswered").when(F.col("result.turn") > F.col("call.turn"), "linked").otherwise("early")
     linked = linked.withColumn("status", status)
     loose = asked.filter(~whole).withColumn("repeats", F.lit(1).cast("long")).unionByName(got.filter(~whole).withColumn("n_results", F.lit(1).cast("long")), allowMissingColumns=True).withColumn("status", F.lit("unidentified"))
@@ -133,15 +153,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     args = F.when(F.schema_of_variant("parsed").startswith("OBJECT"), F.try_variant_get("parsed", "$", "map<string,variant>"))
     checked = parsed.withColumn("args", args)
     is_call = F.col("call").isNotNull()
-    cycle = F.when(is_call & (F.col("status") != "unidentified") & F.col("step").isNull() & F.col("call.turn").isNotNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))
+    cycle = F.when(is_call & (F.col("status") != "unidentified") & F.col("step").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))
     unmet = F.transform(F.coalesce("unmet", F.array().cast("array<string>")), lambda i: F.concat(F.lit("unmet:"), i))
     errors = F.when(is_call, F.concat(_errors(F.col("args"), F.col("known")), unmet, cycle)).otherwise(F.array().cast("array<string>"))
     as_text = F.when(F.col("args").isNull(), F.col("call.arguments"))
     body = lambda a: F.to_json(F.struct(a.alias("arguments"), F.col("call_id").alias("id"), F.col("call.name").alias("name"), F.col("result.content").alias("result")))
     message = F.when(F.col("args").isNull(), body(as_text)).otherwise(body(F.col("parsed")))
-    step = F.when(F.col("status") == "orphan", F.col("result.turn")).otherwise(F.col("step"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return checked.select(*OWNER, step.alias("step"), "status", F.array_join(errors, ",").alias("errors"), count("repeats"), count("n_results"), message.alias("message"))
+    return checked.select(*OWNER, "step", "status", F.array_join(errors, ",").alias("errors"), count("repeats"), count("n_results"), message.alias("message"))
 
 
 def op8_tool_call_linking(spark, sf_dir: str) -> DataFrame:
@@ -152,12 +171,15 @@ def op8_tool_call_linking(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH c AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn,
+WITH u AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn,
                   min(coalesce(text, '')) AS prompt, count(*) AS repeats
            FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+-- a call uses that of two turns before: its step is its place in a run of such turns
+g AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM u),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS step FROM g),
 r AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, min(text) AS content, count(*) AS n_results
       FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS step,
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.step,
        CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
        CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'unmet:' || c.conv_id || ':' || (c.turn - 2) ELSE '' END AS errors,
        coalesce(c.repeats, 0) AS repeats, coalesce(r.n_results, 0) AS n_results,

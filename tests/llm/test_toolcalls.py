@@ -1,6 +1,7 @@
 """Tool-call linking: rows against SQL, orders, schema errors, canonical JSON."""
 
 import json
+import random
 
 from gridloom.llm import toolcalls
 
@@ -39,6 +40,23 @@ def test_order(spark):
     assert [(of[3, i]["step"], of[3, i]["errors"]) for i in "xyzw"] == [(None, "cycle")] * 3 + [(0, "unmet:gone")]
 
 
+def test_steps_are_longest_chains_whatever_the_turns(spark):
+    """Random uses, with cycles, long chains and calls of several uses, against a plain walk."""
+    random.seed(5)
+    after = {f"s{i}": [f"s{i - 1}"] if i else [] for i in range(100)}
+    after |= {f"m{i}": [f"m{random.randrange(i)}" for _ in range(random.randrange(4))] if i else [] for i in range(60)}
+    after |= {"j": ["s99", "m59"], "k": ["j"], "l": ["k", "s3"], "x": ["y"], "y": ["z"], "z": ["x"], "b": ["x"], "w": ["s1", "x"], "o": ["o"]}
+
+    def step(call, seen=()):
+        if call in seen:
+            return None
+        each = [step(u, (*seen, call)) for u in after[call]]
+        return None if None in each else max(each, default=-1) + 1
+
+    got = {r["call_id"]: r["step"] for r in linked(spark, [(1, c, random.randrange(9), "f", "{}", a) for c, a in after.items()])}
+    assert got == {c: step(c) for c in after}
+
+
 def test_schemas_and_canonical_json(spark):
     schemas = [("g", "n", "integer", True), ("g", "s", "string", False), ("g", "x", "number", False), ("g", "l", "array", None), ("g", "o", "object", False), ("g", "b", "boolean", False), (None, "n", "integer", True)]
     texts = ['{"s": "é\\n/", "n": 1, "o": {"z": 1, "a": [1, 2]}, "l": [], "b": true, "x": 2.50}', '{"n": "1"}', '{"s": null, "q": 1}', "[1]", "{bad", None, '{"n": 1, "n": 2}', '{"n": 1.5, "x": 3}']
