@@ -1,16 +1,20 @@
 """License scans by sentence rules, in DataFrame functions.
 
 1. A text is cut into sentences; each is normalised to its ASCII letters and digits in lower case, words apart by one space;
-2. a normalised sentence that is a known license sentence gets its identifier. One that isn't is tried line by line, so that
-   a license line below a heading is found, and a sentence that was wrapped over lines as well;
+2. a normalised sentence that is a known license sentence gets its identifier, with or without a list number at its end. So does one
+   that fills a known sentence's blank with a name. One that isn't known is tried line by line, so that a license line below
+   a heading is found, and a sentence that was wrapped over lines as well;
 3. the document's identifiers, in order, are matched against the rules: at each place the longest rule whose identifiers
-   follow each other there, then on behind it.
+   follow each other there, then on behind it. A sentence of four words or more that isn't known stands between its neighbours, so
+   that a license with one more clause isn't told as the license without it.
 
 Everything is an expression over one row: no exchange, whatever the texts share.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +65,44 @@ SENTENCES = {
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2-obtain",
 }
 
+# Further sentences of notices.
+SENTENCES |= {
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl-2-1-later-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3-later-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3-later-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3-later-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3": "agpl-3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-2-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "boost-short",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl-2-terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0": "epl-2-terms",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "to the extent possible under law the authors have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-waiver",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "all rights reserved": "rights-reserved",
+}
+
+# How sentences with a blank begin and end, and the identifier of each.
+BLANKS = [
+    ("neither the name of", "may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-names"),
+    ("this software is provided by", "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd-warranty"),
+    ("in no event shall", "in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "bsd-liability"),
+    ("in no event shall", "in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit-liability"),
+    ("to the extent possible under law", "has waived all copyright and related or neighboring rights to", "cc0-waiver"),
+]
+
+# Names whose SPDX line is a sentence of its own ("SPDX-License-Identifier: " and the name).
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "Unlicense", "Zlib"
+]
+_PLAIN = {name: re.sub("[^a-z0-9]+", " ", name.lower()) for name in SPDX}
+SENTENCES |= {f"spdx license identifier {plain}": f"spdx-{plain.replace(' ', '-')}" for plain in _PLAIN.values()}
+
 # The ordered rules, a license and the identifiers that tell of it.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
@@ -86,7 +128,22 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-4-short"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-short"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-short"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names", "bsd-warranty", "bsd-liability"]),
+    ("LGPL-2.1-or-later", ["lgpl-2-1-later-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-later-grant"]),
+    ("AGPL-3.0-or-later", ["agpl-3-later-grant"]),
+    ("AGPL-3.0-only", ["agpl-3-grant"]),
+    ("GPL-2.0-only", ["gpl-2-grant"]),
+    ("Unlicense", ["unlicense-domain", "unlicense-free"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("BSL-1.0", ["boost-short"]),
+    ("EPL-2.0", ["epl-2-terms"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("All-rights-reserved", ["rights-reserved"]),
+    *((name, [f"spdx-{plain.replace(' ', '-')}"]) for name, plain in _PLAIN.items()),
 ]
+#: What an unknown sentence of so many words stands for between identifiers.
+OTHER, OTHER_WORDS = "?", 4
 
 
 def hint(sentences: dict[str, str]) -> str:
@@ -104,7 +161,7 @@ def hint(sentences: dict[str, str]) -> str:
 
 
 #: Every known sentence holds one of these; a text without them has none.
-HINT = hint(SENTENCES)
+HINT = hint({**SENTENCES, **{start: i for start, _, i in BLANKS}})
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END, _CUT = r"([.!?])[ \t\r\n]+", "\u0001|\n[ \t\r]*\n"
 
@@ -115,15 +172,22 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(plain, "^[0-9]+ ", "")
 
 
-def identifiers(text: str, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The array of identifiers of a text's known sentences, in order; empty without one."""
+def sequence(text: str, sentences: dict[str, str] = SENTENCES, blanks: list[tuple[str, str, str]] = BLANKS) -> Column:
+    """The array of identifiers of a text's known sentences, in order, with OTHER for unknown ones; empty without a known one's hint."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    look = lambda s: F.try_element_at(known, normalised(s))
+
+    def look(sentence: Column) -> Column:
+        plain = normalised(sentence)
+        filled = [F.when(plain.startswith(start) & plain.endswith(end), F.lit(i)) for start, end, i in blanks]
+        return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.regexp_replace(plain, " [0-9]+$", "")), *filled)
+
     parts = F.split(F.regexp_replace(F.col(text), _END, "$1\u0001"), _CUT)
     lines = lambda s: F.filter(F.transform(F.split(s, "\n"), look), lambda i: i.isNotNull())
+    other = lambda s: F.when(F.size(F.split(normalised(s), " ")) >= OTHER_WORDS, F.array(F.lit(OTHER))).otherwise(F.array().cast("array<string>"))
     told = F.transform(parts, lambda s: F.struct(look(s).alias("id"), s.alias("s")))
-    flat = F.flatten(F.transform(told, lambda t: F.when(t["id"].isNotNull(), F.array(t["id"])).otherwise(lines(t["s"]))))
-    return F.when(F.col(text).rlike(hint(sentences)), flat).otherwise(F.array().cast("array<string>"))
+    tried = F.transform(told, lambda t: F.struct(t["s"].alias("s"), F.when(t["id"].isNotNull(), F.array(t["id"])).otherwise(lines(t["s"])).alias("ids")))
+    flat = F.flatten(F.transform(tried, lambda t: F.when(F.size(t["ids"]) > 0, t["ids"]).otherwise(other(t["s"]))))
+    return F.when(F.col(text).rlike(hint({**sentences, **{start: i for start, _, i in blanks}})), flat).otherwise(F.array().cast("array<string>"))
 
 
 def _by_length(rules: list[tuple[str, list[str]]]) -> dict[str, str]:
@@ -143,7 +207,7 @@ def matched(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
     return F.transform(hits, lambda h: F.element_at(names, h))
 
 
-def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, blanks: list[tuple[str, str, str]] = BLANKS) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses for every row of docs.
 
     n_sentences counts the known sentences; sentence_ids lists their identifiers, and licenses those that the rules find,
@@ -153,8 +217,8 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # a column of its own, so that rules and outputs read the identifiers and not the text again
-    found = rows.withColumn("ids", identifiers("text", sentences)).select("doc_id", "ids")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(matched(F.col("ids"), rules), ",").alias("licenses"))
+    found = rows.withColumn("all", sequence("text", sentences, blanks)).select("doc_id", "all").withColumn("ids", F.filter("all", lambda i: i != OTHER))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(matched(F.col("all"), rules), ",").alias("licenses"))
 
 
 def op7_sentence_rules(spark, sf_dir: str) -> DataFrame:
@@ -166,6 +230,8 @@ def _sql() -> str:
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _by_length(RULES).items()) + "}"
     norm = f"regexp_replace(trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), '^[0-9]+ ', '')"
+    filled = "".join(f" WHEN starts_with(n, '{start}') AND ends_with(n, '{end}') THEN '{i}'" for start, end, i in BLANKS)
+    look = f"coalesce(({known})[n], ({known})[regexp_replace(n, ' [0-9]+$', '')], CASE{filled} END)"
     # identifiers never end with another's whole name after a space, so no look-behind is needed
     return f"""
 WITH parts AS (
@@ -173,15 +239,18 @@ WITH parts AS (
   FROM (SELECT row_number() OVER () AS rn, doc_id,
                string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1) || '|\\n[ \\t\\r]*\\n') AS p
         FROM documents)),
-told AS (SELECT rn, i, s, ({known})[{norm}] AS id FROM parts),
+norm AS (SELECT rn, i, s, {norm} AS n FROM parts),
+told AS (SELECT rn, i, s, n, {look} AS id FROM norm),
 lines AS (SELECT rn, i, unnest(l) AS s, unnest(range(len(l))) AS j FROM (SELECT rn, i, string_split(s, chr(10)) AS l FROM told WHERE id IS NULL)),
-ids AS (SELECT rn, i, 0 AS j, id FROM told WHERE id IS NOT NULL
-        UNION ALL SELECT * FROM (SELECT rn, i, j, ({known})[{norm}] AS id FROM lines) WHERE id IS NOT NULL),
-seq AS (SELECT rn, list(id ORDER BY i, j) AS ids FROM ids GROUP BY rn),
+found AS (SELECT * FROM (SELECT rn, i, j, {look} AS id FROM (SELECT rn, i, j, {norm} AS n FROM lines)) WHERE id IS NOT NULL),
+ids AS (SELECT rn, i, 0 AS j, id FROM told WHERE id IS NOT NULL UNION ALL SELECT * FROM found
+        UNION ALL SELECT rn, i, 0, '{OTHER}' FROM told WHERE id IS NULL AND len(string_split(n, ' ')) >= {OTHER_WORDS} AND (rn, i) NOT IN (SELECT (rn, i) FROM found)),
+seq AS (SELECT rn, list(id ORDER BY i, j) AS tokens FROM ids GROUP BY rn),
+tagged AS (SELECT rn, tokens, list_filter(tokens, lambda x: x <> '{OTHER}') AS ids FROM seq),
 docs AS (SELECT row_number() OVER () AS rn, doc_id FROM documents)
 SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-       coalesce(array_to_string(list_transform(regexp_extract_all(array_to_string(ids, ' ') || ' ', '{"|".join(_by_length(RULES))}'), lambda h: ({names})[h]), ','), '') AS licenses
-FROM docs LEFT JOIN seq USING (rn)
+       coalesce(array_to_string(list_transform(regexp_extract_all(array_to_string(tokens, ' ') || ' ', '{"|".join(_by_length(RULES))}'), lambda h: ({names})[h]), ','), '') AS licenses
+FROM docs LEFT JOIN tagged USING (rn)
 """
 
 
