@@ -66,3 +66,61 @@ def resampled_ratios(daily: DataFrame, day: str, above: str, below: str, days: i
     name = F.md5(F.concat_ws("-", F.lit(seed), "path", draw).cast("binary"))
     picked = draws.join(F.broadcast(count)).withColumn(k, F.conv(F.substring(name, 1, 7), 16, 10).cast("long") % F.col(n))  # one row is broadcast
     return picked.join(numbered, k).groupBy("path").agg(F.sum("a").alias("total"), F.try_divide(F.sum("a"), F.sum("b")).alias("ratio"))
+
+
+def jump_moments(changes: DataFrame, keys: list[str], change: str, quantile: float = 0.95) -> DataFrame:
+    """keys, u, body_sd, jump_rate, log_mean, log_sd, up_share: changes up to a quantile u of their size are a body, others are jumps.
+
+    Nulls take no part; without a jump its figures are null.
+    """
+    known = changes.filter(F.col(change).isNotNull())
+    joined = known.join(known.groupBy(*keys).agg(F.percentile(F.abs(change), quantile).alias("u")), keys)  # a row a key
+    jump, size = F.abs(change) > F.col("u"), F.abs(change)
+    of = lambda x: F.when(jump, x)
+    return joined.groupBy(*keys).agg(
+        F.first("u").alias("u"), F.stddev_pop(F.when(~jump, F.col(change))).alias("body_sd"), F.avg(jump.cast("double")).alias("jump_rate"), F.avg(of(F.ln(size))).alias("log_mean"),
+        F.stddev_pop(of(F.ln(size))).alias("log_sd"), F.avg(of((F.col(change) > 0).cast("double"))).alias("up_share"),
+    )
+
+
+def mean_excess(values: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
+    """keys, k, u, excess, n: over each quantile u of the levels, how many values lie above it and how far on average."""
+    known = values.filter(F.col(value).isNotNull())
+    cuts = known.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(x) for x in levels])).alias("cuts"))
+    above = known.join(cuts, keys).select(*keys, F.col(value).alias("x"), F.posexplode("cuts").alias("k", "u")).filter(F.col("x") > F.col("u"))
+    return above.groupBy(*keys, "k").agg(F.first("u").alias("u"), F.avg(F.col("x") - F.col("u")).alias("excess"), F.count("*").alias("n"))
+
+
+def jump_path(seeds: DataFrame, seed: str, body_sd: Column, rate: Column, log_mean: Column, log_sd: Column, up_share: Column) -> DataFrame:
+    """seeds with ``change``: a normal body, or by chance a log-normal jump up or down; drawn from hashes of the seed column."""
+    u = lambda n: uniform(F.col(seed), n)
+    jump = F.exp(log_mean + log_sd * normal_quantile(u(1))) * F.when(u(2) < up_share, 1.0).otherwise(-1.0)
+    return seeds.withColumn("change", F.when(u(0) < rate, jump).otherwise(body_sd * normal_quantile(u(3))))
+
+
+def uniform(seed: Column, number: int) -> Column:
+    """A number in (0, 1) from a hash of a seed and a number: the same in every run and on every partition."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("-", seed, F.lit(number)).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4_294_967_296.0
+
+
+# Acklam's rational approximation of the normal quantile, numerators and denominators, highest power first.
+MIDDLE = ([-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239], [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0])
+OUTER = ([-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783], [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0])
+
+
+def normal_quantile_sql(u: str) -> str:
+    """The normal quantile of an expression as SQL, right to about 1e-9 of its size; Spark and DuckDB read the same text."""
+    poly = lambda c, x: "0e0" if not c else f"({poly(c[:-1], x)} * {x} + {c[-1]!r}e0)"
+    middle = f"(({u}) - 0.5e0)"
+    square = f"({middle} * {middle})"
+    low, high = f"sqrt(-2e0 * ln({u}))", f"sqrt(-2e0 * ln(1e0 - ({u})))"
+    ratio = lambda pair, x: f"({poly(pair[0], x)} / {poly(pair[1], x)})"
+    return f"(CASE WHEN ({u}) < 0.02425e0 THEN {ratio(OUTER, low)} WHEN ({u}) > 0.97575e0 THEN -{ratio(OUTER, high)} ELSE {middle} * {ratio(MIDDLE, square)} END)"
+
+
+def normal_quantile(u: Column) -> Column:
+    """The same as a column."""
+    poly = lambda c, x: F.lit(c[0]) if len(c) == 1 else poly(c[:-1], x) * x + c[-1]
+    ratio = lambda pair, x: poly(pair[0], x) / poly(pair[1], x)
+    middle, low, high = u - 0.5, F.sqrt(-2 * F.ln(u)), F.sqrt(-2 * F.ln(1 - u))
+    return F.when(u < 0.02425, ratio(OUTER, low)).when(u > 0.97575, -ratio(OUTER, high)).otherwise(middle * ratio(MIDDLE, middle * middle))
