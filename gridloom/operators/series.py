@@ -60,13 +60,15 @@ def lagged_moments(series: DataFrame, keys: list[str], value: str, lags: list[in
     return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(by[k]).alias("acf")) for k in lags])).alias("x")).select(*keys, "x.*")
 
 
-def episodes(series: DataFrame, keys: list[str], flag: Column, least: int = 1) -> DataFrame:
-    """keys, start, hours of each run of rows where flag holds; a null flag ends a run."""
-    hit, run = fresh_name(series, "hit", "run")
+def episodes(series: DataFrame, keys: list[str], flag: Column, least: int = 1, at: int | None = None) -> DataFrame:
+    """keys, start, hours of each run of rows where flag holds, and the time of its at-th row; a null flag ends a run."""
+    hit, run, place = fresh_name(series, "hit", "run", "place")
     order = Window.partitionBy(*keys).orderBy("ts")
     marked = series.withColumn(hit, F.coalesce(flag, F.lit(False)))
     marked = marked.withColumn(run, F.row_number().over(order) - F.sum(F.col(hit).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.filter(hit).groupBy(*keys, run).agg(F.min("ts").alias("start"), F.count("*").alias("hours")).filter(F.col("hours") >= least).drop(run)
+    found = marked.filter(hit).withColumn(place, F.row_number().over(Window.partitionBy(*keys, run).orderBy("ts")))
+    told = found.groupBy(*keys, run).agg(F.min("ts").alias("start"), F.count("*").alias("hours"), F.max(F.when(F.col(place) == (at or least), F.col("ts"))).alias("at"))
+    return told.filter(F.col("hours") >= least).drop(run, *([] if at else ["at"]))
 
 
 def gram(rows: DataFrame, target: str, features: list[str], keys: list[str] | None = None) -> DataFrame:

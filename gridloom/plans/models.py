@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gridloom.operators import align, scores, series
 from gridloom.plans.base import days, hourly, pairs, query, r, zonal
 from gridloom.session import table
-from gridloom.streaming import online
 
 
 @query("rolling_stats", "SELECT zone, ts, round(avg(p) OVER w, 9) AS mean, round(min(p) OVER w, 6) AS low, round(max(p) OVER w, 6) AS high, round(max(p) OVER w - min(p) OVER w, 6) AS span FROM zonal WINDOW w AS (PARTITION BY zone ORDER BY ts ROWS 23 PRECEDING)")
@@ -210,21 +209,3 @@ def hill_index(spark, sf_dir):
 def hedge_min_variance(spark, sf_dir):
     """The hedge that leaves the least variance, and what it saves."""
     return pairs(spark, sf_dir).agg(r(F.try_divide(F.covar_pop("actual", "pred"), F.var_pop("pred"))).alias("ratio"), r(100 * F.pow(F.corr("actual", "pred"), 2)).alias("saved_percent"))
-
-
-@query("bias_per_hour", """, e AS (SELECT hour(ts) AS h, actual - pred AS e, row_number() OVER (PARTITION BY hour(ts) ORDER BY ts) AS n FROM pairs),
-f AS (WITH RECURSIVE f AS (SELECT h, n, e AS bias, abs(e) AS spread FROM e WHERE n = 1
- UNION ALL SELECT e.h, e.n, (1 - k) * f.bias + k * c, (1 - k) * f.spread + k * abs(c) FROM f JOIN e ON e.h = f.h AND e.n = f.n + 1,
- LATERAL (SELECT greatest(1.0 / e.n, 1 - pow(0.5, 1.0 / 3)) AS k, CASE WHEN e.n > 3 AND f.spread > 0 THEN greatest(least(e.e, 5 * f.spread), -5 * f.spread) ELSE e.e END AS c)) SELECT * FROM f)
-SELECT CAST(h AS BIGINT) AS hour, round(arg_max(bias, n), 6) + 0.0 AS bias, round(arg_max(spread, n), 6) AS spread, max(n) AS n FROM f GROUP BY h""")
-def bias_per_hour(spark, sf_dir):
-    """The bias of each hour of the day as an online mean."""
-    rows = pairs(spark, sf_dir).withColumn("hour", F.hour("ts").cast("long"))
-    return online.bias_fold(rows, ["hour"]).select("hour", r("bias").alias("bias"), r("spread").alias("spread"), "n")
-
-
-@query("conformal_fold")
-def conformal_fold(spark, sf_dir):
-    """Adaptive intervals of each zone's day-before forecast."""
-    rows = align.time_lag(zonal(spark, sf_dir), ["zone"], "p", 24, "pred").filter("pred is not null").withColumnRenamed("p", "actual")
-    return online.conformal_intervals(rows, "zone")

@@ -23,17 +23,27 @@ def sf_dir():
 
 
 @pytest.fixture(scope="session")
-def duck(sf_dir):
-    """DuckDB with a view for each table of the data folder."""
+def larger_dir():
+    """The next larger folder: the smallest has no day of 24 hours, so that most series queries would be held against nothing."""
+    return DATA.replace("sf0.001", "sf0.01")
+
+
+def views(folder):
+    """DuckDB with a view for each table of a data folder."""
     import duckdb
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for path in sorted(Path(sf_dir).glob("*.parquet")):
+    for path in sorted(Path(folder).glob("*.parquet")):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    return views(sf_dir)
+
+
 def rounded(value):
     if hasattr(value, "asDict"):
         return {k: rounded(v) for k, v in value.asDict().items()}
@@ -42,13 +52,12 @@ def rounded(value):
     return float(f"{value:.9g}") + 0.0 if isinstance(value, float) else value
 
 
-@pytest.fixture(scope="session")
-def same_rows(duck):
-    """Asserts that a DataFrame and an SQL text give the same columns and rows."""
+def compared(con):
+    """Asserts that a DataFrame and an SQL text give the same columns and rows; returns how many."""
 
     def check(df, sql):
         columns = sorted(df.columns)
-        result = duck.execute(sql)
+        result = con.execute(sql)
         names = [d[0] for d in result.description]
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
@@ -58,3 +67,13 @@ def same_rows(duck):
         return len(got)
 
     return check
+
+
+@pytest.fixture(scope="session")
+def same_rows(duck):
+    return compared(duck)
+
+
+@pytest.fixture(scope="session")
+def same_rows_larger(larger_dir):
+    return compared(views(larger_dir))

@@ -40,3 +40,45 @@ def test_intervals_against_a_plain_walk(spark):
     got = sorted((r["ts"], r["lower"], r["upper"]) for r in online.conformal_intervals(df, "zone").collect())
     for (_, lower, upper), want in zip(got, walk(rows), strict=True):
         assert abs(lower - want[0]) < 1e-9 and abs(upper - want[1]) < 1e-9
+
+
+def series(spark, n=120, zones=("a", "b")):
+    random.seed(11)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(z, start + datetime.timedelta(hours=i), random.gauss(10, 3), random.gauss(9, 1)) for z in zones for i in range(n)]
+    return spark.createDataFrame(rows, "zone string, ts timestamp, actual double, pred double")
+
+
+def test_stream_gives_the_batch_intervals(spark, tmp_path):
+    df = series(spark)
+    df.filter("ts < '2024-01-03'").repartition(1).write.parquet(str(tmp_path / "in" / "a"))
+    df.filter("ts >= '2024-01-03'").repartition(1).write.parquet(str(tmp_path / "in" / "b"))
+    feed = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running = online.conformal_stream(feed, "zone", window=48, bias_days=2.0).writeStream.outputMode("append").format("memory").queryName("bands").trigger(availableNow=True).start()
+    running.awaitTermination(180)
+    got = sorted(map(tuple, spark.table("bands").collect()))
+    want = sorted(map(tuple, online.conformal_intervals(df, "zone", window=48, bias_days=2.0).collect()))
+    assert len(got) == 240 and [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(a - b) < 1e-9 for g, w in zip(got, want) for a, b in zip(g[2:4], w[2:4]))
+
+
+def test_bundle_and_odd_rows(spark):
+    df = series(spark, 40)
+    got = {r["zone"]: r for r in online.conformal_state(df, ["zone"], window=20, warm=14).collect()}
+    for zone, r in got.items():
+        plain = online.Conformal(0.9, 20, 14)
+        for x in df.filter(df["zone"] == zone).orderBy("ts").collect():
+            plain.learn(x["pred"], x["actual"])
+        assert (r["n"], r["warmed"]) == (40, True) and abs(r["half_width"] - plain.half_width()) < 1e-12 and 0 <= r["entropy"] <= math.log2(15)
+    assert online.conformal_intervals(df.limit(0), "zone").count() == 0
+    odd = spark.createDataFrame([(None, None, 1.0, 2.0), ("z", None, None, 1.0), ("z", datetime.datetime(2024, 1, 1), 1.0, None), ("z", datetime.datetime(2024, 1, 1), 2.0, 2.0), ("z", datetime.datetime(2024, 1, 1), 2.0, 2.0)], df.schema)
+    assert sorted((r["zone"] or "", r["hit"]) for r in online.conformal_intervals(odd, "zone").collect() if r["hit"] is not None) == [("", False), ("z", True), ("z", True)]
+    assert sorted((r["zone"] or "", r["n"]) for r in online.bias_fold(odd, ["zone"]).collect()) == [("", 1), ("z", 2)]
+    assert [r["n"] for r in online.bias_fold(odd.limit(0), ["zone"]).collect()] == []
+
+
+def test_smoothed_keeps_the_last_over_nulls(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("a", start + datetime.timedelta(hours=i), v) for i, v in enumerate([None, 1.0, None, 2.0])]
+    out = online.smoothed(spark.createDataFrame(rows, "zone string, ts timestamp, k double"), ["zone"], "k", 0.3).orderBy("ts").collect()
+    assert [r["smooth"] for r in out] == [None, 1.0, 1.0, 0.7 * 1.0 + 0.3 * 2.0]

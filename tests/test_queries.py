@@ -9,12 +9,12 @@ from gridloom.streaming import online
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLE_SQL])
-def test_rows_against_sql(name, spark, sf_dir, same_rows):
-    same_rows(catalog.QUERIES[name](spark, sf_dir.replace("sf0.001", "sf0.001")), catalog.ORACLE_SQL[name])
+def test_rows_against_sql(name, spark, larger_dir, same_rows_larger):
+    assert same_rows_larger(catalog.QUERIES[name](spark, larger_dir), catalog.ORACLE_SQL[name]) > 0
 
 
-def test_conformal_coverage(spark, sf_dir):
-    out = catalog.QUERIES["conformal_fold"](spark, sf_dir.replace("sf0.001", "sf0.01")).toPandas()
+def test_conformal_coverage(spark, larger_dir):
+    out = catalog.QUERIES["conformal_fold"](spark, larger_dir).toPandas()
     settled = out[out["upper"] > out["lower"]]
     assert len(settled) and abs(settled["hit"].mean() - 0.9) < 0.04
 
