@@ -62,3 +62,26 @@ def cheapest_block(hourly: DataFrame, keys: list[str], length: int = 4) -> DataF
     run = Window.partitionBy(*keys).orderBy("hour").rowsBetween(0, length - 1)
     means = hourly.select(*keys, F.col("hour").alias("start"), F.avg("p").over(run).alias("mean"), F.count("p").over(run).alias("n")).filter(F.col("n") == length)
     return means.groupBy(*keys).agg(F.min(F.struct("mean", "start")).alias("b")).select(*keys, "b.start", "b.mean")
+
+
+def segments(hours: DataFrame) -> DataFrame:
+    """hours (hour) with ``segment``: night, morning, midday or evening, of six hours each."""
+    return hours.withColumn("segment", F.when(F.col("hour") < 6, "night").when(F.col("hour") < 12, "morning").when(F.col("hour") < 18, "midday").otherwise("evening"))
+
+
+def merged_segments(part: DataFrame, keys: list[str], segment: str, most: int = 12) -> DataFrame:
+    """keys, k, cheap, peak for k to ``most``: the curves of whole days from those of their segments (keys, segment, k, cheap, peak).
+
+    A segment's curves are made monotone, then turned back into prices; a day's prices are sorted anew and averaged. A day without peak
+    curves takes its cheap prices from above.
+    """
+    by = [*keys, segment]
+    rising = sorted_prices(isotonic(part.select(*by, "k", "cheap"), by, "k", "cheap").select(*by, "k", "fitted"), by, "fitted")
+    falling = sorted_prices(isotonic(part.select(*by, "k", "peak"), by, "k", "peak", False).select(*by, "k", "fitted"), by, "fitted")
+    up, down = Window.partitionBy(*keys).orderBy("price", segment, "k"), Window.partitionBy(*keys).orderBy(F.desc("price"), segment, "k")
+    mean = lambda w: F.avg("price").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    cheap = rising.select(*keys, F.row_number().over(up).alias("k"), mean(up).alias("cheap"), F.row_number().over(down).alias("j"), mean(down).alias("turned"))
+    peak = falling.select(*keys, F.row_number().over(down).alias("k"), mean(down).alias("peak"))
+    turned = cheap.select(*keys, F.col("j").alias("k"), "turned")
+    joined = cheap.select(*keys, "k", "cheap").join(turned, [*keys, "k"]).join(peak, [*keys, "k"], "left")
+    return joined.filter(F.col("k") <= most).select(*keys, "k", "cheap", F.coalesce("peak", "turned").alias("peak"))
