@@ -1,6 +1,6 @@
 """Near copies by SimHash and word shingles: one row of each group of texts whose shingle sets are alike.
 
-1. A text becomes the set of its shingles' hashes. Rows with equal sets count once, by the row with the smallest number;
+1. A text becomes the set of its shingles' hashes. Rows with equal sets count once, as a node;
 2. candidates are sets whose SimHash are at most ``BITS_APART`` bits apart, found by pigeonring filtering (``simhash.links``). Sets of
    likeness 0.8 are 4 to 14 bits apart, where no chain of segments tells them from other texts. So a second source finds
    those that SimHash can't: sets that agree in all of a band's minima meet in a bucket. A pair of likeness s is missed
@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm.components import components
-from gridloom.llm.keeping import join_by_key, least_of_each, numbered
-from gridloom.llm.scratch import Scratch
+from gridloom.llm.keeping import join_by_key
+from gridloom.llm.scratch import Scratch, fresh_name, released
 from gridloom.llm.simhash import links as simhash_links
 from gridloom.llm.simhash import of_hashes
 
@@ -122,39 +123,46 @@ def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def groups(rows: DataFrame, rid: str, scratch: Scratch, words: int = WORDS, least: float = LEAST, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """rid and component, the least rid reachable, of every row of a written table with columns rid (long) and text."""
+def groups(rows: DataFrame, ids: list[str], scratch: Scratch, words: int = WORDS, least: float = LEAST, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """ids, the carried columns and ``component`` (a number) of every row. ids tell rows apart that differ in text; rows are read twice, and
+    texts are shuffled only of rows that have candidates."""
+    named = rows.select(*ids, *carry, F.col("text").cast("string").alias("text"))
+    schema = StructType([*named.drop("text").schema.fields, *StructType.fromDDL("digest binary, fp long, keys array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, prints, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(batch.num_columns - 1):
                 found = shingles(text.as_py(), words)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 prints.append(of_hashes(found))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "fp", "keys"]
-            )
-
-    signed = scratch.keep(rows.select(F.col(rid), F.col("text").cast("string")).mapInArrow(run, "rid long, digest binary, fp long, keys array<long>"), "signed")
-    distinct = scratch.keep(signed.groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "distinct")
-    nodes = scratch.keep(signed.join(distinct, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "fp", "keys"), "nodes")
+            told = [pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *told], [*batch.schema.names[:-1], "digest", "fp", "keys"])
+
+    signed = scratch.keep(named.mapInArrow(run, schema), "signed")
+    first = lambda c: F.min_by(c, F.struct(*ids)).alias(c)
+    distinct = signed.groupBy("digest").agg(F.min(F.struct(*ids)).alias("row"), F.count("*").alias("n"), first("fp"), first("keys"))
+    # numbered once, in a written table
+    nodes = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     prints = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
     equal = nodes.join(prints, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = simhash_links(prints, Scratch(scratch.spark, "pigeonring"), BITS_APART)
+    pigeons = Scratch(scratch.spark, "pigeonring")
+    near = simhash_links(prints, pigeons, BITS_APART)
     for end in ("a", "b"):
         near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first")), end)
     near = near.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    dealt = scratch.keep(nodes.select("node", F.explode("keys").alias("key")), "dealt")
-    buckets = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "first")
-    banded = dealt.join(buckets, "key").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    buckets = scratch.keep(buckets, "buckets")
+    banded = join_by_key(dealt, buckets, "key", "n").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
     roots = scratch.keep(components(banded.union(equal).union(near), scratch), "loose")
-    scratch.drop("dealt")
-    texts = rows.select(F.col(rid).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    members = scratch.keep(texts.join(roots, "node").withColumn("chars", F.length("text")), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / block_chars)).cast("int").alias("blocks"))
-    sized = scratch.keep(members.select("node", "root").join(sizes, "root"), "sized")
+    pigeons.drop()
+
+    wanted = nodes.select("node", "row.*").join(roots, "node")
+    members = scratch.keep(named.drop(*carry).join(wanted, ids).dropDuplicates(["node"]).select("node", "root", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.length("text")), "members")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / block_chars)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    sized = scratch.keep(join_by_key(members.select("node", "root"), scratch.keep(sizes, "sizes"), "root", "n"), "sized")
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(0)
     # the first row of a loose group goes to each of its blocks
     to = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
@@ -171,8 +179,8 @@ def groups(rows: DataFrame, rid: str, scratch: Scratch, words: int = WORDS, leas
         pairs = pairs.select("node", F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "label")
         more = scratch.keep(_confirmed(members.select("node", "text").join(pairs, "node").select("cell", "node", "label", "text"), words, least), "more")
         joined = scratch.keep(components(links.union(more), Scratch(scratch.spark, "confirmed")), "rejoined")
-    named = scratch.keep(distinct.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), "n"), "named")
-    return join_by_key(signed.select("rid", "digest"), named, "digest", "n").select(F.col("rid").alias(rid), "component")
+    told = scratch.keep(nodes.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), "n"), "named")
+    return join_by_key(signed.drop("fp", "keys"), told, "digest", "n").select(*ids, *carry, "component")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -181,7 +189,17 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     Rows are linked where their sets of ``words``-word shingles have a Jaccard likeness of ``least`` or more, through others
     too. A null text counts as empty, and empty texts are copies of each other. Of rows repeated under a doc_id one stays in
     each group that it names. Rows without a doc_id all stay. An empty table gives an empty table.
+
+    Rows are told apart by two hashes of doc_id and text, so no copy of the table is written; docs are read three times, and their texts shuffled once.
     """
-    scratch = Scratch(docs.sparkSession, "nearcopies")
-    rows, rid = numbered(docs, scratch)
-    return least_of_each(rows, rid, groups(rows, rid, scratch, words, least), scratch)
+    with released():
+        keys = fresh_name(docs, "row_hash", "row_check")
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        rows = docs.withColumns({keys[0]: F.xxhash64("doc_id", text), keys[1]: F.xxhash64(F.lit(1), text, "doc_id")})
+        found = groups(rows, keys, Scratch(docs.sparkSession, "nearcopies"), words, least, carry=("doc_id",)).filter(F.col("doc_id").isNotNull())
+        kept = found.groupBy("component").agg(F.min(F.struct("doc_id", *keys)).alias("least")).select(*[F.col("least")[k].alias(k) for k in keys])
+        kept = Scratch(docs.sparkSession, "kept", lasting=True).keep(kept.dropDuplicates(keys), "kept")
+    (place,) = fresh_name(rows, "place")
+    # rows of one doc_id and text are one: the join leaves them side by side
+    once = rows.join(kept, keys).withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))).filter(F.col(place) == 1)
+    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

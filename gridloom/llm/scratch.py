@@ -32,11 +32,13 @@ class Scratch:
 
     #: The folders made since the innermost ``released`` began.
     made: list[Scratch] = []
+    outer: list[Scratch] = []
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
+        """lasting: the tables belong to what the operator returns, and go with the caller's."""
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        Scratch.made.append(self)
+        (Scratch.outer if lasting else Scratch.made).append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,11 +56,12 @@ class Scratch:
 
 @contextmanager
 def released() -> Iterator[None]:
-    """Deletes at its end the tables of all operator calls within; their results must have been written by then."""
-    before, Scratch.made = Scratch.made, []
+    """Deletes at its end the tables of all operator calls within, other than lasting ones; what needs them must have been written by then."""
+    before, above = Scratch.made, Scratch.outer
+    Scratch.made, Scratch.outer = [], before
     try:
         yield
     finally:
-        inside, Scratch.made = Scratch.made, before
+        inside, Scratch.made, Scratch.outer = Scratch.made, before, above
         for scratch in inside:
             scratch.drop()
