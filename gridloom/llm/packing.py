@@ -16,6 +16,7 @@ counts a round, and one count for each length up to ``capacity``.
 from __future__ import annotations
 
 import base64
+import logging
 import os
 import re
 import zlib
@@ -181,6 +182,7 @@ def pack(cut: DataFrame, scratch: Scratch, capacity: int = 1024, partition_rows:
         done.append(now.filter(~F.col("open")).select(*columns, "sequence_id", "offset"))
         pool, was = now.filter("open"), count["open"]
         closed, parts, turn = closed + count["bins"] - count["open"], fewer, turn + 1
+    logging.getLogger(__name__).info("cut pieces: at most %d sequences, at least %d needed, after %d rounds", closed + (0 if saved else count["bins"]) if counts.sum() else 0, fewest, turn + 1)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -194,6 +196,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     return pack(scratch.keep(cut, "pieces"), scratch, capacity)
 
 
+def certificate(packed: DataFrame, capacity: int = 1024) -> DataFrame:
+    """One row: sequences, least (what any packing of these pieces needs, by the dual feasible functions) and gap, the difference.
+
+    What the driver holds is a count for each length.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():  # at most capacity rows
+        counts[r["length"]] = r["count"]
+    least = int(counts[capacity]) + least_bins_of(np.where(np.arange(capacity + 1) < capacity, counts, 0), capacity)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(least).cast("long").alias("least"), (F.col("sequences") - least).alias("gap"))
+
+
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     import public_tokenizers

@@ -51,13 +51,18 @@ def test_round_trip_and_few_sequences(spark, sf_dir):
     sequences = held(rows, documents)
     least = packing.least_bins(np.array([r["length"] for r in rows]), 1024)
     assert sequences <= least * 1.01 + 1
+    told = packing.certificate(packing.op9_best_fit_packing(spark, sf_dir)).first()
+    assert told["sequences"] == sequences and least <= told["least"] <= sequences and told["gap"] == sequences - told["least"]
 
 
 def test_both_libraries_give_the_same_ids(spark, sf_dir):
     encode = packing.encoding(PATH)
-    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + ["", " ", "<|endoftext|>", "a\u0000b", "été 漢字 👍🏽", "x" * 5000, "\n\n\n  \t"]
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    texts = [r["text"] for folder in (sf_dir, larger) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()] + ["", " ", "<|endoftext|>", "a\u0000b", "été 漢字 👍🏽", "x" * 5000, "\n\n\n  \t"]
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
     for text in texts:
-        assert list(encode(text)) + [2] == ids_of(text)
+        assert list(encode(text or "")) == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_bound_never_exceeds_the_optimum():
