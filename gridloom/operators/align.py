@@ -32,7 +32,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, tie: s
 
     Where left has a column of the value's name, the new one gets an underscore in front. One window over the union of both sides, so the work is a sort and no pairs are made.
     """
-    side, got, order = fresh_name(left, "side", value, "tie")
+    got, side, order = fresh_name(left, value, "side", "tie")
     both = left.withColumn(side, F.lit(1)).unionByName(right.select(*keys, "ts", F.col(value).alias(got), F.col(tie).alias(order)).withColumn(side, F.lit(0)), allowMissingColumns=True)
     so_far = Window.partitionBy(*keys).orderBy("ts", side, F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn(got, F.last(F.when(F.col(side) == 0, F.col(got)), ignorenulls=True).over(so_far))
