@@ -11,5 +11,5 @@ __all__ = ["ORACLE_SQL", "QUERIES", "feature_queries", "fit_queries", "flagship"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duration curves of each whole day."""
-    return QUERIES["dk_curves"](spark, sf_dir)
+    """The layered forecast of each hour."""
+    return QUERIES["layered_forecast"](spark, sf_dir)

@@ -33,12 +33,12 @@ def quarter_scores(spark, sf_dir):
 
 
 _SEGMENTS = {
-    "all": ("true", F.lit(True)),
-    "night": ("hour(ts) < 6", F.hour("ts") < 6),
-    "peak": ("hour(ts) BETWEEN 17 AND 20", F.hour("ts").between(17, 20)),
-    "weekend": ("isodow(ts) > 5", ~calendar.is_workday(F.col("ts"))),
-    "high": ("actual >= (SELECT quantile_cont(actual, 0.95) FROM pairs)", F.col("actual") >= F.col("high")),
-    "low": ("actual <= (SELECT quantile_cont(actual, 0.05) FROM pairs)", F.col("actual") <= F.col("low")),
+    "all": ("true", lambda: F.lit(True)),
+    "night": ("hour(ts) < 6", lambda: F.hour("ts") < 6),
+    "peak": ("hour(ts) BETWEEN 17 AND 20", lambda: F.hour("ts").between(17, 20)),
+    "weekend": ("isodow(ts) > 5", lambda: ~calendar.is_workday(F.col("ts"))),
+    "high": ("actual >= (SELECT quantile_cont(actual, 0.95) FROM pairs)", lambda: F.col("actual") >= F.col("high")),
+    "low": ("actual <= (SELECT quantile_cont(actual, 0.05) FROM pairs)", lambda: F.col("actual") <= F.col("low")),
 }
 
 
@@ -50,7 +50,7 @@ def segment_scores(spark, sf_dir):
     """Errors of six segments, of 20 rows at least: each row goes to the segments it is in, in one pass."""
     rows = pairs(spark, sf_dir)
     cuts = rows.agg(F.percentile("actual", 0.95).alias("high"), F.percentile("actual", 0.05).alias("low"))
-    dealt = rows.crossJoin(F.broadcast(cuts)).select("actual", "pred", F.explode(F.filter(F.array(*[F.when(flag, F.lit(name)) for name, (_, flag) in _SEGMENTS.items()]), lambda s: s.isNotNull())).alias("segment"))
+    dealt = rows.crossJoin(F.broadcast(cuts)).select("actual", "pred", F.explode(F.filter(F.array(*[F.when(flag(), F.lit(name)) for name, (_, flag) in _SEGMENTS.items()]), lambda s: s.isNotNull())).alias("segment"))
     error = F.col("actual") - F.col("pred")
     return dealt.groupBy("segment").agg(F.count("*").alias("n"), r(F.avg(F.abs(error))).alias("mae"), r(F.avg(error)).alias("bias")).filter("n >= 20")
 

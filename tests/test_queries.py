@@ -35,5 +35,6 @@ def test_bias_stream_gives_the_folds_state(spark, tmp_path):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["day", "k", "cheap", "peak"]
+    rows = __spark_entry__.entry(spark)
+    assert rows.columns == ["ts", "seasonal", "linear", "decay", "mean"] and rows.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
