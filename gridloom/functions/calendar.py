@@ -72,3 +72,20 @@ def fourier(phase: Column, orders: int, prefix: str) -> list[Column]:
 def ring_distance(a: Column, b: Column, size: int = 365) -> Column:
     """The shorter way between two days of the year."""
     return F.least(F.abs(a - b), size - F.abs(a - b))
+
+
+def configured_holidays(years: DataFrame, rules: list[dict]) -> DataFrame:
+    """day, kind of each rule in each row's ``year``. Rules: fixed (month, day); easter (offset in days); weekday (the first such weekday, as Mon to Sun, from
+    month and day on). Another type is an error."""
+    year, made = F.col("year"), []
+    for rule in rules:
+        if rule["type"] == "fixed":
+            day = F.make_date(year, F.lit(rule["month"]), F.lit(rule["day"]))
+        elif rule["type"] == "easter":
+            day = F.date_add(easter_sunday(year), rule["offset"])
+        elif rule["type"] == "weekday":
+            day = F.next_day(F.date_sub(F.make_date(year, F.lit(rule["month"]), F.lit(rule["day"])), 1), rule["weekday"])
+        else:
+            raise ValueError(f"no such rule: {rule['type']}")
+        made.append(F.struct(day.alias("day"), F.lit(rule["type"]).alias("kind")))
+    return years.select(F.explode(F.array(*made)).alias("h")).select("h.*")

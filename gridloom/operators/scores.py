@@ -66,3 +66,13 @@ def quarters(rows: DataFrame, order: str) -> DataFrame:
     place = F.col(at) + F.row_number().over(Window.partitionBy(day).orderBy(order)) - 1
     step = F.greatest(F.floor(F.col(all_) / 4), F.lit(1))
     return dated.join(starts, day).withColumn("quarter", F.least(F.floor(place / step), F.lit(3)).cast("long") + 1).drop(day, at, n, all_)
+
+
+def weighted_mean(value: str, weight: str) -> Column:
+    return F.try_divide(F.sum(F.col(weight) * F.col(value)), F.sum(weight))
+
+
+def weighted_sd(value: str, weight: str) -> Column:
+    """An aggregate: the weighted spread about the weighted mean."""
+    square = F.try_divide(F.sum(F.col(weight) * F.col(value) * F.col(value)), F.sum(weight))
+    return F.sqrt(F.greatest(square - F.pow(weighted_mean(value, weight), F.lit(2)), F.lit(0.0)))

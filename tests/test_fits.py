@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import align, curves, fits, hedge, ranks, scores, series, smooth
+from gridloom.operators import align, curves, fits, hedge, models, ranks, scores, series, smooth
 from gridloom.functions import features
 
 
@@ -115,3 +115,38 @@ def test_blocks_and_shares_of_odd_days(spark):
     assert ranks.blocks(rows, ["day"], ["actual"]).count() == 0 and ranks.block_choice(rows, ["day"], "actual", "pred").count() == 0
     share = ranks.shares_by_rank(rows, ["day"], "actual", "hour")
     assert ranks.share_distance(share, share.limit(0)).first()["l1"] == pytest.approx(1.0)
+
+
+def test_quantile_lines_against_a_search(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 10, 300)
+    y = 2 * x + (1 + 0.3 * x) * rng.normal(size=300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    for level in (0.1, 0.5, 0.9):
+        loss = lambda a, b: np.mean(np.where(y > a + b * x, level * (y - a - b * x), (1 - level) * (a + b * x - y)))
+        got = models.quantile_ridge(df, "y", ["x"], level)
+        best = min(loss(a, b) for a in np.linspace(-4, 4, 81) for b in np.linspace(0, 4, 81))
+        assert loss(got["intercept"], got["x"]) < best * 1.02 and np.mean(y <= got["intercept"] + got["x"] * x) == pytest.approx(level, abs=0.03)
+
+
+def test_arma_finds_a_simulated_series(spark):
+    rng = np.random.default_rng(9)
+    n, e, y = 6000, rng.normal(size=6000), np.zeros(6000)
+    z = np.sin(np.arange(n) / 7)
+    for t in range(2, n):
+        y[t] = 1 + 0.9 * y[t - 1] - 0.3 * y[t - 2] + e[t] + 0.5 * e[t - 1] + 0.8 * z[t]
+    start = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(start + datetime.timedelta(hours=t), float(y[t]), float(z[t])) for t in range(n)], "ts timestamp, y double, z double")
+    m = models.arma(df, "y", ["z"])
+    assert [m[k] for k in ("ar1", "ar2", "ma1", "z")] == pytest.approx([0.9, -0.3, 0.5, 0.8], abs=0.08)
+    path = spark.range(1).select(models.arma_path({"last": 2.0, "before": 1.0, "shock": 0.5}, {"intercept": 1.0, "ar1": 0.5, "ar2": 0.2, "ma1": 0.4}, F.array(F.lit(0.1), F.lit(0.2)), 2).alias("p")).first()["p"]
+    first = 1 + 1.0 + 0.2 + 0.2 + 0.1
+    assert path == pytest.approx([first, 1 + 0.5 * first + 0.4 + 0.2])
+
+
+def test_leaving_each_feature_out(spark):
+    x, y, _ = table()
+    z = np.column_stack((np.ones(len(x)), x, y))
+    got = models.without_each(z.T @ z, ["a", "b", "c"])
+    rss = lambda cols: float(np.linalg.lstsq(z[:, [0, *cols]], y, rcond=None)[1][0])
+    assert [got[k] for k in "abc"] == pytest.approx([rss([j for j in (1, 2, 3) if j != i]) - rss([1, 2, 3]) for i in (1, 2, 3)])

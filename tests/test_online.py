@@ -82,3 +82,15 @@ def test_smoothed_keeps_the_last_over_nulls(spark):
     rows = [("a", start + datetime.timedelta(hours=i), v) for i, v in enumerate([None, 1.0, None, 2.0])]
     out = online.smoothed(spark.createDataFrame(rows, "zone string, ts timestamp, k double"), ["zone"], "k", 0.3).orderBy("ts").collect()
     assert [r["smooth"] for r in out] == [None, 1.0, 1.0, 0.7 * 1.0 + 0.3 * 2.0]
+
+
+def test_one_rate_is_plain_adaptive_conformal(spark):
+    df = series(spark, 60, ("a",))
+    got = [(r["lower"], r["upper"]) for r in online.conformal_intervals(df, "zone", rates=[0.05], warm=5).orderBy("ts").collect()]
+    level, scores = 0.1, []
+    for r, (lower, upper) in zip(df.orderBy("ts").collect(), got, strict=True):
+        half = quantile(scores, 1 - level) if len(scores) >= 5 else 0.0
+        assert abs(lower - (r["pred"] - half)) < 1e-9 and abs(upper - (r["pred"] + half)) < 1e-9
+        score = abs(r["actual"] - r["pred"])
+        level = max(1e-6, min(1 - 1e-6, level + 0.05 * (0.1 - (score > (quantile(scores, 1 - level) if scores else 0.0)))))
+        scores.append(score)
