@@ -18,6 +18,23 @@ def rolling_hours(keys: list[str], hours: int):
     return Window.partitionBy(*keys).orderBy(F.unix_timestamp("ts")).rangeBetween(-hours * 3600 + 1, 0)
 
 
+def over_hours(rows: DataFrame, keys: list[str], hours: int, made, chunk_hours: int | None = None) -> DataFrame:
+    """rows with the columns that ``made(window)`` gives, over the last ``hours`` hours up to each row, by time.
+
+    A key's rows are cut into stretches of ``chunk_hours`` (by default four times as long as the window), each with a copy of the window's length before it, so that a key's
+    windows are shared by as many tasks as it has stretches and not done by one. Rows without a ts have their own stretch.
+    """
+    size = 3600 * (chunk_hours or 4 * hours)
+    chunk, copied = fresh_name(rows, "chunk", "copied")
+    second = F.unix_timestamp("ts")
+    own = F.floor(second / size)
+    # a row also serves the stretches that begin within the window's length behind it
+    last = F.floor((second + hours * 3600 - 1) / size)
+    dealt = rows.withColumn(chunk, F.explode(F.when(second.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(own, last)))).withColumn(copied, F.coalesce(F.col(chunk) > own, F.lit(False)))
+    window = Window.partitionBy(*keys, chunk).orderBy(second).rangeBetween(-hours * 3600 + 1, 0)
+    return dealt.withColumns(made(window)).filter(~F.col(copied)).drop(chunk, copied)
+
+
 def seasonal(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """series with by_hour, by_weekday, by_week and residual: means by UTC bin, each taken of what the one before leaves.
 

@@ -11,14 +11,16 @@ from gridloom.names import fresh_name
 LEAST_EXCEEDANCES = 30
 
 
-def exceedances(values: DataFrame, keys: list[str], value: str, quantile: float = 0.95) -> DataFrame:
+def exceedances(values: DataFrame, keys: list[str], value: str, quantile: float = 0.95, accuracy: int | None = None) -> DataFrame:
     """keys, side (-1, 1), u, n (rows of the key), y: how far each value lies beyond u on its side.
 
-    u is a quantile of the absolute values of the key. Null values take no part.
+    u is a quantile of the absolute values of the key, exact (which holds a key's distinct values in memory) or, with accuracy, by Spark's sketch: a
+    value whose rank is within 1 / accuracy of the wanted one. Null values take no part.
     """
     (x,) = fresh_name(values, "x")
     known = values.select(*keys, F.col(value).alias(x)).filter(F.col(x).isNotNull())
-    u = known.groupBy(*keys).agg(F.percentile(F.abs(x), quantile).alias("u"), F.count("*").alias("n"))
+    level = F.percentile(F.abs(x), quantile) if accuracy is None else F.percentile_approx(F.abs(x), quantile, accuracy)
+    u = known.groupBy(*keys).agg(level.alias("u"), F.count("*").alias("n"))
     # a row a key goes back to the values
     return known.join(u, keys).filter(F.abs(x) > F.col("u")).select(*keys, F.signum(x).cast("int").alias("side"), "u", "n", (F.abs(x) - F.col("u")).alias("y"))
 
