@@ -156,7 +156,7 @@ def hint(sentences: dict[str, str]) -> str:
         if not counts:
             return ""  # a sentence without words has no hint, so every text is looked at
         words.append(max(counts, key=counts.get))
-        left = [s for s in left if words[-1] not in s]
+        left = [s for s in left if not any(words[-1] in w for w in s)]  # licensed holds license
     return "(?i)" + ("|".join(words) or "(?!)")
 
 
@@ -176,17 +176,18 @@ def sequence(text: str, sentences: dict[str, str] = SENTENCES, blanks: list[tupl
     """The array of identifiers of a text's known sentences, in order, with OTHER for unknown ones; empty without a known one's hint."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
 
-    def look(sentence: Column) -> Column:
-        plain = normalised(sentence)
+    def look(plain: Column) -> Column:
         filled = [F.when(plain.startswith(start) & plain.endswith(end), F.lit(i)) for start, end, i in blanks]
         return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.regexp_replace(plain, " [0-9]+$", "")), *filled)
 
+    # each sentence is normalised in a step of its own, so that what reads it doesn't do so again
     parts = F.split(F.regexp_replace(F.col(text), _END, "$1\u0001"), _CUT)
-    lines = lambda s: F.filter(F.transform(F.split(s, "\n"), look), lambda i: i.isNotNull())
-    other = lambda s: F.when(F.size(F.split(normalised(s), " ")) >= OTHER_WORDS, F.array(F.lit(OTHER))).otherwise(F.array().cast("array<string>"))
-    told = F.transform(parts, lambda s: F.struct(look(s).alias("id"), s.alias("s")))
-    tried = F.transform(told, lambda t: F.struct(t["s"].alias("s"), F.when(t["id"].isNotNull(), F.array(t["id"])).otherwise(lines(t["s"])).alias("ids")))
-    flat = F.flatten(F.transform(tried, lambda t: F.when(F.size(t["ids"]) > 0, t["ids"]).otherwise(other(t["s"]))))
+    plain = F.transform(parts, lambda s: F.struct(normalised(s).alias("n"), s.alias("s")))
+    lines = lambda s: F.filter(F.transform(F.transform(F.split(s, "\n"), normalised), look), lambda i: i.isNotNull())
+    other = lambda n: F.when(F.size(F.split(n, " ")) >= OTHER_WORDS, F.array(F.lit(OTHER))).otherwise(F.array().cast("array<string>"))
+    told = F.transform(plain, lambda t: F.struct(look(t["n"]).alias("id"), t["n"].alias("n"), t["s"].alias("s")))
+    tried = F.transform(told, lambda t: F.struct(t["n"].alias("n"), F.when(t["id"].isNotNull(), F.array(t["id"])).otherwise(lines(t["s"])).alias("ids")))
+    flat = F.flatten(F.transform(tried, lambda t: F.when(F.size(t["ids"]) > 0, t["ids"]).otherwise(other(t["n"]))))
     return F.when(F.col(text).rlike(hint({**sentences, **{start: i for start, _, i in blanks}})), flat).otherwise(F.array().cast("array<string>"))
 
 
