@@ -54,18 +54,23 @@ def hill(values: DataFrame, keys: list[str], value: str, top: int) -> DataFrame:
     return tail.groupBy(*keys).agg((F.avg(F.when(F.col(place) <= top, F.ln(size))) - F.max(F.when(F.col(place) == top + 1, F.ln(size)))).alias("xi"))
 
 
-def quarters(rows: DataFrame, order: str) -> DataFrame:
-    """rows with ``quarter`` (1 to 4): slices of as many rows each in order of a time, the last with the rest.
+def in_order(rows: DataFrame, order: str, place: str, count: str) -> DataFrame:
+    """rows with their place from 0 in order of a time, and the count of all.
 
     Counts by day, added up in order, tell each day's first place; rows are numbered within their days, so no task orders all rows.
     """
-    day, at, n, all_ = fresh_name(rows, "day", "at", "n", "all")
+    day, at = fresh_name(rows, "day", "at")
     dated = rows.withColumn(day, F.to_date(order))
-    counts = dated.groupBy(day).agg(F.count("*").alias(n))
-    starts = counts.select(day, (F.sum(n).over(Window.partitionBy().orderBy(day)) - F.col(n)).alias(at), F.sum(n).over(Window.partitionBy()).alias(all_))  # a row a day
-    place = F.col(at) + F.row_number().over(Window.partitionBy(day).orderBy(order)) - 1
-    step = F.greatest(F.floor(F.col(all_) / 4), F.lit(1))
-    return dated.join(starts, day).withColumn("quarter", F.least(F.floor(place / step), F.lit(3)).cast("long") + 1).drop(day, at, n, all_)
+    counts = dated.groupBy(day).agg(F.count("*").alias(count))
+    starts = counts.select(day, (F.sum(count).over(Window.partitionBy().orderBy(day)) - F.col(count)).alias(at), F.sum(count).over(Window.partitionBy()).alias(count))  # a row a day
+    return dated.join(starts, day).withColumn(place, F.col(at) + F.row_number().over(Window.partitionBy(day).orderBy(order)) - 1).drop(day, at)
+
+
+def quarters(rows: DataFrame, order: str) -> DataFrame:
+    """rows with ``quarter`` (1 to 4): slices of as many rows each in order of a time, the last with the rest."""
+    place, count = fresh_name(rows, "place", "count")
+    step = F.greatest(F.floor(F.col(count) / 4), F.lit(1))
+    return in_order(rows, order, place, count).withColumn("quarter", F.least(F.floor(F.col(place) / step), F.lit(3)).cast("long") + 1).drop(place, count)
 
 
 def weighted_mean(value: str, weight: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
-from gridloom.operators import fits, tails
+from gridloom.operators import fits, scores, tails
 from gridloom.plans.base import hourly, pairs, query, r, zonal
 
 #: Hours with a target (log of price + 55) and two features, and the weights of a half-life of ten days.
@@ -73,9 +73,7 @@ SELECT alpha, round(xy / (xx + alpha), 6) + 0.0 AS slope, round(avg(abs(actual -
 )
 def grid_scan(spark, sf_dir):
     """Ridges of three penalties, fitted on the first 55 % of rows from one matrix of sums and scored on the rest in one pass."""
-    rows = pairs(spark, sf_dir)
-    cut = rows.agg((F.count("*") * 0.55).alias("cut"))
-    marked = rows.withColumn("i", F.row_number().over(Window.orderBy("ts"))).crossJoin(F.broadcast(cut)).withColumn("train", F.col("i") <= F.col("cut"))
+    marked = scores.in_order(pairs(spark, sf_dir), "ts", "i", "n").withColumn("train", F.col("i") + 1 <= F.col("n") * 0.55)
     sums = fits.matrix(fits.sums_of_products(marked.filter("train"), ["pred", "actual"]).first()["m"], 3)
     each = {a: fits.ridge_of(sums, [1], 2, a) for a in _ALPHAS}
     variants = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(float(b[1])).alias("slope"), (F.lit(float(b[0])) + float(b[1]) * F.col("pred")).alias("fit")) for a, b in each.items()])
