@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
-from gridloom.operators import curves, fits, models, panels, scores, series, smooth, tails
+from gridloom.operators import curves, fits, models, panels, scores, searches, series, smooth, tails
 from gridloom.plans.base import LOCAL, days, hourly, pairs, query, r, zonal
 from gridloom.plans.fit_queries import _ROWS, _SCALED, _SUMS, _rows
 from gridloom.plans.panel_queries import _DRAW
@@ -312,3 +312,30 @@ def hedge_cvar(spark, sf_dir):
     rows = wide(spark, sf_dir).join(hourly(spark, sf_dir), "ts").na.drop(subset=["a", "p"])
     h = hedge.least_cvar(rows, "a", "p")
     return spark.createDataFrame([tuple(h.values())], ", ".join(f"{k} double" for k in h))
+
+
+@query(
+    "mapped_prices",
+    _WIDE + """SELECT h.ts, round(1.2 * pow(greatest(h.p, 0) + 1e-10, 0.9), 6) AS power, round(-10 + 8 * ln(0.2 * greatest(h.p, 0) + 3), 6) AS log, round(20 * pow(ln(0.05 * greatest(h.p, 0) + 1), 1.5), 6) AS power_log, round(greatest(h.p, 0.6 * wd.a + 0.5 * wd.b), 6) AS floor, round(h.p + 0.4 * greatest(1.1 * (0.6 * wd.a + 0.4 * wd.b) - h.p, 0), 6) AS excess,
+round(greatest(h.p + 0.2 * greatest(wd.a - 50, 0) + 0.1 * greatest(wd.b - 50, 0), 0), 6) AS threshold, round(greatest(h.p + 5 * pow(greatest(wd.a, 0) / 100 + 0.01, 1.5), 0), 6) AS coupled_power,
+round(1 + 0.3 * wd.a + 0.5 * wd.b + 0.2 * (2 + 0.4 * wd.a + 0.4 * wd.b) + 0.1 * greatest(2 + 0.4 * wd.a + 0.4 * wd.b - 40, 0) - 0.05 * greatest(2 + 0.4 * wd.a + 0.4 * wd.b - 60, 0), 6) AS two_stage FROM wd JOIN hourly h ON h.ts = wd.ts WHERE wd.a IS NOT NULL AND wd.b IS NOT NULL""",
+)
+def mapped_prices(spark, sf_dir):
+    """Three output maps, four couplings and a two-stage line at given parameters."""
+    rows = wide(spark, sf_dir).join(hourly(spark, sf_dir), "ts").na.drop(subset=["a", "b"])
+    p, a, b = F.col("p"), F.col("a"), F.col("b")
+    out = {kind: searches.mapped(p, kind, v) for kind, v in (("power", [1.2, 0.9]), ("log", [-10.0, 8.0, 0.2, 3.0]), ("power_log", [20.0, 0.05, 1.5]))}
+    out |= {form: searches.coupled(p, a, b, form, v) for form, v in (("floor", [0.6, 0.5]), ("excess", [0.4, 1.1]), ("threshold", [0.2, 50.0, 0.1]))}
+    out["coupled_power"] = searches.coupled(p, a, b, "power", [5.0, 1.5])
+    out["two_stage"] = searches.two_stage({"a": 0.4, "b": 0.4}, 2.0, [40.0, 60.0], {"a": 0.3, "b": 0.5}, 1.0, [0.1, -0.05], 0.2)
+    return rows.select("ts", *[r(c).alias(n) for n, c in out.items()])
+
+
+@query("fitted_maps")
+def fitted_maps(spark, sf_dir):
+    """Each output map and coupling, fitted, with its error over all rows; known laws are found in the tests."""
+    rows = wide(spark, sf_dir).join(pairs(spark, sf_dir), "ts").na.drop(subset=["a", "b"])
+    told = {k: searches.mapped(F.col("pred"), k, searches.fit_map(rows, "pred", "actual", k)) for k in searches.MAP_STARTS}
+    told |= {f"coupled_{f}": searches.coupled(F.col("pred"), F.col("a"), F.col("b"), f, searches.fit_coupling(rows, "pred", "a", "b", "actual", f)) for f in searches.COUPLING_STARTS}
+    errors = rows.agg(*[F.avg(F.abs(F.col("actual") - c)).alias(n) for n, c in told.items()])
+    return errors.select(F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(n).alias("mae")) for n in told])).alias("x")).select("x.*")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import align, curves, fits, hedge, models, ranks, scores, series, smooth
+from gridloom.operators import align, curves, fits, hedge, models, ranks, scores, searches, series, smooth
 from gridloom.functions import features
 
 
@@ -150,3 +150,19 @@ def test_leaving_each_feature_out(spark):
     got = models.without_each(z.T @ z, ["a", "b", "c"])
     rss = lambda cols: float(np.linalg.lstsq(z[:, [0, *cols]], y, rcond=None)[1][0])
     assert [got[k] for k in "abc"] == pytest.approx([rss([j for j in (1, 2, 3) if j != i]) - rss([1, 2, 3]) for i in (1, 2, 3)])
+
+
+def test_maps_and_couplings_find_known_laws(spark):
+    rng = np.random.default_rng(12)
+    x, a, b = rng.uniform(1, 80, 4000), rng.uniform(0, 90, 4000), rng.uniform(0, 90, 4000)
+    laws = {"power": 1.3 * x**0.8, "log": -10 + 12 * np.log(0.3 * x + 2), "power_log": 15 * np.log(0.1 * x + 1) ** 1.4}
+    couplings = {"floor": np.maximum(x, 0.7 * a + 0.2 * b), "excess": x + 0.5 * np.maximum(0.9 * (0.6 * a + 0.4 * b) - x, 0), "threshold": x + 0.4 * np.maximum(a - 40, 0) + 0.2 * np.maximum(b - 40, 0), "power": x + 20 * (a / 100 + 0.01) ** 1.5}
+    names = [*laws, *(f"c_{f}" for f in couplings)]
+    columns = [x, a, b, *laws.values(), *couplings.values()]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in zip(*columns)], ", ".join(f"{c} double" for c in ["x", "a", "b", *names]))
+    fits_ = {k: searches.mapped(F.col("x"), k, searches.fit_map(df, "x", k, k)) for k in laws}
+    fits_ |= {f"c_{f}": searches.coupled(F.col("x"), F.col("a"), F.col("b"), f, searches.fit_coupling(df, "x", "a", "b", f"c_{f}", f)) for f in couplings}
+    got = df.agg(*[(F.avg(F.abs(F.col(n) - c)) / F.stddev_pop(n)).alias(n) for n, c in fits_.items()]).first().asDict()
+    plain = df.agg(*[(F.avg(F.abs(F.col(n) - F.col("x"))) / F.stddev_pop(n)).alias(n) for n in fits_]).first().asDict()
+    assert all(got[n] < 0.1 for n in laws) and all(got[n] < min(0.2, 0.7 * plain[n]) for n in fits_ if n.startswith("c_")), (got, plain)
+    assert searches.fit_map(df.limit(0), "x", "power", "power") == [1.0, 1.0]
