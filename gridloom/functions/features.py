@@ -23,10 +23,10 @@ def over(x: Column, least: float = 0.0) -> Column:
 def with_calendar(hours: DataFrame, holidays: DataFrame) -> DataFrame:
     """hours (ts) with local_hour, local_month, is_holiday and is_workday of the local calendar.
 
-    holidays: day, about fifteen rows a year, so that it may go to every task.
+    holidays: day. The planner broadcasts it if it is small. Hours without a ts have nulls and no holiday.
     """
     at = calendar.local(F.col("ts"))
-    marked = hours.withColumn("local_day", F.to_date(at)).join(F.broadcast(holidays.select(F.col("day").alias("local_day"), F.lit(1.0).alias("is_holiday")).distinct()), "local_day", "left")
+    marked = hours.withColumn("local_day", F.to_date(at)).join(holidays.select(F.col("day").alias("local_day"), F.lit(1.0).alias("is_holiday")).distinct(), "local_day", "left")
     holiday = F.coalesce("is_holiday", F.lit(0.0))
     return marked.withColumns(
         {"local_hour": F.hour(at), "local_month": F.month(at), "is_holiday": holiday, "is_workday": calendar.is_workday(F.col("local_day")).cast("double") * (1 - holiday)}

@@ -97,8 +97,8 @@ def solar_mw(clear: Column, left: Column, base: float, gain: float) -> Column:
 
 
 def site_irradiance(hours: DataFrame, sites: DataFrame) -> DataFrame:
-    """ts, ghi: clear-sky irradiance (Haurwitz) of the sites (lat, lon, weight: a handful of rows), weighted."""
-    each = hours.select("ts").crossJoin(F.broadcast(sites))
+    """ts, ghi: clear-sky irradiance (Haurwitz) of the sites (lat, lon, weight: a row a site), weighted. Null hours have null irradiance; without a site there is no row."""
+    each = hours.select("ts").crossJoin(sites)
     ghi = haurwitz(zenith_cosine(F.col("ts"), F.col("lat"), F.col("lon")))
     return each.groupBy("ts").agg((F.sum(F.col("weight") * ghi) / F.sum("weight")).alias("ghi"))
 

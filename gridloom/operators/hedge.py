@@ -6,21 +6,34 @@ A search runs on the driver over a table of bounded size: quantiles' means of th
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.fits import nelder_mead
+from gridloom.operators.tails import SHARE, SHARE_SCALE
+
+
+def smoothed_excess(d: Column, width: Column) -> Column:
+    """The mean of what a normal law around d, of a width above 0, has above 0."""
+    z = d / width
+    t = 1 / (1 + SHARE_SCALE * F.abs(z))
+    poly = F.lit(0.0)
+    for c in reversed(SHARE):
+        poly = (poly + c) * t
+    density = F.exp(-0.5 * z * z) / np.sqrt(2 * np.pi)
+    share = F.when(z < 0, poly * density).otherwise(1 - poly * density)
+    return d * share + width * density
 
 
 def kernel_cvar(losses: DataFrame, keys: list[str], loss: str, alpha: float = 0.05) -> DataFrame:
-    """keys, cvar: the Rockafellar form at the 1 - alpha quantile, losses smeared by a normal kernel of Silverman's width; the normal law by its logistic form.
+    """keys, cvar: the Rockafellar form at the 1 - alpha quantile, losses smeared by a normal kernel of Silverman's width.
 
     Where losses don't vary it is their value.
     """
     sums = losses.groupBy(*keys).agg(F.count(loss).alias("n"), F.stddev_pop(loss).alias("s"), F.percentile(loss, 1 - alpha).alias("v"))
     each = losses.join(sums, keys).withColumn("w", 1.06 * F.col("s") * F.pow("n", F.lit(-0.2)))  # a row a key
     d = F.col(loss) - F.col("v")
-    over = d / (1 + F.exp(-1.702 * d / F.col("w"))) + F.col("w") * F.exp(-0.5 * F.pow(d / F.col("w"), F.lit(2))) / np.sqrt(2 * np.pi)
+    over = smoothed_excess(d, F.col("w"))
     smooth = F.when(F.col("w") > 0, over).otherwise(F.greatest(d, F.lit(0.0)))
     return each.groupBy(*keys).agg((F.first("v") + F.avg(smooth) / alpha).alias("cvar"))
 

@@ -38,6 +38,7 @@ def realised_share(rows: DataFrame, keys: list[str], forecast: str, hours_from_n
 
 
 def confidence(share: Column, live: Column) -> Column:
+    """low, medium or high, by how much of the day's yield has been measured; low where the meter isn't live. A null share counts as little."""
     return F.when(~live, "low").when(share >= 0.6, "high").when(share >= 0.2, "medium").otherwise("low")
 
 
@@ -62,9 +63,10 @@ def spread_paths(rows: DataFrame, keys: list[str], value: str, relative: Column,
     return each.withColumn(out, spread(F.col(value), sigma, F.concat_ws("-", F.lit(seed), "path", *keys)))
 
 
-def spread(value: Column, sigma: Column, seed: Column) -> Column:
+def spread(value: Column, sigma: Column, seed: Column, below: bool = False) -> Column:
+    """value times a log-normal draw of mean 1; as it is without spread. below: values below 0 are drawn too (prices), else they stay."""
     drawn = value * F.exp(sigma * normal_quantile(uniform(seed, 0)) - sigma * sigma / 2)
-    return F.when((value > 0) & (sigma > 0), drawn).otherwise(value)
+    return F.when((sigma > 0) if below else (value > 0) & (sigma > 0), drawn).otherwise(value)
 
 
 def cost_distribution(rows: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
@@ -123,6 +125,7 @@ def load(hours: DataFrame, shape: DataFrame, factors: list[float | None], annual
 
 
 def base_load(daily_kwh: float, month: Column, factors: list[float]) -> Column:
+    """The mean hour of a day's energy times the month's factor, 0.05 kWh at least; also where the month is null."""
     return F.greatest(F.lit(0.05), daily_kwh / 24 * F.element_at(F.array(*[F.lit(f) for f in factors]), month))
 
 

@@ -70,19 +70,19 @@ def resampled_ratios(daily: DataFrame, day: str, above: str, below: str, days: i
     return picked.join(numbered, k).groupBy("path").agg(F.sum("a").alias("total"), F.try_divide(F.sum("a"), F.sum("b")).alias("ratio"))
 
 
-def jump_moments(changes: DataFrame, keys: list[str], change: str, quantile: float = 0.95) -> DataFrame:
-    """keys, u, body_sd, jump_rate, log_mean, log_sd, up_share: changes up to a quantile u of their size are a body, others are jumps.
+def jump_moments(changes: DataFrame, keys: list[str], change: str, quantile: float = 0.95, least: int = LEAST_EXCEEDANCES) -> DataFrame:
+    """keys, u, body_sd, jump_rate, up_share, and up_mean, up_sd, down_mean, down_sd: changes up to a quantile u of their size are a body,
+    others are jumps, whose sizes have a log-normal law for each side (mean and spread of their logarithms).
 
-    Nulls take no part; without a jump its figures are null.
+    A side with fewer than ``least`` jumps has nulls. Null changes take no part; without a jump up_share is 0.
     """
     known = changes.filter(F.col(change).isNotNull())
     joined = known.join(known.groupBy(*keys).agg(F.percentile(F.abs(change), quantile).alias("u")), keys)  # a row a key
     jump, size = F.abs(change) > F.col("u"), F.abs(change)
-    of = lambda x: F.when(jump, x)
-    return joined.groupBy(*keys).agg(
-        F.first("u").alias("u"), F.stddev_pop(F.when(~jump, F.col(change))).alias("body_sd"), F.avg(jump.cast("double")).alias("jump_rate"), F.avg(of(F.ln(size))).alias("log_mean"),
-        F.stddev_pop(of(F.ln(size))).alias("log_sd"), F.avg(of((F.col(change) > 0).cast("double"))).alias("up_share"),
-    )
+    sides = {"up": jump & (F.col(change) > 0), "down": jump & (F.col(change) < 0)}
+    law = [F.when(F.count_if(on) >= least, how(F.when(on, F.ln(size)))).alias(f"{side}_{name}") for side, on in sides.items() for name, how in (("mean", F.avg), ("sd", F.stddev_pop))]
+    share = F.coalesce(F.avg(F.when(jump, (F.col(change) > 0).cast("double"))), F.lit(0.0))
+    return joined.groupBy(*keys).agg(F.first("u").alias("u"), F.stddev_pop(F.when(~jump, F.col(change))).alias("body_sd"), F.avg(jump.cast("double")).alias("jump_rate"), share.alias("up_share"), *law)
 
 
 def mean_excess(values: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
@@ -93,11 +93,15 @@ def mean_excess(values: DataFrame, keys: list[str], value: str, levels: list[flo
     return above.groupBy(*keys, "k").agg(F.first("u").alias("u"), F.avg(F.col("x") - F.col("u")).alias("excess"), F.count("*").alias("n"))
 
 
-def jump_path(seeds: DataFrame, seed: str, body_sd: Column, rate: Column, log_mean: Column, log_sd: Column, up_share: Column) -> DataFrame:
-    """seeds with ``change``: a normal body, or by chance a log-normal jump up or down; drawn from hashes of the seed column."""
+def jump_path(seeds: DataFrame, seed: str, body_sd: Column, rate: Column, up_share: Column, up: tuple[Column, Column], down: tuple[Column, Column]) -> DataFrame:
+    """seeds with ``change``: a normal body, and by chance a log-normal jump on top, up or down; drawn from hashes of the seed column.
+
+    up, down: mean and spread of a side's logarithms; a side where these are null doesn't jump.
+    """
     u = lambda n: uniform(F.col(seed), n)
-    jump = F.exp(log_mean + log_sd * normal_quantile(u(1))) * F.when(u(2) < up_share, 1.0).otherwise(-1.0)
-    return seeds.withColumn("change", F.when(u(0) < rate, jump).otherwise(body_sd * normal_quantile(u(3))))
+    size = lambda law: F.coalesce(F.exp(law[0] + law[1] * normal_quantile(u(1))), F.lit(0.0))
+    jump = F.when(u(0) < rate, F.when(u(2) < up_share, size(up)).otherwise(-size(down))).otherwise(0.0)
+    return seeds.withColumn("change", body_sd * normal_quantile(u(3)) + jump)
 
 
 def uniform(seed: Column, number: int) -> Column:
@@ -110,6 +114,20 @@ MIDDLE = ([-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751
 OUTER = ([-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783], [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0])
 
 
+# A polynomial for the normal law's upper share, right to 7.5e-8 (Abramowitz and Stegun 26.2.17), lowest power first.
+SHARE_SCALE, SHARE = 0.2316419, [0.31938153, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
+
+
+def normal_share_sql(z: str) -> str:
+    """The share of the standard normal law up to z, as SQL that Spark and DuckDB read alike."""
+    t = f"(1e0 / (1e0 + {SHARE_SCALE}e0 * abs({z})))"
+    poly = "0e0"
+    for c in reversed(SHARE):
+        poly = f"(({poly} + {c}e0) * {t})"
+    upper = f"({poly} * exp(-0.5e0 * ({z}) * ({z})) / sqrt(2e0 * pi()))"
+    return f"(CASE WHEN ({z}) < 0 THEN {upper} ELSE 1e0 - {upper} END)"
+
+
 def normal_quantile_sql(u: str) -> str:
     """The normal quantile of an expression as SQL, right to about 1e-9 of its size; Spark and DuckDB read the same text."""
     poly = lambda c, x: "0e0" if not c else f"({poly(c[:-1], x)} * {x} + {c[-1]!r}e0)"

@@ -174,14 +174,14 @@ def ar1_decay(spark, sf_dir):
 @query(
     "jump_moments",
     """, d AS (SELECT zone, p - lag(p) OVER (PARTITION BY zone ORDER BY ts) AS d FROM zonal), k AS (SELECT zone, d FROM d WHERE d IS NOT NULL), u AS (SELECT zone, quantile_cont(abs(d), 0.95) AS u FROM k GROUP BY 1)
-SELECT k.zone, round(any_value(u), 6) AS u, round(stddev_pop(d) FILTER (abs(d) <= u), 6) AS body_sd, round(count(*) FILTER (abs(d) > u) / count(*), 6) AS jump_rate, round(avg(ln(abs(d))) FILTER (abs(d) > u), 6) AS log_mean, round(stddev_pop(ln(abs(d))) FILTER (abs(d) > u), 6) AS log_sd, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) FILTER (abs(d) > u), 6) AS up_share FROM k JOIN u ON k.zone = u.zone GROUP BY 1""",
+SELECT k.zone, round(any_value(u), 6) AS u, round(stddev_pop(d) FILTER (abs(d) <= u), 6) AS body_sd, round(count(*) FILTER (abs(d) > u) / count(*), 6) AS jump_rate, round(coalesce(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) FILTER (abs(d) > u), 0), 6) AS up_share, CASE WHEN count(*) FILTER (d > u) >= 30 THEN round(avg(ln(d)) FILTER (d > u), 6) END AS up_mean, CASE WHEN count(*) FILTER (d > u) >= 30 THEN round(stddev_pop(ln(d)) FILTER (d > u), 6) END AS up_sd, CASE WHEN count(*) FILTER (-d > u) >= 30 THEN round(avg(ln(-d)) FILTER (-d > u), 6) END AS down_mean, CASE WHEN count(*) FILTER (-d > u) >= 30 THEN round(stddev_pop(ln(-d)) FILTER (-d > u), 6) END AS down_sd FROM k JOIN u ON k.zone = u.zone GROUP BY 1""",
 )
 def jump_moments(spark, sf_dir):
-    """Body and jumps of hourly changes: spread, rate, log-normal size, share upwards."""
+    """Body and jumps of hourly changes: spread, rate, share upwards, and a log-normal size for each side that jumps often enough."""
     order = Window.partitionBy("zone").orderBy("ts")
     changes = zonal(spark, sf_dir).select("zone", (F.col("p") - F.lag("p").over(order)).alias("d")).filter("d is not null")
     m = tails.jump_moments(changes, ["zone"], "d")
-    return m.select("zone", *[r(c).alias(c) for c in ("u", "body_sd", "jump_rate", "log_mean", "log_sd", "up_share")])
+    return m.select("zone", *[r(c).alias(c) for c in ("u", "body_sd", "jump_rate", "up_share", "up_mean", "up_sd", "down_mean", "down_sd")])
 
 
 @query(

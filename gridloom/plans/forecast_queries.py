@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import physics
 from gridloom.operators import align, forecast, smooth, tails
 from gridloom.operators import fits
+from gridloom.operators.tails import normal_share_sql
 from gridloom.plans.base import hourly, query, r, zonal
 from gridloom.plans.feature_queries import BASE, holidays, weather
 from gridloom.functions.features import base_features
@@ -126,10 +127,10 @@ def duration_predict(spark, sf_dir):
 
 @query(
     "kernel_cvar",
-    ", l AS (SELECT zone, -p AS l FROM zonal), s AS (SELECT zone, count(*) AS n, stddev_pop(l) AS s, quantile_cont(l, 0.95) AS v FROM l GROUP BY 1), k AS (SELECT s.zone, v, 1.06 * s * pow(n, -0.2) AS w, l FROM l JOIN s ON s.zone = l.zone) SELECT zone, round(any_value(v) + avg((l - v) / (1 + exp(-1.702e0 * (l - v) / w)) + w * exp(-0.5e0 * pow((l - v) / w, 2)) / sqrt(2 * pi())) / 0.05, 5) + 0.0 AS cvar FROM k GROUP BY zone",
+    ", l AS (SELECT zone, -p AS l FROM zonal), s AS (SELECT zone, count(*) AS n, stddev_pop(l) AS s, quantile_cont(l, 0.95) AS v FROM l GROUP BY 1), k AS (SELECT s.zone, v, 1.06 * s * pow(n, -0.2) AS w, l FROM l JOIN s ON s.zone = l.zone) SELECT zone, round(any_value(v) + avg((l - v) * " + normal_share_sql("((l - v) / w)") + " + w * exp(-0.5e0 * pow((l - v) / w, 2)) / sqrt(2 * pi())) / 0.05, 5) + 0.0 AS cvar FROM k GROUP BY zone",
 )
 def kernel_cvar(spark, sf_dir):
-    """The smoothed mean of the worst 5 % at the quantile, with Silverman's width and a logistic form of the normal law."""
+    """The smoothed mean of the worst 5 % at the quantile, with Silverman's width."""
     losses = zonal(spark, sf_dir).select("zone", (-F.col("p")).alias("l"))
     from gridloom.operators import hedge
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
-from gridloom.operators import curves, fits, models, panels, scores, searches, series, smooth, tails
+from gridloom.operators import align, curves, fits, models, panels, scores, searches, series, smooth, tails
 from gridloom.plans.base import LOCAL, days, hourly, pairs, query, r, zonal
 from gridloom.plans.fit_queries import _ROWS, _SCALED, _SUMS, _rows
 from gridloom.plans.panel_queries import _DRAW
@@ -16,10 +16,11 @@ from gridloom.streaming import online
 _WIDE = ", z AS (SELECT event_type AS zone, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)), wd AS (SELECT ts, max(p) FILTER (i = 1) AS a, max(p) FILTER (i = 2) AS b, max(p) FILTER (i = 3) AS c FROM zonal JOIN z USING (zone) GROUP BY 1)\n"
 
 
-def wide(spark, sf_dir):
-    """ts, a, b, c: the first three zones side by side."""
+def wide(spark, sf_dir, zones: list[str] | None = None):
+    """ts, a, b, c: three zones side by side, for models of a region and two neighbours. zones: their names; by default the first three in
+    the order of names. Other zones take no part in such a model."""
     z = zonal(spark, sf_dir)
-    names = [x["zone"] for x in z.select("zone").distinct().orderBy("zone").limit(3).collect()]
+    names = zones or [x["zone"] for x in z.select("zone").distinct().orderBy("zone").limit(3).collect()]
     return z.groupBy("ts").pivot("zone", names).agg(F.max("p")).toDF("ts", "a", "b", "c")
 
 
@@ -215,37 +216,55 @@ def rolling_tails(spark, sf_dir):
 
 @query(
     "tail_mixture",
-    """, x AS (SELECT zone, p - avg(p) OVER (PARTITION BY zone) AS x FROM zonal), q AS (SELECT zone, quantile_cont(abs(x), 0.9) AS u, count(*) AS n, quantile_cont(x, 0.75) AS cut FROM x GROUP BY 1) SELECT q.zone, round(avg(x.x) FILTER (x.x >= cut), 6) AS body, round(any_value(u), 6) AS u FROM q JOIN x ON x.zone = q.zone GROUP BY 1""",
+    """, x AS (SELECT zone, -(p - avg(p) OVER (PARTITION BY zone)) AS x FROM zonal), q AS (SELECT zone, quantile_cont(abs(x), 0.9) AS u, count(*) AS n FROM x GROUP BY 1), a AS (SELECT unnest([0.02, 0.25]::DOUBLE[]) AS alpha),
+y AS (SELECT x.zone, u, n, x - u AS y FROM x JOIN q ON q.zone = x.zone WHERE x > u), i AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY y) AS i, count(*) OVER (PARTITION BY zone) AS m FROM y),
+f AS (SELECT zone, min(u) AS u, min(n) AS n, count(*) AS n_over, avg(y) AS a0, avg(y * (m - i) / (m - 1)) AS a1 FROM i WHERE m >= 30 GROUP BY 1), g AS (SELECT *, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS scale FROM f WHERE a0 > 2 * a1),
+t AS (SELECT zone, alpha, xi, scale / xi * (pow(alpha / (n_over / n), -xi) - 1) AS y, u, scale FROM g, a WHERE alpha < n_over / n),
+c AS (SELECT zone, unnest([0.02, 0.25]::DOUBLE[]) AS alpha, unnest(quantile_cont(x, [0.98, 0.75])) AS cut FROM x GROUP BY zone), e AS (SELECT c.zone, c.alpha, avg(x.x) AS body FROM c JOIN x ON x.zone = c.zone AND x.x >= c.cut GROUP BY 1, 2)
+SELECT e.zone, e.alpha, t.zone IS NOT NULL AS fitted, CASE WHEN t.zone IS NULL THEN round(body, 5) WHEN xi < 1 THEN round(u + y + (scale + xi * y) / (1 - xi), 5) ELSE 'inf'::DOUBLE END + 0.0 AS cvar FROM e LEFT JOIN t ON t.zone = e.zone AND t.alpha = e.alpha""",
 )
 def tail_mixture(spark, sf_dir):
-    """The mean of the worst 25 %: beyond the tail's share the data themselves tell it; the fitted tail is used only within its share."""
-    z = zonal(spark, sf_dir)
-    rows = z.select("zone", (F.col("p") - F.avg("p").over(Window.partitionBy("zone"))).alias("x"))
-    fit = tails.gpd_fit(tails.exceedances(rows, ["zone"], "x", 0.9), ["zone"]).filter("side = 1").select("zone", tails.gpd_cvar(0.25).alias("tail"))
-    body = scores.value_at_risk(rows, ["zone"], "x", 0.25)
-    u = rows.groupBy("zone").agg(F.percentile(F.abs("x"), 0.9).alias("u"))
-    return body.join(u, "zone").join(fit, "zone", "left").select("zone", r(F.coalesce("tail", "cvar")).alias("body"), r("u").alias("u"))
+    """The mean of the worst 2 % and 25 % of losses: by the fitted tail where the level lies within its share, by the data themselves beyond."""
+    rows = zonal(spark, sf_dir).select("zone", (F.avg("p").over(Window.partitionBy("zone")) - F.col("p")).alias("x"))
+    fit = tails.gpd_fit(tails.exceedances(rows, ["zone"], "x", 0.9), ["zone"]).filter("side = 1")
+    levels = [F.struct(F.lit(a).alias("alpha"), tails.gpd_cvar(a).alias("tail")) for a in (0.02, 0.25)]
+    told = fit.select("zone", F.explode(F.array(*levels)).alias("t")).select("zone", "t.*")
+    body = [scores.value_at_risk(rows, ["zone"], "x", a).select("zone", F.lit(a).alias("alpha"), F.col("cvar").alias("body")) for a in (0.02, 0.25)]
+    joined = body[0].unionByName(body[1]).join(told, ["zone", "alpha"], "left")
+    return joined.select("zone", "alpha", F.col("tail").isNotNull().alias("fitted"), r(F.coalesce("tail", "body"), 5).alias("cvar"))
+
+
+_JUMP_Z = [tails.normal_quantile_sql(f"u{k}") for k in range(4)]
 
 
 @query(
     "jump_paths",
-    "-- jumps\nWITH s AS (SELECT i, " + ", ".join("(('0x' || substr(md5('s' || i || '-" + str(k) + "'), 1, 8))::BIGINT + 0.5) / 4294967296e0 AS u" + str(k) for k in range(4)) + " FROM range(500) t(i)) SELECT CAST(i AS BIGINT) AS path, round(CASE WHEN u0 < 0.05 THEN exp(3 + 0.5 * " + tails.normal_quantile_sql("u1") + ") * CASE WHEN u2 < 0.6 THEN 1 ELSE -1 END ELSE 4 * " + tails.normal_quantile_sql("u3") + " END, 6) + 0.0 AS change FROM s",
+    """, d AS (SELECT zone, ts, p - lag(p) OVER (PARTITION BY zone ORDER BY ts) AS d FROM zonal), k AS (SELECT zone, ts, d FROM d WHERE d IS NOT NULL), u AS (SELECT zone, quantile_cont(abs(d), 0.95) AS u FROM k GROUP BY 1),
+m AS (SELECT k.zone, stddev_pop(d) FILTER (abs(d) <= u) AS sd, count(*) FILTER (abs(d) > u) / count(*) AS rate, coalesce(avg(CASE WHEN d > 0 THEN 1e0 ELSE 0e0 END) FILTER (abs(d) > u), 0) AS up, CASE WHEN count(*) FILTER (d > u) >= 30 THEN avg(ln(d)) FILTER (d > u) END AS um, CASE WHEN count(*) FILTER (d > u) >= 30 THEN stddev_pop(ln(d)) FILTER (d > u) END AS us, CASE WHEN count(*) FILTER (-d > u) >= 30 THEN avg(ln(-d)) FILTER (-d > u) END AS dm, CASE WHEN count(*) FILTER (-d > u) >= 30 THEN stddev_pop(ln(-d)) FILTER (-d > u) END AS ds FROM k JOIN u ON k.zone = u.zone GROUP BY 1),
+s AS (SELECT m.*, ts, """
+    + ", ".join(f"(('0x' || substr(md5(k.zone || strftime(ts, ' %Y-%m-%d %H:%M:%S') || '-{i}'), 1, 8))::BIGINT + 0.5) / 4294967296e0 AS u{i}" for i in range(4))
+    + f" FROM k JOIN m ON m.zone = k.zone) SELECT zone, ts, round(sd * {_JUMP_Z[3]} + CASE WHEN u0 < rate THEN CASE WHEN u2 < up THEN coalesce(exp(um + us * {_JUMP_Z[1]}), 0) ELSE -coalesce(exp(dm + ds * {_JUMP_Z[1]}), 0) END ELSE 0 END, 5) + 0.0 AS change FROM s",
 )
 def jump_paths(spark, sf_dir):
-    """500 drawn changes: a normal body, and in one of twenty a log-normal jump."""
-    seeds = spark.range(500).select(F.col("id").alias("path"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("seed"))
-    return tails.jump_path(seeds, "seed", F.lit(4.0), F.lit(0.05), F.lit(3.0), F.lit(0.5), F.lit(0.6)).select("path", r("change").alias("change"))
+    """A drawn change for each of a zone's hours by its own body and jumps."""
+    rows = zonal(spark, sf_dir).select("zone", "ts", (F.col("p") - F.lag("p").over(Window.partitionBy("zone").orderBy("ts"))).alias("d")).filter("d is not null")
+    seeds = rows.join(tails.jump_moments(rows, ["zone"], "d"), "zone").withColumn("seed", F.concat("zone", F.date_format("ts", " yyyy-MM-dd HH:mm:ss")))
+    law = lambda side: (F.col(f"{side}_mean"), F.col(f"{side}_sd"))
+    return tails.jump_path(seeds, "seed", F.col("body_sd"), F.col("jump_rate"), F.col("up_share"), law("up"), law("down")).select("zone", "ts", r("change", 5).alias("change"))
 
 
-@query(
-    "drift_alarm",
-    ", s AS (SELECT zone, ts, 0.9 - CASE WHEN day(ts) >= 15 THEN 0.15 ELSE 0 END + 0.02 * (hour(ts) % 3 - 1) AS coverage FROM zonal), f AS (SELECT zone, ts, abs(coverage - 0.9) > 0.05 AS off, row_number() OVER (PARTITION BY zone ORDER BY ts) - sum((abs(coverage - 0.9) > 0.05)::INT) OVER (PARTITION BY zone ORDER BY ts) AS run FROM s), g AS (SELECT *, row_number() OVER (PARTITION BY zone, run ORDER BY ts) AS i FROM f WHERE off) SELECT zone, min(ts) AS start, min(ts) FILTER (i = 48) AS alarm FROM g GROUP BY zone, run HAVING count(*) >= 48",
-)
+@query("drift_alarm")
 def drift_alarm(spark, sf_dir):
-    """A coverage that falls by 15 points on the 15th: when 48 rows off target raise the alarm."""
-    drop = F.when(F.dayofmonth("ts") >= 15, 0.15).otherwise(0.0)
-    rows = zonal(spark, sf_dir).withColumn("coverage", 0.9 - drop + 0.02 * (F.hour("ts") % 3 - 1))
-    return online.refit_alarms(rows, ["zone"], "coverage", 0.9, 0.05, 48).select("zone", "start", "alarm")
+    """The learner walks over errors that grow fourfold from the middle of each zone's time on; its coverage over the last 48 hours is watched,
+    and 24 hours in a row far off target raise the alarm. Held against a plain walk in the tests."""
+    rows = align.time_lag(zonal(spark, sf_dir), ["zone"], "p", 24, "pred").filter("pred is not null")
+    ends = rows.groupBy("zone").agg(F.min(F.unix_timestamp("ts")).alias("a"), F.max(F.unix_timestamp("ts")).alias("b"))
+    late = F.unix_timestamp("ts") >= (F.col("a") + F.col("b")) / 2
+    drifted = rows.join(ends, "zone").select("zone", "ts", "pred", (F.col("pred") + F.when(late, 4).otherwise(1) * (F.col("p") - F.col("pred"))).alias("actual"))
+    walked = online.conformal_intervals(drifted, "zone", window=168)
+    last = Window.partitionBy("zone").orderBy("ts").rowsBetween(-47, 0)
+    watched = walked.select("zone", "ts", F.when(F.count("hit").over(last) >= 48, F.avg(F.col("hit").cast("double")).over(last)).alias("coverage"))
+    return online.refit_alarms(watched, ["zone"], "coverage", 0.9, 0.05, 24).select("zone", "start", "hours", "alarm")
 
 
 @query(

@@ -68,11 +68,11 @@ def load_strategies(spark, sf_dir):
 _DRAW = "(('0x' || substr(md5({seed} || '-0'), 1, 8))::BIGINT + 0.5) / 4294967296e0"
 _PATHS = (
     _HOUSE
-    + ", n AS (SELECT min(day) AS d0 FROM house), lead AS (SELECT house.*, least(date_diff('day', d0, day), 6) AS lead FROM house, n), c AS (SELECT *, [0.0, 0.0, 0.10, 0.15, 0.20, 0.25, 0.30][lead + 1]::DOUBLE AS rel FROM lead WHERE date_diff('day', (SELECT d0 FROM n), day) < 8),"
+    + ", n AS (SELECT min(day) AS d0 FROM house), lead AS (SELECT house.*, least(date_diff('day', d0, day) % 8, 6) AS lead FROM house, n), c AS (SELECT *, [0.0, 0.0, 0.10, 0.15, 0.20, 0.25, 0.30][lead + 1]::DOUBLE AS rel FROM lead),"
     + f"""
 dr AS (SELECT c.*, path, {_DRAW.format(seed="'1-' || path || '-' || strftime(ts, '%Y-%m-%d %H:%M:%S')")} AS u1, {_DRAW.format(seed="'2-' || path || '-' || strftime(ts, '%Y-%m-%d %H:%M:%S')")} AS u2 FROM c, range(200) t(path)),
 z AS (SELECT *, CASE WHEN pv > 0 THEN pv * exp(sqrt(ln(1 + 0.25e0 * 0.25e0)) * {tails.normal_quantile_sql('u1')} - ln(1 + 0.25e0 * 0.25e0) / 2) ELSE pv END AS pv2,
- CASE WHEN buy > 0 AND rel > 0 THEN buy * exp(sqrt(ln(1 + rel * rel)) * {tails.normal_quantile_sql('u2')} - ln(1 + rel * rel) / 2) ELSE buy END AS buy2 FROM dr),
+ CASE WHEN rel > 0 THEN buy * exp(sqrt(ln(1 + rel * rel)) * {tails.normal_quantile_sql('u2')} - ln(1 + rel * rel) / 2) ELSE buy END AS buy2 FROM dr),
 pa AS (SELECT day, path, sum(greatest(load - pv2, 0) * buy2 - greatest(pv2 - load, 0) * sell) AS cost, sum(load) AS kwh, sum(least(pv2, load)) AS own, sum(greatest(pv2 - load, 0)) AS over FROM z GROUP BY 1, 2), k AS (SELECT *, cost / kwh AS per FROM pa),
 v AS (SELECT day, quantile_cont(per, 0.95) AS v, quantile_cont(cost, 0.95) AS cut FROM k GROUP BY 1)
 """
@@ -84,15 +84,15 @@ v AS (SELECT day, quantile_cont(per, 0.95) AS v, quantile_cont(cost, 0.95) AS cu
     _PATHS + "SELECT k.day, count(*) AS paths, round(avg(per), 6) AS mean, round(any_value(v), 6) AS value_at_risk, round(avg(per) FILTER (per >= v), 6) AS cvar, round(avg(cost), 5) AS total, round(avg(cost) FILTER (cost >= cut), 5) AS total_cvar, round(avg(own), 5) AS self_consumed, round(avg(over), 5) AS exported FROM k JOIN v ON v.day = k.day GROUP BY k.day",
 )
 def household_cvar(spark, sf_dir):
-    """Cost per kWh over 200 drawn paths of panels and prices for the first eight days: prices spread with lead, panels by 25 %."""
+    """Cost per kWh over 200 drawn paths of panels and prices of every day: prices spread with the days since their forecast, made anew every eight days, panels by 25 %."""
     rows = house(spark, sf_dir)
     first = rows.agg(F.min("day").alias("d0"))
-    ahead = rows.crossJoin(F.broadcast(first)).withColumn("lead", F.date_diff("day", "d0")).filter("lead < 8")
+    ahead = rows.crossJoin(F.broadcast(first)).withColumn("lead", F.pmod(F.date_diff("day", "d0"), F.lit(8)))
     rel = verify.prior_error(F.col("lead"))
     key = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     paths = panels.spread_paths(ahead.withColumn("key", key), ["key"], "pv", F.lit(0.25), 200, 1, "pv2")
     sigma = F.sqrt(F.ln(1 + rel * rel))
-    paths = paths.withColumn("buy", panels.spread(F.col("buy"), sigma, F.concat_ws("-", F.lit(2), "path", "key"))).withColumn("pv", F.col("pv2"))
+    paths = paths.withColumn("buy", panels.spread(F.col("buy"), sigma, F.concat_ws("-", F.lit(2), "path", "key"), below=True)).withColumn("pv", F.col("pv2"))
     out = panels.cost_distribution(paths, ["day"])
     return out.select("day", "paths", *[r(c).alias(c) for c in ("mean", "value_at_risk", "cvar")], *[r(c, 5).alias(c) for c in ("total", "total_cvar", "self_consumed", "exported")])
 

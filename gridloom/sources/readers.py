@@ -97,6 +97,6 @@ def site_means(rows: DataFrame, sites: DataFrame, site: str, values: dict[str, s
 
     values: from value to the weight's column in sites (a row a site).
     """
-    joined = rows.join(F.broadcast(sites), site)
+    joined = rows.join(sites, site)
     mean = lambda v, w: F.try_divide(F.sum(F.when(F.col(v).isNotNull(), F.col(v) * F.col(w))), F.sum(F.when(F.col(v).isNotNull(), F.col(w))))
     return joined.groupBy("ts").agg(*[mean(v, w).alias(v) for v, w in values.items()])

@@ -104,14 +104,22 @@ def bias_walk(rows: DataFrame, keys: list[str], days: float = 3.0, a_day: int =
     return ordered_walk(rows, keys, ["ts"], ["actual", "pred"], lambda: Bias(w, warm), step, "ts timestamp, corrected double, bias double")
 
 
+def _known(value) -> float | None:
+    """A cell of a pandas row: what Spark has as null comes as NaN or None."""
+    return None if pd.isna(value) else float(value)
+
+
 def bias_stream(rows: DataFrame, key: str, days: float = 3.0, a_day: int = 1) -> DataFrame:
-    """The same as a stream (update mode): key, bias, spread, n after each batch's rows of a key, taken in order of ts."""
+    """The same as a stream (update mode): key, bias, spread, n after each batch's rows of a key, taken in order of ts.
+
+    Rows with a null forecast or actual teach nothing, as in the walk. A row that comes in a later batch than rows behind it is learned then.
+    """
     w = half_life_weight(days, a_day)
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = Bias(w, state=tuple(state.get) if state.exists else (0.0, 0.0, 0))
         for row in pd.concat(list(batches)).sort_values("ts").itertuples():
-            now.learn(row.pred, row.actual)
+            now.learn(_known(row.pred), _known(row.actual))
         state.update(now.state)
         yield pd.DataFrame([(*name, *now.state)], columns=[key, "bias", "spread", "n"])
 
@@ -219,18 +227,27 @@ def conformal_state(rows: DataFrame, keys: list[str], target: float = 0.9, windo
 
 
 def conformal_stream(rows: DataFrame, key: str, target: float = 0.9, window: int = 720, warm: int = 24, bias_days: float | None = None, a_day: int = 24) -> DataFrame:
-    """The same as a stream (append mode): key, ts, lower, upper, hit of each batch's rows of a key, taken in order of ts."""
+    """The same as a stream (append mode): key, ts, lower, upper, hit of each batch's rows of a key, taken in order of ts.
+
+    A row without pred has no interval, and one without actual neither hits nor teaches, as in the walk. A row that comes in a later
+    batch than rows behind it is learned then.
+    """
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now, out = Conformal(target, window, warm, bias=_with_bias(bias_days, a_day)), []
         if state.exists:
             now.restore(tuple(state.get))
         for row in pd.concat(list(batches)).sort_values("ts").itertuples():
-            lower, _, upper = now.predict(row.pred)
-            now.learn(row.pred, row.actual)
-            out.append((*name, row.ts, lower, upper, bool(lower <= row.actual <= upper)))
+            pred, actual = _known(row.pred), _known(row.actual)
+            if pred is None:
+                continue
+            lower, _, upper = now.predict(pred)
+            if actual is not None:
+                now.learn(pred, actual)
+            out.append((*name, row.ts, lower, upper, None if actual is None else lower <= actual <= upper))
         state.update(now.held())
-        yield pd.DataFrame(out, columns=[key, "ts", "lower", "upper", "hit"])
+        told = pd.DataFrame(out, columns=[key, "ts", "lower", "upper", "hit"])
+        yield told.astype({"hit": "boolean"})
 
     kind = dict(rows.dtypes)[key]
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, ts timestamp, lower double, upper double, hit boolean", CONFORMAL, "append", "NoTimeout")
