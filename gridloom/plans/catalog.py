@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import feature_queries, fit_queries, forecast_queries, model_queries, models, online_queries, panel_queries, prices, risk, score_queries, smooth_queries, store_queries
+from gridloom.plans import feature_queries, fit_queries, forecast_queries, model_queries, models, online_queries, panel_queries, prices, risk, score_queries, smooth_queries, store_queries, walk_queries
 from gridloom.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "feature_queries", "fit_queries", "flagship", "forecast_queries", "model_queries", "models", "online_queries", "panel_queries", "prices", "risk", "score_queries", "smooth_queries", "store_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "feature_queries", "fit_queries", "flagship", "forecast_queries", "model_queries", "models", "online_queries", "panel_queries", "prices", "risk", "score_queries", "smooth_queries", "store_queries", "walk_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
