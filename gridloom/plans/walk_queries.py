@@ -83,3 +83,26 @@ def horizon_backtest(spark, sf_dir):
     out = walkforward.horizon(daily_orders(spark, sf_dir), [], model, F.col("ts") >= _START, _LEADS)
     error = F.col("pred") - F.col("actual")
     return out.groupBy("lead").agg(F.count("*").alias("n"), r(F.avg(F.abs(error)), 4).alias("mae"), r(F.avg(error), 4).alias("bias"))
+
+
+_TOLD = """-- told
+WITH f AS (SELECT event_type AS zone, date_trunc('hour', ts) AS ts, ts AS told, value, event_id FROM events),
+o AS (SELECT DISTINCT event_type AS zone, date_trunc('day', ts) + INTERVAL 6 HOUR AS origin FROM events), w AS (SELECT zone, origin, lead, origin + lead * INTERVAL 1 HOUR - INTERVAL 24 HOUR AS ts FROM o, (SELECT unnest([1, 12, 24, 36]) AS lead)),
+p AS (SELECT w.zone, w.origin, w.lead, arg_max(f.value, (f.told, f.event_id)) AS past FROM w JOIN f ON f.zone = w.zone AND f.ts = w.ts AND f.told <= w.origin GROUP BY 1, 2, 3),
+n AS (SELECT o.zone, o.origin, max(f.ts) AS newest, arg_max(f.value, (f.ts, f.told, f.event_id)) AS last FROM o JOIN f ON f.zone = o.zone AND f.told <= o.origin GROUP BY 1, 2)
+SELECT w.zone, w.origin, CAST(w.lead AS INTEGER) AS lead, round(past, 6) AS past, newest, round(last, 6) AS last FROM w LEFT JOIN p ON p.zone = w.zone AND p.origin = w.origin AND p.lead = w.lead LEFT JOIN n ON n.zone = w.zone AND n.origin = w.origin"""
+
+
+@query("known_features", _TOLD)
+def known_features(spark, sf_dir):
+    """Features of forecasts made at 6 o'clock for several hours ahead, from events as revisions of their hour: what had been told by then of the
+    hour a day before the target (nothing, where that hour was still to come), and of the newest hour told of."""
+    from gridloom.operators import align
+
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("zone"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), F.col("ts").cast("timestamp").alias("told"), "value", "event_id")
+    origins = events.select("zone", (F.date_trunc("day", "told") + F.expr("interval 6 hours")).alias("origin")).distinct()
+    asked = origins.select("zone", "origin", F.explode(F.array(*map(F.lit, [1, 12, 24, 36]))).alias("lead"))
+    asked = asked.withColumn("ts", F.col("origin") + (F.col("lead") - 24) * F.expr("interval 1 hour"))
+    past = align.revision_at(asked, events, ["zone"], "value", "event_id", 72).withColumnRenamed("value", "past")
+    newest = align.newest_at(origins, events, ["zone"], "value", "event_id", 72).withColumnRenamed("value", "last")
+    return past.join(newest, ["zone", "origin"]).select("zone", "origin", "lead", r("past").alias("past"), "newest", r("last").alias("last"))
