@@ -84,21 +84,29 @@ def valid_states(states: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, path: str) -> int:
-    """df as the next version under a path; readers see the version before until the write is whole. Returns its number."""
-    version = (versions(df.sparkSession, path) or [0])[-1] + 1
+    """df as the next version under a path; readers see the version before until the write is whole. Returns its number.
+
+    A number that a write took and left unfinished isn't taken again.
+    """
+    version = max([0, *_folders(df.sparkSession, path)]) + 1
     df.write.mode("errorifexists").parquet(f"{path}/version={version}")
     return version
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The whole versions under a path, in order."""
+def _folders(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The numbers of all versions under a path, and whether each is whole."""
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(root):
-        return []
+        return {}
     found = [s.getPath() for s in files.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("version=")]
-    return sorted(int(p.getName().partition("=")[2]) for p in found if files.exists(jvm.Path(p, "_SUCCESS")))
+    return {int(p.getName().partition("=")[2]): files.exists(jvm.Path(p, "_SUCCESS")) for p in found}
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions under a path, in order."""
+    return sorted(n for n, whole in _folders(spark, path).items() if whole)
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:

@@ -39,6 +39,7 @@ def test_versions_upsert_and_log(spark, tmp_path):
     assert store.load(spark, path, 1).count() == 48 and store.versions(spark, path) == [1, 2]
     (tmp_path / "prices" / "version=3").mkdir()  # a write that didn't end
     assert store.load(spark, path).count() == len(rows)
+    assert store.upsert(hours(60, 61, 3), path, ["ts"]) == 4 and store.versions(spark, path) == [1, 2, 4]  # nor does it stop the next one
     for n in (1, 2):
         store.append_log(spark.createDataFrame([(n, "x")], "rows int, name string"), str(tmp_path / "log"))
     assert sorted(r["rows"] for r in spark.read.json(str(tmp_path / "log")).collect()) == [1, 2]
