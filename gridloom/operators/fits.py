@@ -122,26 +122,6 @@ def nelder_mead(loss, start: list[float], rounds: int = 200, tolerance: float =
     return scored[0][2].tolist()
 
 
-def power_stretch(rows: DataFrame, raw: str, actual: str, weight: str, least: float = 0.5, most: float = 3.0, bins: int = 2000) -> tuple[float, float]:
-    """scale and power of least weighted mean error of scale * raw ** power; each step of the search is one aggregate.
-
-    The loss is summed on ``bins`` groups of raw's sorted values, each with its quantiles' mean, so that the driver's search runs over a table of
-    bounded size and not over the data; the mean error of a group is that of its mean.
-    """
-    edges = rows.agg(F.percentile_approx(raw, F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10 * bins)).alias("e"))
-    (place,) = fresh_name(rows, "place")
-    held = rows.crossJoin(F.broadcast(edges)).withColumn(place, F.size(F.filter("e", lambda e: e < F.col(raw))))
-    sums = held.groupBy(place).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(raw)).alias("x"), F.sum(F.col(weight) * F.greatest(F.col(actual), F.lit(0.0))).alias("y")).filter("w > 0").toPandas()
-    w, x, y = sums["w"].to_numpy(), (sums["x"] / sums["w"]).to_numpy(), (sums["y"] / sums["w"]).to_numpy()
-
-    def loss(p: list[float]) -> float:
-        scale, power = p
-        return 1e6 if scale <= 0 or not least <= power <= most else float(np.average(np.abs(y - scale * (np.maximum(x, 0) + 1e-10) ** power), weights=w))
-
-    scale, power = nelder_mead(loss, [1.0, 1.0], 1000)
-    return scale, power
-
-
 def ar2(rows: DataFrame, keys: list[str], value: str, most_root: float | None = None, accept: Column | None = None) -> DataFrame:
     """keys, phi1, phi2: least squares of a series on its last two rows, from five sums; (0.7, 0) where these don't tell them apart.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
-from gridloom.operators import align, curves, fits, models, panels, scores, searches, series, smooth, tails
+from gridloom.operators import absolute, align, curves, fits, models, panels, scores, searches, series, smooth, tails
 from gridloom.plans.base import LOCAL, days, hourly, pairs, query, r, zonal
 from gridloom.plans.fit_queries import _ROWS, _SCALED, _SUMS, _rows
 from gridloom.plans.panel_queries import _DRAW
@@ -303,7 +303,7 @@ def log_linear_train(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     c = fits.ridge(rows, "y", ["a", "b"], 1.0, "weight", True)
     raw = rows.withColumn("raw", fits.log_linear(fits.dot(c), 55.0))
-    scale, power = fits.power_stretch(raw, "raw", "p", "weight")
+    scale, power = absolute.power_stretch(raw, "raw", "p", "weight")
     return spark.createDataFrame([(c["intercept"], c["a"], c["b"], scale, power)], "intercept double, a double, b double, scale double, power double")
 
 
@@ -354,7 +354,7 @@ def mapped_prices(spark, sf_dir):
 def fitted_maps(spark, sf_dir):
     """Each output map and coupling, fitted, with its error over all rows; known laws are found in the tests."""
     rows = wide(spark, sf_dir).join(pairs(spark, sf_dir), "ts").na.drop(subset=["a", "b"])
-    told = {k: searches.mapped(F.col("pred"), k, searches.fit_map(rows, "pred", "actual", k)) for k in searches.MAP_STARTS}
-    told |= {f"coupled_{f}": searches.coupled(F.col("pred"), F.col("a"), F.col("b"), f, searches.fit_coupling(rows, "pred", "a", "b", "actual", f)) for f in searches.COUPLING_STARTS}
+    told = {k: searches.mapped(F.col("pred"), k, searches.fit_map(rows, "pred", "actual", k)) for k in ("power", "log", "power_log")}
+    told |= {f"coupled_{f}": searches.coupled(F.col("pred"), F.col("a"), F.col("b"), f, searches.fit_coupling(rows, "pred", "a", "b", "actual", f)) for f in ("floor", "excess", "threshold", "power")}
     errors = rows.agg(*[F.avg(F.abs(F.col("actual") - c)).alias(n) for n, c in told.items()])
     return errors.select(F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(n).alias("mae")) for n in told])).alias("x")).select("x.*")
