@@ -55,7 +55,7 @@ def walked(rows: DataFrame, loss: Callable[[list[Column]], Column], start: list[
     steps = [2 * i / (side - 1) - 1 for i in range(side)]
     centre, reach, known = list(map(float, start)), np.array(spans, float), {}
     for _ in range(passes):
-        grid = [[c + s * r for c, s, r in zip(centre, step, reach)] for step in product(steps, repeat=len(start))]
+        grid = [[float(c + s * r) for c, s, r in zip(centre, step, reach)] for step in product(steps, repeat=len(start))]
         fresh = [p for p in grid if valid(p) and tuple(p) not in known]
         if fresh:
             known |= dict(zip(map(tuple, fresh), mean_losses(rows, loss, fresh, weight)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.names import fresh_name
+from gridloom.session import settled
 
 #: Fewest values over the threshold for a fit.
 LEAST_EXCEEDANCES = 30
@@ -41,6 +42,44 @@ def gpd_fit(over: DataFrame, keys: list[str], least: int = LEAST_EXCEEDANCES) ->
     return sums.filter(spread > 0).select(*keys, "side", "u", "n", "n_over", (2 - F.col("_a0") / spread).alias("xi"), (2 * F.col("_a0") * F.col("_a1") / spread).alias("scale"))
 
 
+def gpd_likelihood(over: DataFrame, keys: list[str], least: int = LEAST_EXCEEDANCES, rounds: int = 25, tolerance: float = 1e-9) -> DataFrame:
+    """keys, side, u, n, n_over, xi, scale of the generalised Pareto law of greatest likelihood, for all keys at once.
+
+    With t = xi / scale the best xi is the mean of ln(1 + t y), so one number a key is left to find. A round is one aggregate by key of what
+    the likelihood's slope and bend at t need; a Newton step, kept between the bounds that slopes have shown so far, gives the next t. Keys
+    whose t has settled leave the rows. Each round's t is a checkpointed row a key. Sides with fewer than ``least`` values, or with all
+    of them equal to 0, have no row.
+    """
+    by = [*keys, "side"]
+    rows = settled(over.select(*by, "u", "n", "y"))
+    start = rows.groupBy(*by).agg(F.first("u").alias("u"), F.first("n").alias("n"), F.count("*").alias("n_over"), F.avg("y").alias("mean"), F.max("y").alias("most")).filter((F.col("n_over") >= least) & (F.col("mean") > 0))
+    lowest, tiny = -(1 - 1e-7) / F.col("most"), 1e-7 / F.col("mean")
+    start = start.withColumns({"low": lowest, "high": 1e4 / F.col("mean"), "t": 0.1 / F.col("mean"), "open": F.lit(True)})
+    now = settled(start)
+    for _ in range(rounds):
+        z = 1 + F.col("t") * F.col("y")
+        active = now.filter("open").select(*by, "t")
+        sums = rows.join(active, by).groupBy(*by).agg(F.avg(F.ln(z)).alias("a"), F.avg(F.col("y") / z).alias("b"), F.avg(F.pow(F.col("y") / z, 2)).alias("c"))
+        slope = 1 / F.col("t") - F.col("b") / F.col("a") - F.col("b")
+        bend = -1 / (F.col("t") * F.col("t")) + F.col("c") / F.col("a") + F.pow(F.col("b") / F.col("a"), 2) + F.col("c")
+        told = now.join(sums, by, "left").withColumns({"slope": slope, "bend": bend})
+        told = told.withColumns({"low": F.when(F.col("open") & (F.col("slope") > 0), F.col("t")).otherwise(F.col("low")), "high": F.when(F.col("open") & (F.col("slope") <= 0), F.col("t")).otherwise(F.col("high"))})
+        newton = F.col("t") - F.col("slope") / F.col("bend")
+        # far apart, bounds are halved in what 1 + t * most grows by
+        grown = lambda c: 1 + F.col(c) * F.col("most")
+        middle = (F.sqrt(grown("low") * grown("high")) - 1) / F.col("most")
+        inside = (F.col("bend") < 0) & (newton > F.col("low")) & (newton < F.col("high"))
+        step = F.when(inside, newton).otherwise(middle)
+        step = F.when(F.abs(step) < tiny, F.when(step < 0, -tiny).otherwise(tiny)).otherwise(step)
+        still = F.abs(step - F.col("t")) > tolerance * (F.abs(F.col("t")) + 1 / F.col("mean"))
+        told = told.select(*by, "u", "n", "n_over", "mean", "most", "low", "high", F.when(F.col("open"), step).otherwise(F.col("t")).alias("t"), (F.col("open") & still).alias("open"))
+        now = settled(told)
+        if not now.filter("open").limit(1).count():
+            break
+    last = rows.join(now.select(*by, "t"), by).groupBy(*by).agg(F.avg(F.ln(1 + F.col("t") * F.col("y"))).alias("xi"))
+    return now.join(last, by).select(*by, "u", "n", "n_over", "xi", (F.col("xi") / F.col("t")).alias("scale"))
+
+
 def gpd_var(alpha: float | Column) -> Column:
     """The value that a share alpha lies beyond, from columns u, n, n_over, xi, scale; where xi is near 0, its limit."""
     odds = F.col("n_over") / F.col("n") / alpha

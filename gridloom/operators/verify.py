@@ -14,11 +14,16 @@ LEAST_PRICE, WARM, WEIGHT = 1e-3, 10, 0.3
 
 
 def static_bands(rows: DataFrame, keys: list[str], coverage: float, window: int, warm: int) -> DataFrame:
-    """rows (ts, actual, pred) with lower, upper, hit: bands of the last ``window`` errors' quantile; rows with fewer than ``warm`` are left out."""
-    n, q = fresh_name(rows, "n", "q")
-    last = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-window, -1)
+    """rows (ts, actual, pred) with lower, upper, hit: bands of the last ``window`` errors' quantile; rows with fewer than ``warm`` are left out.
+
+    keys and ts name a row.
+    """
+    from gridloom.operators.sliding import by_rows
+
+    n, q, e = fresh_name(rows, "n", "q", "error")
     error = F.abs(F.col("actual") - F.col("pred"))
-    told = rows.withColumn(n, F.count(error).over(last)).withColumn(q, F.percentile(error, F.lit(coverage)).over(last)).filter(F.col(n) >= warm)
+    before = by_rows(rows.withColumn(e, error), keys, e, window, coverage).withColumnsRenamed({"n": n, "level_value": q})
+    told = rows.join(before, [*keys, "ts"]).filter(F.col(n) >= warm)
     return told.withColumns({"lower": F.col("pred") - F.col(q), "upper": F.col("pred") + F.col(q), "hit": error <= F.col(q)}).drop(n, q)
 
 

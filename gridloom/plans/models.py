@@ -20,8 +20,11 @@ def rolling_stats(spark, sf_dir):
 @query("rolling_week", "SELECT zone, ts, CASE WHEN count(p) OVER w >= 24 THEN round(avg(p) OVER w, 9) END AS mean, round(median(p) OVER w, 9) AS middle FROM zonal WINDOW w AS (PARTITION BY zone ORDER BY ts RANGE BETWEEN INTERVAL 604799 SECOND PRECEDING AND CURRENT ROW)")
 def rolling_week(spark, sf_dir):
     """Mean (of 24 rows at least) and median of the last 168 hours, by time."""
-    made = lambda w: {"mean": F.when(F.count("p").over(w) >= 24, r(F.avg("p").over(w), 9)), "middle": r(F.percentile("p", F.lit(0.5)).over(w), 9)}
-    return series.over_hours(zonal(spark, sf_dir), ["zone"], 168, made).select("zone", "ts", "mean", "middle")
+    from gridloom.operators import sliding
+
+    rows = zonal(spark, sf_dir)
+    means = series.over_hours(rows, ["zone"], 168, lambda w: {"mean": F.when(F.count("p").over(w) >= 24, r(F.avg("p").over(w), 9))})
+    return means.join(sliding.by_hours(rows, ["zone"], "p", 168, {"middle": 0.5}), ["zone", "ts"]).select("zone", "ts", "mean", r("middle", 9).alias("middle"))
 
 
 @query("centred_mean", "SELECT zone, ts, round(avg(p) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS mean, round(p - lag(p) OVER (PARTITION BY zone ORDER BY ts), 6) + 0.0 AS step FROM zonal")

@@ -27,10 +27,9 @@ def lagged_rolling_mean(spark, sf_dir):
 @query("rolling_quarter_median", "SELECT zone, ts, CASE WHEN count(p) OVER w >= 24 THEN round(median(p) OVER w, 6) END AS middle FROM zonal WINDOW w AS (PARTITION BY zone ORDER BY ts RANGE BETWEEN INTERVAL 7775999 SECOND PRECEDING AND CURRENT ROW)")
 def rolling_quarter_median(spark, sf_dir):
     """The median of the last 90 days, of 24 rows at least."""
-    from gridloom.operators.series import over_hours
+    from gridloom.operators import sliding
 
-    made = lambda w: {"middle": F.when(F.count("p").over(w) >= 24, r(F.percentile("p", F.lit(0.5)).over(w)))}
-    return over_hours(zonal(spark, sf_dir), ["zone"], 90 * 24, made, 240).select("zone", "ts", "middle")
+    return sliding.by_hours(zonal(spark, sf_dir), ["zone"], "p", 90 * 24, {"middle": 0.5}, 24, 240).select("zone", "ts", r("middle").alias("middle"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Fits against numpy, and odd tables."""
 
 import datetime
+import math
 import random
 
 import numpy as np
@@ -181,3 +182,30 @@ def test_least_absolute_error_under_skewed_noise(spark):
     log = lambda p: float(np.average(np.abs(y - p[0] - p[1] * np.log(p[2] * x + p[3])), weights=w)) if min(p[2:]) > 0 else 1e6
     assert log(searches.fit_map(df, "x", "y", "log", "w")) <= 1.01 * min(log(fits.nelder_mead(log, s, 4000, 1e-7)) for s in ([-10, 30, 0.1, 1], [0, 20, 0.05, 1]))
     assert absolute.power_stretch(df.limit(0), "x", "y", "w") == (1.0, 1.0)
+
+
+def test_hedges_against_grid_searches(spark):
+    """The smoothed objective of one and of two futures isn't above that of a grid search, and figures are of later rows."""
+    rng = np.random.default_rng(31)
+    f = rng.normal(size=(1500, 2))
+    s = 0.8 * f[:, 0] - 0.4 * f[:, 1] + rng.standard_t(3, 1500)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, (b, c)) in enumerate(zip(s, f))] + [(5, None, 1.0, 1.0)], "t int, s double, f double, g double")
+    phi = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
+
+    def objective(h, v, s, f):
+        loss = f @ h - s
+        w = max(1.06 * loss.std() * len(loss) ** -0.2, 1e-8)
+        z = (loss - v) / w
+        return v + np.mean((loss - v) * phi(z) + w * np.exp(-z * z / 2) / np.sqrt(2 * np.pi)) / 0.05
+
+    one = hedge.least_cvar(df, "s", "f")
+    grid = min(objective(np.array([h]), v, s, f[:, :1]) for h in np.linspace(-1, 2, 31) for v in np.linspace(1, 5, 41))
+    assert one["objective"] <= grid + 1e-4 and one["objective"] == pytest.approx(objective(np.array([one["ratio"]]), one["threshold"], s, f[:, :1]), abs=1e-4)
+    two = hedge.least_cvar(df, "s", ["f", "g"])
+    grid = min(objective(np.array([h, k]), v, s, f) for h in np.linspace(0, 1.6, 9) for k in np.linspace(-1.2, 0.4, 9) for v in np.linspace(1, 5, 21))
+    assert two["objective"] <= grid + 1e-4 < one["objective"]
+    later = hedge.least_cvar(df, "s", ["f", "g"], order="t")
+    cut = 1500 * 0.55
+    rest = np.arange(1500) > cut
+    loss = f[rest] @ [later["ratio"], later["ratio_2"]] - s[rest]
+    assert later["hedged"] == pytest.approx(loss[loss >= np.quantile(loss, 0.95)].mean(), rel=0.02)

@@ -29,3 +29,40 @@ def test_odd_tables(spark):
     wide = spark.createDataFrame([(30.0, 1000, 50, 0.2, 10.0), (30.0, 1000, 50, 1.2, 10.0)], "u double, n long, n_over long, xi double, scale double")
     got = wide.select(tails.gpd_cvar(0.05).alias("at"), tails.gpd_cvar(0.01).alias("under")).collect()
     assert [r["at"] for r in got] == [None, None] and got[0]["under"] > 30 and got[1]["under"] == float("inf")
+
+
+def test_greatest_likelihood_of_all_keys(spark):
+    """Not below a fine search over both parameters, for heavy, light and bounded tails."""
+    import numpy as np
+
+    rng, rows, plain = np.random.default_rng(4), [], {}
+    for k, xi in enumerate((0.6, 0.1, 0.0, -0.3)):
+        u = rng.random(800)
+        y = -3 * np.log(u) if xi == 0 else 3 * (u**-xi - 1) / xi
+        plain[k] = y
+        rows += [(k, 1, 10.0, 5000, float(v)) for v in y]
+    rows += [(9, 1, 1.0, 9, 0.5)] * 5
+    got = {r["k"]: r for r in tails.gpd_likelihood(spark.createDataFrame(rows, "k int, side int, u double, n long, y double"), ["k"]).collect()}
+    assert got.keys() == plain.keys()
+
+    def likelihood(y, xi, scale):
+        z = 1 + xi * y / scale
+        return -np.inf if (z <= 0).any() else -len(y) * np.log(scale) - (1 + 1 / xi) * np.log(z).sum()
+
+    for k, y in plain.items():
+        best = max(likelihood(y, xi, s) for xi in np.linspace(-0.6, 1.2, 181) + 1e-6 for s in np.linspace(1.5, 5, 141))
+        assert likelihood(y, got[k]["xi"], got[k]["scale"]) >= best - 1e-6 and got[k]["n_over"] == 800
+    assert tails.gpd_likelihood(spark.createDataFrame([], "k int, side int, u double, n long, y double"), ["k"]).count() == 0
+
+
+def test_jumps_of_each_side(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    d = np.concatenate((rng.normal(0, 1, 4000), rng.lognormal(3, 0.2, 150), -rng.lognormal(4, 0.6, 60)))
+    df = spark.createDataFrame([("z", float(x)) for x in d] + [("z", None), ("few", 1.0), ("few", 50.0)], "zone string, d double")
+    got = {r["zone"]: r for r in tails.jump_moments(df, ["zone"], "d", 0.955).collect()}
+    r, u = got["z"], np.quantile(abs(d), 0.955)
+    up, down = np.log(d[d > u]), np.log(-d[-d > u])
+    assert abs(r["up_mean"] - up.mean()) < 1e-9 and abs(r["down_sd"] - down.std()) < 1e-9 and r["down_mean"] > r["up_mean"] + 0.5
+    assert got["few"]["up_mean"] is None and got["few"]["down_mean"] is None
