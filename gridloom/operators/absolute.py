@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.names import fresh_name
+from gridloom.session import settled
 
 #: Grid points of a pass, at most about.
 POINTS = 81
@@ -77,6 +78,7 @@ def power_stretch(rows: DataFrame, raw: str, actual: str, weight: str, least: fl
     """
     from gridloom.operators.fits import nelder_mead
 
+    rows = settled(rows.select(raw, actual, weight))  # read once a pass
     t = cells(rows.withColumn(actual, F.greatest(F.col(actual), F.lit(0.0))), [raw, actual], weight)
     if not len(t["weight"]):
         return 1.0, 1.0

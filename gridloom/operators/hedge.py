@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.fits import matrix, sums_of_products
 from gridloom.operators.tails import SHARE, SHARE_SCALE
+from gridloom.session import settled
 
 
 def smoothed_excess(d: Column, width: Column) -> Column:
@@ -73,7 +74,7 @@ def least_cvar(rows: DataFrame, spot: str, futures: str | list[str], alpha: floa
     """
     names = [futures] if isinstance(futures, str) else list(futures)
     known = rows.select(F.col(spot).cast("double").alias("s"), F.array(*[F.col(c).cast("double") for c in names]).alias("f"), *([F.col(order).alias("t")] if order else []))
-    known = known.filter(F.col("s").isNotNull() & F.forall("f", lambda x: x.isNotNull()))
+    known = settled(known.filter(F.col("s").isNotNull() & F.forall("f", lambda x: x.isNotNull())))
     fitted, scored = known, known
     if order:
         cut = known.agg(F.percentile_approx(F.col("t").cast("double"), train, 10_000)).first()[0]

@@ -1,4 +1,4 @@
-"""Models fitted over several passes or groups, each pass one aggregate: grouped ridges, quantile ridges, ARMA with inputs, variants."""
+"""Models fitted over several passes or groups, each pass one aggregate: grouped ridges, quantile ridges, variants."""
 
 from __future__ import annotations
 
@@ -42,32 +42,6 @@ def quantile_ridge(rows: DataFrame, target: str, features: list[str], level: flo
     return fit
 
 
-def arma(rows: DataFrame, value: str, exog: list[str], long: int = 12) -> dict[str, float]:
-    """intercept, ar1, ar2, ma1 and the inputs' coefficients of an ARMA(2, 1) with inputs, by two regressions (Hannan and Rissanen, 1982).
-
-    A long autoregression tells the shocks; then the value is regressed on its last two, the last shock and the inputs. rows: ts, one series without gaps. It isn't a
-    maximum of the likelihood, but near it for long series.
-    """
-    order = Window.partitionBy().orderBy("ts")
-    names = [f"back{k}" for k in range(1, long + 1)]
-    wide = rows.select("ts", value, *exog, *[F.lag(value, k).over(order).alias(n) for k, n in enumerate(names, 1)])
-    first = fits.ridge(wide, value, [*names, *exog])
-    shocks = wide.withColumn("shock", F.when(F.col(names[-1]).isNotNull(), F.col(value) - fits.dot(first))).withColumn("last_shock", F.lag("shock").over(order))
-    fit = fits.ridge(shocks, value, ["back1", "back2", "last_shock", *exog])
-    return {"ar1": fit.pop("back1"), "ar2": fit.pop("back2"), "ma1": fit.pop("last_shock"), **fit}
-
-
-def arma_path(start: dict[str, float], model: dict[str, float], inputs: Column, steps: int) -> Column:
-    """The next values as an array: start has last, before and shock (of the last value); inputs is an array of what the inputs add at each step."""
-    zero = F.struct(F.lit(float(start["last"])).alias("a"), F.lit(float(start["before"])).alias("b"), F.lit(float(start["shock"])).alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, i: Column) -> Column:
-        new = model["intercept"] + model["ar1"] * s["a"] + model["ar2"] * s["b"] + model["ma1"] * s["e"] + F.get(inputs, i)
-        return F.struct(new.alias("a"), s["a"].alias("b"), F.lit(0.0).alias("e"), F.array_append(s["out"], new).alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), zero, step, lambda s: s["out"])
-
-
 def best_single(rows: DataFrame, target: str, candidates: list[str], train: Column) -> DataFrame:
     """feature, mae, best: each candidate's line, fitted on the train rows from one matrix, scored on the others in one pass."""
     used = rows.na.drop(subset=[target, *candidates])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.absolute import cells, walked
 from gridloom.operators.fits import nelder_mead
+from gridloom.session import settled
 
 def _map(x, kind: str, p: list[float], up, log, power):
     if kind == "power":
@@ -82,6 +83,7 @@ def _refined(rows: DataFrame, error, kind: str, start: list[float], weight: str
 
 def fit_map(rows: DataFrame, raw: str, actual: str, kind: str, weight: str | None = None) -> list[float]:
     """The map of least weighted mean absolute error from raw to actual, over all rows; parameters that change nothing without a row."""
+    rows = settled(rows.select(raw, actual, *([weight] if weight else [])))
     t = cells(rows, [raw, actual], weight)
     if not len(t["weight"]):
         return {"power": [1.0, 1.0], "log": [0.0, 1.0, 1.0, 1.0]}.get(kind, [1.0, 1.0, 1.0])
@@ -92,6 +94,7 @@ def fit_map(rows: DataFrame, raw: str, actual: str, kind: str, weight: str | Non
 
 def fit_coupling(rows: DataFrame, base: str, a: str, b: str, actual: str, form: str, weight: str | None = None) -> list[float]:
     """The coupling of least weighted mean absolute error, over all rows; none without a row."""
+    rows = settled(rows.select(base, a, b, actual, *([weight] if weight else [])))
     t = cells(rows, [base, a, b, actual], weight)
     if not len(t["weight"]):
         return [0.0, 1.0] if form == "power" else [0.0] * (3 if form == "threshold" else 2)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
-from gridloom.operators import absolute, align, curves, fits, models, panels, scores, searches, series, smooth, tails
+from gridloom.operators import absolute, align, curves, fits, models, panels, scores, searches, series, smooth, statespace, subsets, tails
 from gridloom.plans.base import LOCAL, days, hourly, pairs, query, r, zonal
 from gridloom.plans.fit_queries import _ROWS, _SCALED, _SUMS, _rows
 from gridloom.plans.panel_queries import _DRAW
@@ -315,14 +315,36 @@ def quantile_fits(spark, sf_dir):
     return spark.createDataFrame(told, "level double, intercept double, slope double")
 
 
+def _with_cycle(rows):
+    return rows.withColumns({"s": F.sin(2 * F.pi() * F.hour("ts") / 24), "c": F.cos(2 * F.pi() * F.hour("ts") / 24)})
+
+
 @query("arma_fit")
 def arma_fit(spark, sf_dir):
-    """ARMA(2, 1) of the hourly price with two inputs of the hour; held against a simulated series in the tests."""
-    rows = hourly(spark, sf_dir).select("ts", "p", F.sin(2 * F.pi() * F.hour("ts") / 24).alias("s"), F.cos(2 * F.pi() * F.hour("ts") / 24).alias("c"))
-    m = models.arma(rows, "p", ["s", "c"])
+    """ARMA(2, 1) of the hourly price with two inputs of the hour, by exact likelihood; held against a plain filter in the tests."""
+    m = statespace.fit(_with_cycle(hourly(spark, sf_dir)), "p", ["s", "c"])
     return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "name string, value double")
 
 
+@query("arma_forecast")
+def arma_forecast(spark, sf_dir):
+    """The 168 hours behind the last one, by that model."""
+    h = hourly(spark, sf_dir)
+    m = statespace.fit(_with_cycle(h), "p", ["s", "c"])
+    last = h.agg(F.max("ts").alias("last"))
+    future = last.select("last", F.explode(F.sequence(F.lit(1), F.lit(168))).alias("step")).select("step", (F.col("last") + F.col("step") * F.expr("interval 1 hour")).alias("ts"))
+    return statespace.forecast(_with_cycle(future), m, ["s", "c"])
+
+
+@query("every_feature_set")
+def every_feature_set(spark, sf_dir):
+    """All 1,024 sets of ten features of the hourly price, each fitted on all days before and scored on each day from the eighth on."""
+    rows = _with_cycle(pairs(spark, sf_dir)).join(wide(spark, sf_dir).select((F.col("ts") + F.expr("interval 24 hours")).alias("ts"), F.col("a").alias("za"), F.col("b").alias("zb"), F.col("c").alias("zc")), "ts", "left").na.fill(0.0, ["za", "zb", "zc"])
+    rows = rows.withColumns({"s2": F.col("s") * F.col("c"), "c2": F.col("c") * F.col("c"), "weekend": (F.weekday("ts") > 4).cast("double"), "trend": F.unix_timestamp("ts") / 86_400 - 19_723})
+    features = ["pred", "za", "zb", "zc", "s", "c", "s2", "c2", "weekend", "trend"]
+    return subsets.every_set(rows, "actual", features, F.to_date("ts"), 1.0, 7)
+
+
 @query("hedge_cvar")
 def hedge_cvar(spark, sf_dir):
     """The hedge of a zone's changes by the zone average's, and by that and another zone's: least mean of the worst 5 % on the first 55 % of the

@@ -130,21 +130,6 @@ def test_quantile_lines_against_a_search(spark):
         assert loss(got["intercept"], got["x"]) < best * 1.02 and np.mean(y <= got["intercept"] + got["x"] * x) == pytest.approx(level, abs=0.03)
 
 
-def test_arma_finds_a_simulated_series(spark):
-    rng = np.random.default_rng(9)
-    n, e, y = 6000, rng.normal(size=6000), np.zeros(6000)
-    z = np.sin(np.arange(n) / 7)
-    for t in range(2, n):
-        y[t] = 1 + 0.9 * y[t - 1] - 0.3 * y[t - 2] + e[t] + 0.5 * e[t - 1] + 0.8 * z[t]
-    start = datetime.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(start + datetime.timedelta(hours=t), float(y[t]), float(z[t])) for t in range(n)], "ts timestamp, y double, z double")
-    m = models.arma(df, "y", ["z"])
-    assert [m[k] for k in ("ar1", "ar2", "ma1", "z")] == pytest.approx([0.9, -0.3, 0.5, 0.8], abs=0.08)
-    path = spark.range(1).select(models.arma_path({"last": 2.0, "before": 1.0, "shock": 0.5}, {"intercept": 1.0, "ar1": 0.5, "ar2": 0.2, "ma1": 0.4}, F.array(F.lit(0.1), F.lit(0.2)), 2).alias("p")).first()["p"]
-    first = 1 + 1.0 + 0.2 + 0.2 + 0.1
-    assert path == pytest.approx([first, 1 + 0.5 * first + 0.4 + 0.2])
-
-
 def test_leaving_each_feature_out(spark):
     x, y, _ = table()
     z = np.column_stack((np.ones(len(x)), x, y))
