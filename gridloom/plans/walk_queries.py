@@ -106,3 +106,52 @@ def known_features(spark, sf_dir):
     past = align.revision_at(asked, events, ["zone"], "value", "event_id", 72).withColumnRenamed("value", "past")
     newest = align.newest_at(origins, events, ["zone"], "value", "event_id", 72).withColumnRenamed("value", "last")
     return past.join(newest, ["zone", "origin"]).select("zone", "origin", "lead", r("past").alias("past"), "newest", r("last").alias("last"))
+
+
+@query("quantile_boost")
+def quantile_boost(spark, sf_dir):
+    """Forecasts of three quantiles of each zone's hour by boosted trees on the day before, the hour and the weekday, learned from the days up to the
+    20th of a month; held against a plain version in the tests."""
+    from gridloom.operators import align, boosting
+    from gridloom.plans.base import zonal
+
+    rows = align.time_lag(zonal(spark, sf_dir), ["zone"], "p", 24, "before").withColumns({"hour": F.hour("ts"), "weekday": F.weekday("ts")})
+    model = boosting.quantile_boost(rows.filter(F.dayofmonth("ts") <= 20), "p", ["before", "hour", "weekday"], [0.1, 0.5, 0.9], trees=8)
+    return model.predicted(rows).select("zone", "ts", "p", *[r(q).alias(q) for q in ("q10", "q50", "q90")])
+
+
+@query(
+    "committed_merge",
+    ", m AS (SELECT ts, CASE WHEN day(ts) >= 15 THEN 2 * p ELSE p END AS p FROM hourly UNION ALL SELECT ts + INTERVAL 31 DAY, p FROM hourly WHERE day(ts) < 15) SELECT ts, round(p, 6) AS p, CAST(2 AS BIGINT) AS version FROM m",
+)
+def committed_merge(spark, sf_dir):
+    """Hourly prices and their copies a month on, merged in two commits: the second corrects the hours from the 15th and leaves the other month as it is."""
+    import uuid
+
+    from gridloom.plans.base import hourly
+    from gridloom.session import shared_folder
+    from gridloom.sources.commits import CommittedTable
+
+    h = hourly(spark, sf_dir)
+    store = CommittedTable(spark, f"{shared_folder(spark)}/committed-{uuid.uuid4().hex}", ["ts"])
+    store.merge(h.unionByName(h.filter(F.dayofmonth("ts") < 15).withColumn("ts", F.col("ts") + F.expr("interval 31 days"))))
+    number = store.merge(h.filter(F.dayofmonth("ts") >= 15).withColumn("p", 2 * F.col("p")))
+    return store.load().select("ts", r("p").alias("p"), F.lit(number).cast("long").alias("version"))
+
+
+@query("reconciled_pairs")
+def reconciled_pairs(spark, sf_dir):
+    """Each zone's forecasts (the day before's price, told 12 and 6 hours ahead) meet actuals, of which every fifth comes a day late; held against a plain
+    walk and the stream in the tests."""
+    from gridloom.operators import align
+    from gridloom.plans.base import zonal
+    from gridloom.streaming import reconcile
+
+    z = align.time_lag(zonal(spark, sf_dir), ["zone"], "p", 24, "pred").withColumn("s", F.unix_timestamp("ts"))
+    model = F.when(F.dayofmonth("ts") < 20, "one").otherwise("two")
+    told = [F.struct((F.col("s") - lead * 3600).alias("told"), F.lit("forecast").alias("kind"), (F.col("pred") + lead / 10).alias("value"), model.alias("model")) for lead in (12, 6)]
+    late = F.when(F.pmod(F.xxhash64("zone", "s"), F.lit(5)) == 0, 86_400).otherwise(600)
+    told.append(F.struct((F.col("s") + late).alias("told"), F.lit("actual").alias("kind"), F.col("p").alias("value"), F.lit(None).cast("string").alias("model")))
+    rows = z.select("zone", F.col("s").alias("ts"), F.explode(F.array(*told)).alias("t")).select("zone", "ts", "t.*")
+    out = reconcile.reconciled_walk(rows, ["zone"])
+    return out.select("zone", "ts", "told", "model", "n", *[r(c).alias(c) for c in ("forecast", "corrected", "lower", "upper", "actual")])

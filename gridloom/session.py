@@ -31,13 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as checkpointed in the shared folder that the session names (spark.checkpoint.dir), so that what goes on from it doesn't make it anew and a
-    lost executor costs a read. With a local master and no folder named, as in tests, one of this process is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. With a local master and none named, as in tests, one of this process is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
+        named = tempfile.mkdtemp(prefix="gridloom-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as checkpointed in the shared folder, so that what goes on from it doesn't make it anew and a lost executor costs a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -4,6 +4,8 @@ import datetime
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from gridloom.streaming import online
 
 STEPS = [0.0005, 0.001, 0.002, 0.003, 0.005, 0.008, 0.01, 0.015, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2]
@@ -94,3 +96,47 @@ def test_one_rate_is_plain_adaptive_conformal(spark):
         score = abs(r["actual"] - r["pred"])
         level = max(1e-6, min(1 - 1e-6, level + 0.05 * (0.1 - (score > (quantile(scores, 1 - level) if scores else 0.0)))))
         scores.append(score)
+
+
+def test_streams_pass_over_nulls_and_take_late_hours_when_they_come(spark, tmp_path):
+    """A null spoils nothing: both streams give what the walks give for the same rows in the order in which they came."""
+    start = datetime.datetime(2024, 1, 1)
+    random.seed(12)
+    rows = [("a", start + datetime.timedelta(hours=i), None if i in (3, 30) else random.gauss(10, 3), None if i in (7, 50) else 9.0) for i in range(60)]
+    late, batches = rows.pop(20), []
+    batches = [rows[:40], [late, *rows[40:]]]
+    schema = "zone string, ts timestamp, actual double, pred double"
+    for number, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+    arrived = spark.createDataFrame([(*r, n) for n, r in enumerate([*batches[0], *sorted(batches[1], key=lambda r: r[1])])], schema + ", n int")
+    in_order = arrived.withColumn("told", arrived["ts"]).withColumn("ts", F.timestamp_seconds("n"))
+    feed = lambda: spark.readStream.schema(schema.replace(", n int", "")).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for name, stream in (("nulls_bias", online.bias_stream(feed(), "zone")), ("nulls_bands", online.conformal_stream(feed(), "zone", window=30, warm=5))):
+        running = stream.writeStream.outputMode("update" if name == "nulls_bias" else "append").format("memory").queryName(name).trigger(availableNow=True).start()
+        running.awaitTermination(180)
+    last = max(spark.table("nulls_bias").collect(), key=lambda r: r["n"])
+    want = online.bias_fold(in_order, ["zone"]).first()
+    assert last["n"] == want["n"] == 56 and abs(last["bias"] - want["bias"]) < 1e-9 and abs(last["spread"] - want["spread"]) < 1e-9
+    told = {r["n"]: r["told"] for r in in_order.collect()}
+    got = {r["ts"]: (r["lower"], r["upper"], r["hit"]) for r in spark.table("nulls_bands").collect()}
+    plain = {told[int((r["ts"] - datetime.datetime(1970, 1, 1)).total_seconds())]: (r["lower"], r["upper"], r["hit"]) for r in online.conformal_intervals(in_order, "zone", window=30, warm=5).collect()}
+    assert got.keys() == plain.keys() and len(got) == 58 and sum(v[2] is None for v in got.values()) == 2
+    assert all(abs(a - b) < 1e-9 for t in got for a, b in zip(got[t][:2], plain[t][:2])) and all(got[t][2] == plain[t][2] for t in got)
+
+
+def test_alarm_after_a_drift(spark, larger_dir):
+    """The learner undercovers once errors grow, and not before: alarms come behind the middle of the time."""
+    from gridloom.plans import catalog
+
+    middle = datetime.datetime(2024, 1, 16)
+    found = catalog.QUERIES["drift_alarm"](spark, larger_dir).collect()
+    behind = [r for r in found if r["alarm"] > middle]
+    assert {r["zone"] for r in behind} and all(r["hours"] >= 24 for r in found) and len(behind) > len(found) / 2
+
+
+def test_prices_below_zero_are_spread(spark):
+    from gridloom.operators import panels
+
+    df = spark.createDataFrame([(str(i), v) for i in range(300) for v in (-40.0, 40.0, 0.0)], "k string, v double")
+    out = df.select("v", panels.spread(F.col("v"), F.lit(0.3), F.col("k"), below=True).alias("x"), panels.spread(F.col("v"), F.lit(0.3), F.col("k")).alias("y")).toPandas()
+    assert (out["x"][out["v"] < 0] < 0).all() and out["x"][out["v"] < 0].std() > 5 and (out["y"][out["v"] < 0] == -40).all() and (out["x"][out["v"] == 0] == 0).all()
