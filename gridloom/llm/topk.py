@@ -36,6 +36,8 @@ EXACT, LONG = 2**53, 2**63
 NONE = -(2**63)
 #: Pivots, at most.
 MOST_PIVOTS = 4096
+#: Cells of a matrix of rows by pivots that a task makes at once; three or four such matrices of doubles are 134 MB.
+CELLS = 1 << 22
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -137,9 +139,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 4096,
     some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toArrow()  # bounded by the sample's size
     pivots = fit_pivots(_lifted(_numbers(some.column(0).combine_chunks(), width), most) if len(some) else np.zeros((1, width + 1)), count)
     slack = 1e-6 * (most + 1)
+    few_rows = max(1, CELLS // max(len(pivots), width))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of which no matrix of rows by pivots has more than CELLS cells."""
         for batch in batches:
+            for at in range(0, batch.num_rows, few_rows):
+                yield batch.slice(at, few_rows)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             x = _lifted(_numbers(batch.column(1), width), most)
             away = np.maximum((x * x).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0)
             near = np.argmin(away, axis=1) if len(x) else np.zeros(0, int)
@@ -170,13 +179,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 4096,
         return reach(q, d, lows[there], highs[there])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             turn = np.argsort(-uppers(_numbers(batch.column(1), width)), axis=1, kind="stable")[:, :first]
             to = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * turn.shape[1]), pa.array(there[turn].ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, to], ["vec_id", "v", "tried"])
 
     def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row, at = np.nonzero(uppers(_numbers(batch.column(1), width)) >= batch.column(3).to_numpy()[:, None])
             for few in np.array_split(np.arange(len(row)), len(row) // 4096 + 1):  # so that no batch holds many copies of a query
                 columns = batch.take(pa.array(row[few])).columns
