@@ -7,8 +7,9 @@ chain of uses up to it, so each comes behind those it uses.
 
 - Calls that use one other call form chains, which are walked by doubling: a round joins each call to where the one it points to
   points, so there are as many rounds as the longest chain's length has binary digits;
-- calls that use several wait until all of those have a step, round by round. A chain of single uses between two such calls
-  costs no round. What is left in the end waits on itself: a cycle.
+- calls that use several wait until all of those have a step. A chain of single uses between two such calls counts as one. A conversation with
+  at most ``FOLDED`` such calls is a row, and a round goes through its calls in order of turns and back, so uses of earlier calls cost one
+  round however deep they are; calls of larger conversations take a step a round. What is left in the end waits on itself: a cycle.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from gridloom.llm.scratch import Scratch
 # JSON schema types, and how the types of a parsed value begin.
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
 OWNER = ["conv_id", "call_id"]
+#: Calls of several uses that a conversation may have to be gone through as one row.
+FOLDED = 4096
 CALL = "struct<turn:bigint,name:string,arguments:string,after:array<string>>"
 JSON_CALL = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 
@@ -64,7 +67,57 @@ def _errors(args: Column, known: Column) -> Column:
     return F.when(known.isNull(), F.array(F.lit("tool"))).when(args.isNull(), F.array(F.lit("malformed"))).otherwise(F.array_sort(F.concat(missing, wrong, unknown)))
 
 
-def steps(calls: DataFrame, scratch: Scratch) -> DataFrame:
+def _folded(uses: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, call_id, step of calls of several uses, as far as these have one. uses: conv_id, call_id, turn, to, far, step (of to, null where to is itself
+    such a call); a conversation's calls are few enough to be a row."""
+    each = uses.groupBy("conv_id", "turn", "call_id").agg(F.collect_list(F.struct("to", "far", "step")).alias("uses"))
+    row = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "call_id", "uses"))).alias("calls"))
+    ids = F.transform("calls", lambda c: c["call_id"])
+    placed = lambda u: F.struct((F.array_position(F.col("ids"), u["to"]) - 1).cast("int").alias("at"), u["far"].alias("far"), u["step"].alias("step"))
+    row = row.withColumn("ids", ids).withColumn("uses", F.transform("calls", lambda c: F.transform(c["uses"], placed)))
+    row = row.select("conv_id", "ids", "uses", F.transform("ids", lambda _: F.lit(None).cast("long")).alias("steps"))
+    size = F.size("ids")
+
+    def settle(steps: Column, i: Column) -> Column:
+        """The steps with that of call i, if all of its uses have one."""
+        told = F.transform(F.get(F.col("uses"), i), lambda u: F.coalesce(u["step"], F.get(steps, u["at"])) + u["far"])
+        new = F.when(~F.exists(told, lambda t: t.isNull()), F.array_max(told))
+        return F.concat(F.slice(steps, F.lit(1), i), F.array(new), F.slice(steps, i + 2, size))
+
+    turn, now = 0, scratch.keep(row, "folded0")
+    while True:
+        there = F.aggregate(F.sequence(F.lit(0), size - 1), F.col("steps"), settle)
+        onward = now.withColumn("before", F.col("steps")).withColumn("steps", there)
+        onward = onward.withColumn("steps", F.aggregate(F.sequence(size - 1, F.lit(0)), F.col("steps"), settle))
+        known = lambda c: F.size(F.filter(c, lambda x: x.isNotNull()))
+        turn += 1
+        now = scratch.keep(onward.withColumn("moved", known("steps") > known("before")).drop("before"), f"folded{turn}")
+        scratch.drop(f"folded{turn - 1}")
+        if not now.filter("moved").limit(1).count():
+            break
+    out = now.select("conv_id", F.explode(F.arrays_zip("ids", "steps")).alias("c"))
+    return out.select("conv_id", F.col("c.ids").alias("call_id"), F.col("c.steps").alias("step")).filter(F.col("step").isNotNull())
+
+
+def _by_rounds(wait: DataFrame, scratch: Scratch) -> None:
+    """Adds the steps of calls of several uses to the table ``levels``, a level a round. wait: a row for each use, with step where it has one."""
+    turn, wait = 0, scratch.keep(wait, "wait0")
+    while wait.limit(1).count():
+        # a call whose uses all have a step comes next, and settles the uses of it
+        ready = wait.groupBy(*OWNER).agg(F.max(F.col("step") + F.col("far")).alias("step"), F.count_if(F.col("step").isNull()).alias("open")).filter("open = 0").select(*OWNER, "step")
+        ready = scratch.keep(ready, f"ready{turn}")
+        if not ready.limit(1).count():
+            break
+        ready.write.mode("append").parquet(scratch.path("levels"))
+        last = ready.select("conv_id", F.col("call_id").alias("to"), F.col("step").alias("told"))
+        left = wait.join(ready.select(*OWNER), OWNER, "left_anti").join(last, ["conv_id", "to"], "left")
+        turn += 1
+        wait = scratch.keep(left.select(*OWNER, "to", "far", F.coalesce("step", "told").alias("step")), f"wait{turn}")
+        scratch.drop(f"wait{turn - 1}")
+        scratch.drop(f"ready{turn - 1}")
+
+
+def steps(calls: DataFrame, scratch: Scratch, folded: int = FOLDED) -> DataFrame:
     """conv_id, call_id, step, unmet (sorted ids of ``after`` that no call of the conversation has).
 
     calls: a written table, a row for each conv_id and call_id, none of them null. step is the length of the longest chain of uses up
@@ -91,26 +144,19 @@ def steps(calls: DataFrame, scratch: Scratch) -> DataFrame:
         if not chain.filter("moved").limit(1).count():
             break
 
-    turn, levels = 0, [scratch.keep(known, "known")]
+    known.write.parquet(scratch.path("levels"))
+    levels = lambda: scratch.spark.read.schema(known.schema).parquet(scratch.path("levels"))
     if several.limit(1).count():
         ends = chain.select("conv_id", F.col("call_id").alias("used"), "to", "far")
         wait = met.join(several, OWNER, "left_semi").join(ends, ["conv_id", "used"], "left")
-        wait = scratch.keep(wait.select(*OWNER, F.coalesce("to", "used").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("long").alias("step")), "wait0")
-        while True:
-            # a use with a step is settled; a call whose uses all are comes next
-            last = levels[-1].select("conv_id", F.col("call_id").alias("to"), F.col("step").alias("told"))
-            wait = wait.join(last, ["conv_id", "to"], "left").select(*OWNER, "to", "far", F.coalesce("step", F.col("told") + F.col("far")).alias("step"))
-            turn += 1
-            wait = scratch.keep(wait, f"wait{turn}")
-            ready = wait.groupBy(*OWNER).agg(F.max("step").alias("step"), F.count_if(F.col("step").isNull()).alias("open")).filter("open = 0").select(*OWNER, "step")
-            ready = scratch.keep(ready, f"ready{turn}")
-            if not ready.limit(1).count():
-                break
-            levels.append(ready)
-            wait = wait.join(ready.select(*OWNER), OWNER, "left_anti")
-    done = levels[0]
-    for more in levels[1:]:
-        done = done.unionByName(more)
+        wait = wait.select(*OWNER, F.coalesce("to", "used").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+        first = known.select("conv_id", F.col("call_id").alias("to"), "step")
+        wait = scratch.keep(wait.join(first, ["conv_id", "to"], "left").select(*OWNER, "to", "far", "step"), "wait")
+        sizes = scratch.keep(wait.groupBy(*OWNER).agg(F.lit(1)).groupBy("conv_id").agg((F.count("*") <= folded).alias("small")), "sizes")
+        small = wait.join(sizes.filter("small"), "conv_id", "left_semi").join(calls.select(*OWNER, "turn"), OWNER)
+        _folded(small, scratch).write.mode("append").parquet(scratch.path("levels"))
+        _by_rounds(wait.join(sizes.filter("not small"), "conv_id", "left_semi"), scratch)
+    done = levels()
     walked = chain.join(done.select("conv_id", F.col("call_id").alias("to"), F.col("step").alias("told")), ["conv_id", "to"]).select(*OWNER, (F.col("told") + F.col("far")).alias("step"))
     return calls.select(*OWNER).join(unmet, OWNER, "left").join(done.unionByName(walked), OWNER, "left").select(*OWNER, "step", "unmet")
 

@@ -4,6 +4,7 @@ import json
 import random
 
 from gridloom.llm import toolcalls
+from gridloom.llm.scratch import Scratch
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>, extra string"
 RESULTS = "conv_id long, call_id string, turn long, content string, call string"
@@ -57,6 +58,18 @@ def test_steps_are_longest_chains_whatever_the_turns(spark):
     assert got == {c: step(c) for c in after}
 
 
+def test_deep_chains_of_several_uses(spark):
+    """2,000 calls that each use the two before them: one round where they follow the turns; the same steps by rounds and with turns turned around."""
+    rows = [(1, f"c{i}", i, "f", "{}", [f"c{i - 1}", f"c{i - 2}"] if i > 1 else []) for i in range(2000)]
+    assert {r["call_id"]: r["step"] for r in linked(spark, rows)} == {f"c{i}": max(i - 1, 0) for i in range(2000)}
+    few = [(k, f"c{i}", -i if k == 2 else i, [f"c{i - 1}", f"c{i - 2}"] if i > 1 else []) for k in (2, 3) for i in range(9)]
+    scratch = Scratch(spark, "steps")
+    calls = scratch.keep(spark.createDataFrame(few, "conv_id long, call_id string, turn long, after array<string>"), "calls")
+    for folded in (100, 3):  # as a row, and a level a round
+        got = toolcalls.steps(calls, Scratch(spark, "steps"), folded)
+        assert {(r["conv_id"], r["call_id"]): r["step"] for r in got.collect()} == {(k, f"c{i}"): max(i - 1, 0) for k in (2, 3) for i in range(9)}
+
+
 def test_schemas_and_canonical_json(spark):
     schemas = [("g", "n", "integer", True), ("g", "s", "string", False), ("g", "x", "number", False), ("g", "l", "array", None), ("g", "o", "object", False), ("g", "b", "boolean", False), (None, "n", "integer", True)]
     texts = ['{"s": "é\\n/", "n": 1, "o": {"z": 1, "a": [1, 2]}, "l": [], "b": true, "x": 2.50}', '{"n": "1"}', '{"s": null, "q": 1}', "[1]", "{bad", None, '{"n": 1, "n": 2}', '{"n": 1.5, "x": 3}']
