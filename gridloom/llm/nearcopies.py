@@ -5,17 +5,19 @@
    likeness 0.8 are 4 to 14 bits apart, where no chain of segments tells them from other texts. So a second source finds
    those that SimHash can't: sets that agree in all of a band's minima meet in a bucket. A pair of likeness s is missed
    by all bands with a chance of (1 - s ** ROWS) ** BANDS, 6 in 100,000 at 0.8 and less above;
-3. candidates joined through shared sets are loose groups, which hold every candidate pair. Within one, every pair's exact Jaccard
-   likeness is computed, other than of pairs already joined, and gives the links of a spanning forest;
-4. the components of those links are the groups.
-
-A loose group is dealt in blocks of bounded rows and text. At first each block meets itself and the group's first row, which
-settles groups of close copies. Groups that fall apart then have every two of their blocks meet, so no pair is left out.
+3. candidates joined through shared sets are loose groups, dealt in blocks of bounded rows and text. Each block meets itself and the group's
+   first row: exact Jaccard likeness of every pair, other than of pairs already joined, gives the links of a spanning forest. That is work
+   in proportion to the rows, and settles small groups and groups of close copies;
+4. a larger group may be no more than a long chain of candidates that aren't alike. What is left to look at there are its candidate pairs and no
+   others: the members of a bucket that these links haven't joined yet meet, a bucket at a time, in every two of its blocks. Buckets
+   with the same members count once;
+5. the components of all links are the groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,20 @@ def _confirmed(cells: DataFrame, words: int, least: float) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
 
 
+def meetings(left: DataFrame, shared: DataFrame, scratch: Scratch, block_rows: int) -> DataFrame:
+    """node, cell, label: the candidate pairs that are left, as cells whose rows all meet. left: node, label, a written table; shared: node and key of every
+    bucket that a node is in. Only buckets with two labels or more have cells; one of n rows has (n / block_rows) ** 2 of them at most, and
+    its rows come in n / block_rows cells each."""
+    inside = scratch.keep(shared.distinct().join(left, "node"), "inside")
+    tell = F.xxhash64("node", F.lit(7))
+    found = inside.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(tell).alias("x"), F.sum(F.pmod(tell, F.lit(1 << 31))).alias("y")).filter("a <> b")
+    once = found.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    met = join_by_key(inside, scratch.keep(once, "unsettled"), "key", "n")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("node", F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "label")
+
+
 def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -148,7 +164,8 @@ def groups(rows: DataFrame, ids: list[str], scratch: Scratch, words: int = WORDS
     prints = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
     equal = nodes.join(prints, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
     pigeons = Scratch(scratch.spark, "pigeonring")
-    near = simhash_links(prints, pigeons, BITS_APART)
+    near_prints = scratch.keep(simhash_links(prints, pigeons, BITS_APART), "near")
+    near = near_prints
     for end in ("a", "b"):
         near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first")), end)
     near = near.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
@@ -171,13 +188,15 @@ def groups(rows: DataFrame, ids: list[str], scratch: Scratch, words: int = WORDS
     joined = scratch.keep(components(links, Scratch(scratch.spark, "confirmed")), "joined")
 
     labels = sized.filter(F.col("blocks") > 1).join(joined.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = labels.groupBy("root").agg(F.countDistinct("label").alias("n")).filter(F.col("n") > 1).select("root")
-    left = scratch.keep(labels.join(apart, "root", "left_semi").withColumn("block", block), "apart")
+    apart = labels.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("root")
+    left = scratch.keep(labels.join(apart, "root", "left_semi").select("node", "label"), "apart")
     if left.limit(1).count():
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        pairs = left.select("node", "root", "label", "block", other).filter(F.col("block") != F.col("other"))
-        pairs = pairs.select("node", F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "label")
-        more = scratch.keep(_confirmed(members.select("node", "text").join(pairs, "node").select("cell", "node", "label", "text"), words, least), "more")
+        by_print = nodes.select("node", "fp")
+        shared = [dealt, by_print.select("node", F.xxhash64(F.lit("equal"), "fp").alias("key"))]
+        pairs = near_prints.withColumn("key", F.xxhash64(F.lit("near"), "a", "b"))
+        shared += [by_print.join(pairs.select(F.col(end).alias("fp"), "key"), "fp").select("node", "key") for end in ("a", "b")]
+        cells = meetings(left, reduce(DataFrame.union, shared), scratch, block_rows)
+        more = scratch.keep(_confirmed(members.select("node", "text").join(cells, "node").select("cell", "node", "label", "text"), words, least), "more")
         joined = scratch.keep(components(links.union(more), Scratch(scratch.spark, "confirmed")), "rejoined")
     told = scratch.keep(nodes.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), "n"), "named")
     return join_by_key(signed.drop("fp", "keys"), told, "digest", "n").select(*ids, *carry, "component")
