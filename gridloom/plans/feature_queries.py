@@ -144,21 +144,21 @@ def ring_distance(spark, sf_dir):
     return doy.select("doy", calendar.ring_distance(F.col("doy"), F.lit(15)).cast("long").alias("days"))
 
 
-@query("floor_curve", "-- curve\nSELECT round(x, 6) + 0.0 AS price, round(-5 + greatest(x + 5, 0) + ln(1 + exp(-abs(x + 5))), 6) + 0.0 AS floored FROM (SELECT -100 + 200.0 * i / 400 AS x FROM range(401) t(i))")
+@query("floor_curve", "SELECT zone, ts, round(p - 50, 6) + 0.0 AS price, round(-5 + greatest(p - 45, 0) + ln(1 + exp(-abs(p - 45))), 6) + 0.0 AS floored FROM zonal")
 def floor_curve(spark, sf_dir):
-    """The soft floor at 401 prices from -100 to 100."""
-    x = -100 + 200.0 * F.col("id") / 400
-    return spark.range(401).select(r(x).alias("price"), r(physics.soft_floor(x)).alias("floored"))
+    """Each zone's price, lowered by 50, above a soft floor of -5."""
+    rows = zonal(spark, sf_dir).withColumn("x", F.col("p") - 50)
+    return rows.select("zone", "ts", r("x").alias("price"), r(physics.soft_floor(F.col("x"))).alias("floored"))
 
 
 @query(
     "panel_corrections",
-    "-- panels\nWITH g AS (SELECT t, a FROM (SELECT unnest([0, 20, 45, 60, 90]) AS t), (SELECT unnest([0, 90, 180, 250, 359]) AS a)) SELECT CAST(t AS BIGINT) AS tilt, CAST(a AS BIGINT) AS azimuth, round(least(greatest(0.4 * 5 * 0.85 * greatest(least(1 - 0.0006 * (t - 45) ** 2, 1.05), 0.6) * greatest(cos(radians(abs(a - 180)) / 2), 0.4), 0), 4.25), 6) AS kwh FROM g",
+    ", g AS (SELECT ts, p, (hour(ts) % 5) * 22.5e0 AS t, ((day(ts) * 24 + hour(ts)) * 15 % 360)::DOUBLE AS a FROM hourly) SELECT ts, round(t, 6) AS tilt, round(a, 6) AS azimuth, round(least(greatest(p / 1000 * 5 * 0.85 * greatest(least(1 - 0.0006 * (t - 45) ** 2, 1.05), 0.6) * greatest(cos(radians(abs(a - 180)) / 2), 0.4), 0), 4.25), 6) AS kwh FROM g",
 )
 def panel_corrections(spark, sf_dir):
-    """Yield at 400 W/m2 for tilts and azimuths."""
-    rows = spark.createDataFrame([(t, a) for t in (0, 20, 45, 60, 90) for a in (0, 90, 180, 250, 359)], "tilt long, azimuth long")
-    return rows.select("tilt", "azimuth", r(physics.tilted_kwh(F.lit(400.0), 5.0, F.col("tilt"), F.col("azimuth"))).alias("kwh"))
+    """Each hour's price read as irradiance, and what panels of a tilt and azimuth that turn with the hours would yield."""
+    rows = hourly(spark, sf_dir).withColumns({"tilt": (F.hour("ts") % 5) * 22.5, "azimuth": F.pmod((F.dayofmonth("ts") * 24 + F.hour("ts")) * 15, F.lit(360)).cast("double")})
+    return rows.select("ts", "tilt", "azimuth", r(physics.tilted_kwh(F.col("p"), 5.0, F.col("tilt"), F.col("azimuth"))).alias("kwh"))
 
 
 @query(

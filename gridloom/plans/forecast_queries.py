@@ -69,10 +69,14 @@ def fan_chart(spark, sf_dir):
     return forecast.with_bands(hourly(spark, sf_dir), "p", TAILS, LEVELS).select("ts", *[r(n).alias(n) for n in LEVELS])
 
 
-@query("shock_paths", "-- shocks\nWITH u AS (SELECT i, (i + 0.5e0) / 1000 AS u FROM range(1000) t(i)) SELECT CAST(i AS BIGINT) AS path, round(" + _shock_sql("u") + ", 6) + 0.0 AS shock FROM u")
+@query(
+    "shock_paths",
+    ", u AS (SELECT zone, ts, (('0x' || substr(md5(zone || strftime(ts, ' %Y-%m-%d %H:%M:%S') || '-0'), 1, 8))::BIGINT + 0.5) / 4294967296e0 AS u FROM zonal) SELECT zone, ts, round(" + _shock_sql("u") + ", 6) + 0.0 AS shock FROM u",
+)
 def shock_paths(spark, sf_dir):
-    """A thousand evenly spread shocks."""
-    return spark.range(1000).select(F.col("id").alias("path"), r(forecast.shock_quantile((F.col("id") + 0.5) / 1000, TAILS)).alias("shock"))
+    """A drawn shock for each of a zone's hours."""
+    seed = F.concat("zone", F.date_format("ts", " yyyy-MM-dd HH:mm:ss"))
+    return zonal(spark, sf_dir).select("zone", "ts", r(forecast.shock_quantile(tails.uniform(seed, 0), TAILS)).alias("shock"))
 
 
 _FILL = ["zero", "persist", "ar1", "oracle"]

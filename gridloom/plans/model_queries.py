@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import calendar
 from gridloom.operators import absolute, align, curves, fits, models, panels, scores, searches, series, smooth, statespace, subsets, tails
-from gridloom.plans.base import LOCAL, days, hourly, pairs, query, r, zonal
+from gridloom.plans.base import HOLIDAY_STEPS, LOCAL, days, hourly, pairs, query, r, zonal
 from gridloom.plans.fit_queries import _ROWS, _SCALED, _SUMS, _rows
 from gridloom.plans.panel_queries import _DRAW
 from gridloom.session import table
@@ -289,11 +289,13 @@ _RULES = [{"type": "fixed", "month": 1, "day": 6}, {"type": "fixed", "month": 6,
 
 @query(
     "configured_holidays",
-    "-- rules\nWITH y AS (SELECT unnest([2023, 2024, 2025]) AS y, unnest([DATE '2023-04-10', DATE '2024-04-01', DATE '2025-04-21']) AS e) SELECT make_date(y, 1, 6) AS day, 'fixed' AS kind FROM y UNION ALL SELECT make_date(y, 6, 4), 'fixed' FROM y UNION ALL SELECT e, 'easter' FROM y UNION ALL SELECT make_date(y, 6, 19) + CAST((5 - isodow(make_date(y, 6, 19)) + 7) % 7 AS INTEGER), 'weekday' FROM y",
+    "-- rules\nWITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders), "
+    + HOLIDAY_STEPS
+    + "SELECT make_date(y, 1, 6) AS day, 'fixed' AS kind FROM y UNION ALL SELECT make_date(y, 6, 4), 'fixed' FROM y UNION ALL SELECT CAST(easter + 1 AS DATE), 'easter' FROM e UNION ALL SELECT make_date(y, 6, 19) + CAST((5 - isodow(make_date(y, 6, 19)) + 7) % 7 AS INTEGER), 'weekday' FROM y",
 )
 def configured_holidays(spark, sf_dir):
-    """Holidays of three years by rules of a configuration: fixed days, days from Easter, weekdays from a day on."""
-    years = spark.range(2023, 2026).select(F.col("id").cast("int").alias("year"))
+    """Holidays of the years with orders by rules of a configuration: fixed days, days from Easter, weekdays from a day on."""
+    years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     return calendar.configured_holidays(years, _RULES).select("day", "kind")
 
 

@@ -32,10 +32,11 @@ def household_load(spark, sf_dir):
     return house(spark, sf_dir).select("ts", r("load").alias("load"))
 
 
-@query("load_shape", _SHAPE + "SELECT CAST(wd AS BIGINT) AS weekday, CAST(hh AS BIGINT) AS hour, round(share, 6) AS share FROM shape")
+@query("load_shape", _SHAPE + "SELECT h.ts, round(share, 6) AS share FROM hourly h JOIN shape ON shape.wd = isodow(h.ts) - 1 AND shape.hh = hour(h.ts)")
 def load_shape(spark, sf_dir):
-    """The made-up shape, 168 rows of mean 1."""
-    return panels.synthetic_shape(spark).select(F.col("weekday").cast("long").alias("weekday"), F.col("hour").cast("long").alias("hour"), r("share").alias("share"))
+    """The made-up shape at each hour of the prices, by weekday and hour."""
+    rows = hourly(spark, sf_dir).withColumns({"weekday": F.weekday("ts"), "hour": F.hour("ts")})
+    return rows.join(panels.synthetic_shape(spark), ["weekday", "hour"]).select("ts", r("share").alias("share"))
 
 
 @query(
@@ -99,11 +100,13 @@ def household_cvar(spark, sf_dir):
 
 @query(
     "price_error_prior",
-    "-- prior\nSELECT CAST(i AS BIGINT) AS lead, [0.0, 0.0, 0.10, 0.15, 0.20, 0.25, 0.30][least(i, 6) + 1]::DOUBLE AS error FROM range(10) t(i)",
+    ", l AS (SELECT ts, date_diff('day', (SELECT CAST(min(ts) AS DATE) FROM hourly), CAST(ts AS DATE)) % 10 AS lead FROM hourly) SELECT ts, CAST(lead AS INTEGER) AS lead, [0.0, 0.0, 0.10, 0.15, 0.20, 0.25, 0.30][least(lead, 6) + 1]::DOUBLE AS error FROM l",
 )
 def price_error_prior(spark, sf_dir):
-    """The relative price error to start from, for ten days."""
-    return spark.range(10).select(F.col("id").alias("lead"), verify.prior_error(F.col("id")).alias("error"))
+    """The relative price error to start from at each hour, by the days since a forecast made every ten days."""
+    h = hourly(spark, sf_dir)
+    rows = h.crossJoin(F.broadcast(h.agg(F.to_date(F.min("ts")).alias("d0")))).withColumn("lead", F.pmod(F.date_diff(F.to_date("ts"), "d0"), F.lit(10)))  # one row is broadcast
+    return rows.select("ts", "lead", verify.prior_error(F.col("lead")).alias("error"))
 
 
 _NOW = _HOUSE + ", g AS (SELECT *, hour - 11 AS ahead, pv * (0.5 + abs(sin(hour * 3 + dayofyear(day)))) AS measured FROM house), x AS (SELECT *, CASE WHEN pv >= 0.05 AND measured >= 0 THEN greatest(least(measured / pv, 3), 0.15) END AS k FROM g)\n"

@@ -72,11 +72,11 @@ def store_problems(spark, sf_dir):
 
 @query(
     "model_fingerprint",
-    "-- model\nWITH c AS (SELECT * FROM (VALUES ('intercept', 0.5), ('wind', -20.25), ('temp', -0.4)) t(feature, coef)) SELECT substr(sha256(string_agg(feature || '=' || printf('%.10f', coef::DOUBLE), ';' ORDER BY feature)), 1, 16) AS fingerprint FROM c",
+    ", c AS (SELECT zone AS feature, round(avg(p), 3) AS coef FROM zonal GROUP BY 1) SELECT substr(sha256(string_agg(feature || '=' || printf('%.10f', coef::DOUBLE), ';' ORDER BY feature)), 1, 16) AS fingerprint FROM c",
 )
 def model_fingerprint(spark, sf_dir):
-    """A model's fingerprint from its coefficients; states learned against another are dropped."""
-    model = spark.createDataFrame([("intercept", 0.5), ("wind", -20.25), ("temp", -0.4)], "feature string, coef double")
+    """The fingerprint of a model whose coefficients are the zones' mean prices; states learned against another are dropped."""
+    model = zonal(spark, sf_dir).groupBy(F.col("zone").alias("feature")).agg(r(F.avg("p"), 3).alias("coef"))
     current = store.fingerprint(model, "feature", "coef")
     return store.valid_states(current.withColumn("state", F.lit(1)), current).select("fingerprint")
 
