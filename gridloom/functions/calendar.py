@@ -17,6 +17,7 @@ def local(ts: Column, zone: str = ZONE) -> Column:
 
 
 def is_workday(ts: Column) -> Column:
+    """Monday to Friday, whatever the holidays; null for a null."""
     return F.weekday(ts) < 5
 
 

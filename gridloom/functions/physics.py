@@ -13,6 +13,7 @@ LINKE_TURBIDITY = [2.4, 2.5, 2.7, 2.9, 3.1, 3.3, 3.5, 3.4, 3.0, 2.7, 2.5, 2.4]
 
 
 def air_density(celsius: Column, pressure: float = 101_325.0, gas: float = 287.05) -> Column:
+    """Of dry air in kg/m3; null for a null."""
     return F.lit(pressure) / (F.lit(gas) * (celsius + 273.15))
 
 
@@ -27,6 +28,7 @@ def wind_power(wind: Column, celsius: Column, reference: float = 1.225) -> Colum
 
 
 def wind_cubed(wind: Column, celsius: Column) -> Column:
+    """What drives a turbine: air density times the cube of the wind; null where either is."""
     return air_density(celsius) * F.pow(wind, 3)
 
 

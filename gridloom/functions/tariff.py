@@ -23,6 +23,7 @@ def marginal_price(buy: Column, sell: Column, pv: Column, base: Column) -> Colum
 
 
 def net_cost(buy: Column, sell: Column, pv: Column, load: Column) -> Column:
+    """What an hour costs: bought energy less what is sold, own yield used first. A null yield or load makes 0, a null price null."""
     return F.greatest(load - pv, F.lit(0.0)) * buy - F.greatest(pv - load, F.lit(0.0)) * sell
 
 

@@ -54,6 +54,7 @@ def learned_errors(samples: DataFrame, lead: str, day: str, weight: float = WEIG
 
 
 def prior_error(lead: Column) -> Column:
+    """The relative error to start from, by days of lead: those below 0 count as 0, those beyond the last as the last. A null lead counts as 0."""
     return F.element_at(F.array(*[F.lit(x) for x in PRIOR]), F.least(F.greatest(lead, F.lit(0)) + 1, F.lit(len(PRIOR))).cast("int"))
 
 

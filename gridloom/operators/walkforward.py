@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridloom.operators.fits import ridge_of
+from gridloom.session import settled
 
 MODEL = "period timestamp, n long, intercept double, coef array<double>, phi double, parts array<array<double>>"
 
@@ -236,7 +237,7 @@ def walk_forward(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
 
     rows: keys, ts, target and feature columns. Rows of periods without a model, and of null keys, are left out; an empty table gives none.
     """
-    wide = lagged(rows, keys, model)
+    wide = settled(lagged(rows, keys, model))
     found = models(statistics(wide, keys, model), keys, model)
     joined = wide.withColumn("period", model.period(F.col("ts")).cast("timestamp")).join(found, [*keys, "period"])
     return applied(joined, model).select(*keys, "ts", F.col(f"{model.target}__0").alias("actual"), "period", "n", "season", "linear", "phi")
@@ -259,8 +260,8 @@ def horizon(rows: DataFrame, keys: list[str], model: Model, origins: Column, lea
     origins: a condition on ts. The model is that of the origin's period; a feature whose lag is shorter than the lead counts as its season; the
     error at the origin fades with phi ** lead (0 where the origin's actual is null). Targets without a row are left out.
     """
-    wide = lagged(rows, keys, model)
-    found = models(statistics(wide, keys, model), keys, model)
+    wide = settled(lagged(rows, keys, model))
+    found = settled(models(statistics(wide, keys, model), keys, model))
     periods = wide.withColumn("period", model.period(F.col("ts")).cast("timestamp"))
     start = applied(periods.filter(origins).join(found, [*keys, "period"]), model)
     error = F.coalesce(F.col(f"{model.target}__0") - F.col("season") - F.col("linear"), F.lit(0.0)).alias("error")
