@@ -8,9 +8,9 @@
 3. candidates joined through shared sets are loose groups, dealt in blocks of bounded rows and text. Each block meets itself and the group's
    first row: exact Jaccard likeness of every pair, other than of pairs already joined, gives the links of a spanning forest. That is work
    in proportion to the rows, and settles small groups and groups of close copies;
-4. a larger group may be no more than a long chain of candidates that aren't alike. What is left to look at there are its candidate pairs and no
-   others: the members of a bucket that these links haven't joined yet meet, a bucket at a time, in every two of its blocks. Buckets
-   with the same members count once;
+4. what is left in larger groups are pairs that these links haven't joined. A group may be close copies and some others: then the others meet
+   all rows, and rows that are joined already don't meet each other. Or it may be no more than a long chain of candidates that aren't alike: then
+   only the members of each bucket meet. Either way no candidate pair is left out, and each group takes the way that copies fewer texts;
 5. the components of all links are the groups.
 """
 
@@ -99,7 +99,7 @@ def forest(sets: list[np.ndarray], least: float, joined: list[int] | None = None
 
 
 def _confirmed(cells: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (a, b) among the rows (cell, node, label, text) of each cell."""
+    """Links (a, b) among the rows (cell, node, label, text, turn) of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, links = None, [], []
@@ -118,21 +118,45 @@ def _confirmed(cells: DataFrame, words: int, least: float) -> DataFrame:
             links = []
         yield _batch(told() if held else [])
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
+    # rows of the label that most have come last: once only they are left in a cell, nothing is compared
+    return cells.repartition("cell").sortWithinPartitions("cell", "turn", "node").mapInArrow(run, "a long, b long")
 
 
-def meetings(left: DataFrame, shared: DataFrame, scratch: Scratch, block_rows: int) -> DataFrame:
-    """node, cell, label: the candidate pairs that are left, as cells whose rows all meet. left: node, label, a written table; shared: node and key of every
-    bucket that a node is in. Only buckets with two labels or more have cells; one of n rows has (n / block_rows) ** 2 of them at most, and
-    its rows come in n / block_rows cells each."""
+def meetings(left: DataFrame, shared: DataFrame, scratch: Scratch, block_rows: int, block_chars: int) -> DataFrame:
+    """node, cell, label, turn: rows of a cell meet, other than those of one label, so that all candidate pairs that are left do. left: node, root, label, chars, a
+    written table of whole loose groups; shared: node and key of every bucket that a node is in.
+
+    By group: the rows of the commonest label, in ``a`` blocks, and the others, in ``b`` blocks, make a * b cells, and every two blocks of others one;
+    so a row of the commonest label is in b cells, another in a + b. By bucket: every two blocks of each that holds two labels or more; those
+    with the same rows count once.
+    """
+    blocks = lambda n, chars: F.ceil(F.greatest(n / block_rows, chars / block_chars)).cast("int")
+    labels = left.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    group = labels.groupBy("root").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("n", "chars", "label")).alias("top"))
+    others = blocks(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars"))
+    group = group.select("root", "n", F.col("top.label").alias("common"), blocks(F.col("top.n"), F.col("top.chars")).alias("a"), others.alias("b"), F.col("top.n").alias("most"))
     inside = scratch.keep(shared.distinct().join(left, "node"), "inside")
     tell = F.xxhash64("node", F.lit(7))
-    found = inside.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(tell).alias("x"), F.sum(F.pmod(tell, F.lit(1 << 31))).alias("y")).filter("a <> b")
-    once = found.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    met = join_by_key(inside, scratch.keep(once, "unsettled"), "key", "n")
+    found = inside.groupBy("key").agg(F.first("root").alias("root"), F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(tell).alias("u"), F.sum(F.pmod(tell, F.lit(1 << 31))).alias("v")).filter("x <> y")
+    once = scratch.keep(found.groupBy("root", "n", "chars", "u", "v").agg(F.min("key").alias("key")).select("root", "key", "n", blocks(F.col("n"), F.col("chars")).alias("blocks")), "unsettled")
+    by_bucket = once.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_bucket"))
+    by_group = F.col("most") * F.col("b") + (F.col("n") - F.col("most")) * (F.col("a") + F.col("b"))
+    # without an unsettled bucket no candidate pair is left
+    group = scratch.keep(group.join(by_bucket, "root").withColumn("whole", by_group <= F.col("by_bucket")), "ways")
+
+    met = join_by_key(inside.drop("root"), scratch.keep(once.join(group.filter("not whole").select("root"), "root", "left_semi").drop("root"), "asked"), "key", "n")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     each = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.select("node", F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "label")
+    some = each.select("node", F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "label", F.lit(0).alias("turn"))
+
+    rows = join_by_key(left, group.filter("whole").select("root", "common", "a", "b", "n"), "root", "n").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("common"), F.col("a")).otherwise(F.col("b"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    across = F.transform(upto("b"), lambda j: F.concat_ws(":", "root", F.lit("x"), "own", j))
+    facing = F.transform(upto("a"), lambda i: F.concat_ws(":", "root", F.lit("x"), i, "own"))
+    among = F.transform(upto("b"), lambda j: F.concat_ws(":", "root", F.lit("o"), F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
+    of_common = F.col("label") == F.col("common")
+    every = rows.select("node", F.explode(F.when(of_common, across).otherwise(F.concat(facing, among))).alias("cell"), "label", of_common.cast("int").alias("turn"))
+    return some.unionByName(every)
 
 
 def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -183,20 +207,20 @@ def groups(rows: DataFrame, ids: list[str], scratch: Scratch, words: int = WORDS
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(0)
     # the first row of a loose group goes to each of its blocks
     to = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
-    cells = sized.select("node", "root", F.explode(to).alias("i")).select("node", F.concat_ws(":", "root", "i").alias("cell"), F.col("node").alias("label"))
-    links = scratch.keep(_confirmed(members.select("node", "text").join(cells, "node").select("cell", "node", "label", "text"), words, least), "links")
+    cells = sized.select("node", "root", F.explode(to).alias("i")).select("node", F.concat_ws(":", "root", "i").alias("cell"), F.col("node").alias("label"), F.lit(0).alias("turn"))
+    links = scratch.keep(_confirmed(members.select("node", "text").join(cells, "node").select("cell", "node", "label", "text", "turn"), words, least), "links")
     joined = scratch.keep(components(links, Scratch(scratch.spark, "confirmed")), "joined")
 
     labels = sized.filter(F.col("blocks") > 1).join(joined.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = labels.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("root")
-    left = scratch.keep(labels.join(apart, "root", "left_semi").select("node", "label"), "apart")
+    left = scratch.keep(labels.join(apart, "root", "left_semi").join(members.select("node", "chars"), "node").select("node", "root", "label", "chars"), "apart")
     if left.limit(1).count():
         by_print = nodes.select("node", "fp")
         shared = [dealt, by_print.select("node", F.xxhash64(F.lit("equal"), "fp").alias("key"))]
         pairs = near_prints.withColumn("key", F.xxhash64(F.lit("near"), "a", "b"))
         shared += [by_print.join(pairs.select(F.col(end).alias("fp"), "key"), "fp").select("node", "key") for end in ("a", "b")]
-        cells = meetings(left, reduce(DataFrame.union, shared), scratch, block_rows)
-        more = scratch.keep(_confirmed(members.select("node", "text").join(cells, "node").select("cell", "node", "label", "text"), words, least), "more")
+        cells = meetings(left, reduce(DataFrame.union, shared), scratch, block_rows, block_chars)
+        more = scratch.keep(_confirmed(members.select("node", "text").join(cells, "node").select("cell", "node", "label", "text", "turn"), words, least), "more")
         joined = scratch.keep(components(links.union(more), Scratch(scratch.spark, "confirmed")), "rejoined")
     told = scratch.keep(nodes.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), "n"), "named")
     return join_by_key(signed.drop("fp", "keys"), told, "digest", "n").select(*ids, *carry, "component")
