@@ -66,27 +66,6 @@ def test_groups_against_all_pairs(spark, block_rows):
     assert [least[got[i]] for i in range(len(texts))] == plain_components(texts)
 
 
-def test_a_long_chain_of_texts_that_are_not_alike(spark, monkeypatch):
-    """2,000 texts, each with likeness 0.7 to the next: candidates chain them into one loose group. What meets grows with the candidates, and not
-    with the square of the group."""
-    stream = [f"w{i}" for i in range(10 * 2000 + 60)]
-    texts = [" ".join(stream[10 * k : 10 * k + 60]) for k in range(2000)] + [" ".join([*stream[:60], "end"]), " ".join(stream[10_000:10_060]).upper()]
-    meetings, seen = nearcopies.meetings, []
-
-    def told(*args):
-        out = meetings(*args)
-        seen.append((out.count(), out.groupBy("cell").count().agg({"count": "max"}).first()[0]))
-        return out
-
-    monkeypatch.setattr(nearcopies, "meetings", told)
-    scratch = Scratch(spark, "test")
-    rows = scratch.keep(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), "rows")
-    got = {r["rid"]: r["component"] for r in nearcopies.groups(rows, ["rid"], scratch, block_rows=32).collect()}
-    assert got[2000] == got[0] and got[2001] == got[1000] and len(set(got.values())) == 2000
-    (count, largest), = seen
-    assert count < 10 * len(texts) and largest <= 2 * 32  # all blocks of the group against all would be 63 rows a text
-
-
 def test_stage_against_all_pairs(spark, sf_dir):
     import corpus_pipeline
 
